@@ -152,7 +152,9 @@ def range_extents(histogram: DataFrame, centers: DataFrame) -> DataFrame:
     c = centers.select(
         "image_id", F.col("idx").alias("label"), *[F.col(n).alias(f"_c{n}") for n in LAB]
     )
-    dev = lab.filter(F.col("label") >= 0).join(c, ["image_id", "label"])
+    # No filter on the label here: -1 has no centre, and a filter would be pushed
+    # below the projection and evaluate the whole label expression twice.
+    dev = lab.join(c, ["image_id", "label"])
     dev = dev.select("image_id", "label", "n", *[(F.col(n) - F.col(f"_c{n}")).alias(n) for n in LAB])
     dev = materialize(dev, "deviations")
     d2 = C.dist2([F.col(n) for n in LAB], [F.lit(0.0)] * 3)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chromatile import fixtures
 from chromatile.functions import color as C
-from chromatile.operators import assign, cluster, ranges as rg
+from chromatile.operators import assign, cluster, paint, ranges as rg
 from chromatile.plans import common, duck
 from chromatile.plans.registry import query
 
@@ -126,7 +126,7 @@ gp AS (SELECT image_id, idx, lead(lab_l) OVER (PARTITION BY image_id ORDER BY la
 SELECT gp.image_id, {duck.q('min(g)')} AS min_gap, {duck.q('min(coalesce(n,0))/sum(coalesce(n,0))::DOUBLE', 6)} AS min_share
 FROM gp LEFT JOIN cn ON gp.image_id = cn.image_id AND idx = label GROUP BY gp.image_id""")
 def ink_gaps(spark, sf):
-    sizes = common.labelled_px(spark, sf).filter("label >= 0").groupBy("image_id", F.col("label").alias("idx")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = assign.assign_nearest(paint.opaque_only(fixtures.px(spark, sf)), common.CENTERS, common.WEIGHTS).groupBy("image_id", F.col("label").alias("idx")).agg(F.count(F.lit(1)).alias("n"))
     out = cluster.ink_gaps(common.px_ranges(spark, sf).select("image_id", "idx", *LAB), sizes)
     return out.select("image_id", C.q(F.col("min_gap")).alias("min_gap"), C.q(F.col("min_share"), 6).alias("min_share"))
 
