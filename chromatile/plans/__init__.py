@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("pixels", "statistics", "clusters")
+MODULES = ("pixels", "statistics", "clusters", "tables", "spatial", "remap")
 
 
 def load():

@@ -176,16 +176,19 @@ def upsert_presets(presets: DataFrame, incoming: DataFrame) -> DataFrame:
     )
     first, clash = taken.filter("_rank = 1"), taken.filter("_rank > 1")
     used = presets.select("id").unionByName(first.select("id")).distinct()
-    # Numbers in use after a slug: the slug itself counts as 1.
+    # Numbers in use after a slug (the slug itself is 1).  Names merge before this
+    # point, so a slug is shared only by the few names that spell alike.
     numbered = used.select(
         F.regexp_replace("id", "-[0-9]+$", "").alias("_slug"),
         F.coalesce(F.regexp_extract("id", "-([0-9]+)$", 1).try_cast("int"), F.lit(1)).alias("_no"),
     ).unionByName(used.select(F.col("id").alias("_slug"), F.lit(1).alias("_no")))
-    highest = numbered.groupBy("_slug").agg(F.max("_no").alias("_top"))
-    spread = clash.join(highest, "_slug", "left").withColumn(
-        "_step", F.row_number().over(Window.partitionBy("_slug").orderBy("_in_ord"))
-    )
-    number = F.coalesce("_top", F.lit(0)) + F.col("_step")
+    in_use = numbered.join(clash.select("_slug").distinct(), "_slug", "left_semi")
+    in_use = in_use.groupBy("_slug").agg(F.collect_set("_no").alias("_nos"))
+    step = F.row_number().over(Window.partitionBy("_slug").orderBy("_in_ord"))
+    spread = clash.join(in_use, "_slug", "left").withColumn("_step", step)
+    taken_nos = F.coalesce("_nos", F.array().cast("array<int>"))
+    free = F.array_except(F.sequence(F.lit(1), F.size(taken_nos) + F.col("_step")), taken_nos)
+    number = F.get(free, F.col("_step") - 1)
     renamed = spread.withColumn(
         "id", F.when(number <= 1, F.col("_slug")).otherwise(F.concat_ws("-", "_slug", number))
     )
