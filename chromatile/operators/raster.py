@@ -69,7 +69,7 @@ def push_bilinear(pixels: DataFrame, w: str, h: str, nw: Column, nh: Column, cha
         rows = out.select("image_id", other, *carry, *channels, F.inline(F.when(lo <= hi, taps)))
         out = rows.groupBy("image_id", other, F.col("i").alias(axis), *carry).agg(
             *[
-                C.clamp(F.floor(F.sum(F.col("t") * F.col(c)) / F.sum("t") + 0.5).cast("double"), 0.0, 255.0).cast("int").alias(c)
+                C.clamp(F.floor(C.q(F.sum(F.col("t") * F.col(c)) / F.sum("t"), 9) + 0.5).cast("double"), 0.0, 255.0).cast("int").alias(c)
                 for c in channels
             ]
         )

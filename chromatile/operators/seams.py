@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from chromatile.functions.color import luma, q
 from chromatile.operators import frame
+from chromatile.session import materialize
 
 # Fixed values of the search.
 BAND = 8
@@ -123,6 +124,8 @@ def axis_period(pixels: DataFrame, axis: str = "x") -> DataFrame:
     )
     lo = PERIOD_MIN
     region = F.slice("_ac", F.lit(lo + 1), F.greatest(F.col("_hi") - lo, F.lit(0)))
+    # Written once: the peak rules below read the correlation many times.
+    s = materialize(s.select("image_id", "n", "n_full", "_e", "_hi", "_ac"), "correlation")
     s = s.withColumn("_peak", F.array_max(region)).withColumn(
         "_th", F.greatest(F.lit(PEAK_MIN), PEAK_SHARE * F.col("_peak"))
     )
@@ -140,7 +143,7 @@ def axis_period(pixels: DataFrame, axis: str = "x") -> DataFrame:
     period = F.when((F.col("n_full") < 2 * lo) | (F.col("_k") >= F.floor(n / 2)), F.col("n_full")).otherwise(
         F.greatest(F.lit(lo), F.least(F.col("n_full"), scaled))
     )
-    return s.select("image_id", period.cast("int").alias("period"))
+    return materialize(s.select("image_id", period.cast("int").alias("period")), "period")
 
 
 def _origins(top: Column, flip: bool) -> Column:

@@ -44,8 +44,8 @@ t AS (SELECT *, 30 AS tw, greatest(1, {duck.rint('30/(w/h::DOUBLE)')})::INT AS t
 dn AS (SELECT image_id, w, h, tw, th, x, unnest(range(0, th)) AS y FROM (SELECT *, unnest(range(0, tw)) AS x FROM t)),
 nr AS (SELECT d.image_id, d.y::INT AS y, d.x::INT AS x, s.r, s.g, s.b, s.a FROM (SELECT *, floor((x+0.5)*(w/tw::DOUBLE)) AS qx, floor((y+0.5)*(h/th::DOUBLE)) AS qy FROM dn) d
   JOIN grid s ON s.image_id = d.image_id AND s.x = qx AND s.y = qy),
-hx AS (SELECT image_id, y, i, h, {", ".join(f"floor(sum(t*{c})/sum(t)+0.5) AS {c}" for c in "rgba")} FROM (SELECT *, {_TRI.format(p='x', n='w', m='12')} AS t FROM gs, (SELECT unnest(range(0,12)) AS i)) WHERE t > 0 GROUP BY ALL),
-vx AS (SELECT image_id, i AS y, x, {", ".join(f"floor(sum(t*{c})/sum(t)+0.5)::INT AS {c}" for c in "rgba")} FROM (SELECT image_id, y, x, j AS i, r, g, b, a, {_TRI.replace('(i+', '(j+').format(p='y', n='h', m='200')} AS t FROM (SELECT image_id, y, i AS x, h, r, g, b, a FROM hx) q, (SELECT unnest(range(0,200)) AS j)) WHERE t > 0 GROUP BY ALL)""") + """
+hx AS (SELECT image_id, y, i, h, {", ".join(f"floor({duck.q(f'sum(t*{c})/sum(t)', 9)}+0.5) AS {c}" for c in "rgba")} FROM (SELECT *, {_TRI.format(p='x', n='w', m='12')} AS t FROM gs, (SELECT unnest(range(0,12)) AS i)) WHERE t > 0 GROUP BY ALL),
+vx AS (SELECT image_id, i AS y, x, {", ".join(f"floor({duck.q(f'sum(t*{c})/sum(t)', 9)}+0.5)::INT AS {c}" for c in "rgba")} FROM (SELECT image_id, y, x, j AS i, r, g, b, a, {_TRI.replace('(i+', '(j+').format(p='y', n='h', m='200')} AS t FROM (SELECT image_id, y, i AS x, h, r, g, b, a FROM hx) q, (SELECT unnest(range(0,200)) AS j)) WHERE t > 0 GROUP BY ALL)""") + """
 SELECT 'nearest' AS how, * FROM nr UNION ALL SELECT 'bilinear', image_id, y::INT, x::INT, r, g, b, a FROM vx""")
 def resize(spark, sf):
     g = fixtures.grid(spark, sf)
