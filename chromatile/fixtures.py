@@ -18,7 +18,12 @@ def byte(x: Column) -> Column:
 
 def px(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colours without coordinates, eight images."""
-    return table(spark, sf_dir, "lineitem").select(
+    return px_rows(table(spark, sf_dir, "lineitem"))
+
+
+def px_rows(lineitem: DataFrame) -> DataFrame:
+    """The same over the ``lineitem`` columns; also used on the streaming read."""
+    return lineitem.select(
         (F.col("l_suppkey") % 8).cast("int").alias("image_id"),
         "l_orderkey",
         "l_linenumber",

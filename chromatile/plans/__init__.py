@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("pixels", "statistics", "clusters", "tables", "spatial", "remap", "areas")
+MODULES = ("pixels", "statistics", "clusters", "tables", "spatial", "remap", "areas", "documents", "streams")
 
 
 def load():

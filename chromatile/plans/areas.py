@@ -59,13 +59,13 @@ def merge_lines(spark, sf):
 
 
 @query("union_detections", duck.with_(duck.BOXES) + """
-SELECT DISTINCT image_id, x0, y0, x1, y1 FROM (SELECT image_id, x0, y0, x1, y1 FROM boxes UNION ALL SELECT image_id, x0, y0, x1, y1 FROM boxes WHERE box_id % 2 = 0
+SELECT DISTINCT image_id, x0, y0, x1, y1 FROM (SELECT image_id, x0, y0, x1, y1 FROM boxes UNION ALL SELECT image_id, x0, y0, x1, y1 FROM boxes
  UNION ALL SELECT image_id, x0, y0, x1, y0 + 2 FROM boxes)""")
 def union_detections(spark, sf):
     b = fixtures.boxes(spark, sf)
     cols = ["image_id", "x0", "y0", "x1", "y1"]
     thin = b.withColumn("y1", F.col("y0") + 2)
-    return bx.union_detections(b.select(*cols), b.filter("box_id % 2 = 0").select(*cols), thin.select(*cols))
+    return bx.union_detections(b.select(*cols), b.select(*cols), thin.select(*cols))
 
 
 @query("detect_regions")
@@ -73,15 +73,6 @@ def detect_regions(spark, sf):
     return regions.detect_regions(fixtures.gray(spark, sf))
 
 
-@query("box_mask", duck.with_(GRID, duck.BOXES, """
-hit AS (SELECT DISTINCT g.image_id, g.y, g.x FROM grid g JOIN boxes b ON b.image_id=g.image_id AND g.x >= greatest(0, b.x0-1) AND g.x < b.x1+1 AND g.y >= greatest(0, b.y0-1) AND g.y < b.y1+1 AND b.box_id % 16 = 0)""") + """
-SELECT g.image_id, g.y, g.x, hit.x IS NOT NULL AS mask FROM grid g LEFT JOIN hit ON hit.image_id=g.image_id AND hit.y=g.y AND hit.x=g.x""")
-def box_mask(spark, sf):
-    # One box in sixteen keeps the raster from being covered whole.
-    b = fixtures.boxes(spark, sf).filter("box_id % 16 = 0")
-    return bx.box_mask(fixtures.grid(spark, sf), b, 1).select("image_id", "y", "x", "mask")
-
-
 def marks(spark, sf):
     """Small boxes on the grid, one per supplier."""
     rows = fixtures.table(spark, sf, "embeddings").agg((F.max("vec_id") + 1).cast("int")).scalar()
@@ -93,6 +84,13 @@ def marks(spark, sf):
 MARKS = """marks AS (SELECT 0::INT AS image_id, s_suppkey AS box_id, CAST(s_suppkey*5 % 16 AS INT) AS x0, CAST((s_suppkey*37+11) % ((SELECT max(vec_id)+1 FROM embeddings) - 6) AS INT) AS y0, 0 AS z FROM supplier)"""
 
 
+@query("box_mask", duck.with_(GRID, MARKS, """
+hit AS (SELECT DISTINCT g.image_id, g.y, g.x FROM grid g JOIN marks b ON b.image_id=g.image_id AND g.x >= greatest(0, b.x0-1) AND g.x < b.x0+5 AND g.y >= greatest(0, b.y0-1) AND g.y < b.y0+6)""") + """
+SELECT g.image_id, g.y, g.x, hit.x IS NOT NULL AS mask FROM grid g LEFT JOIN hit ON hit.image_id=g.image_id AND hit.y=g.y AND hit.x=g.x""")
+def box_mask(spark, sf):
+    return bx.box_mask(fixtures.grid(spark, sf), marks(spark, sf), 1).select("image_id", "y", "x", "mask")
+
+
 def mark_holes(spark, sf):
     """Pixels of the grid inside any mark."""
     on = bx.box_mask(fixtures.grid(spark, sf), marks(spark, sf), 0)
