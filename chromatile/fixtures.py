@@ -86,6 +86,19 @@ def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_rows(table(spark, sf_dir, "events"))
 
 
+def instant(df: DataFrame, col: str) -> Column:
+    """A zone-less time read as UTC, whatever the session zone; instants pass through."""
+    if dict(df.dtypes)[col] != "timestamp_ntz":
+        return F.col(col)
+    micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{col}`)")
+    return F.timestamp_micros(micros)
+
+
+def zoneless(col: str) -> Column:
+    """An instant as zone-less UTC time."""
+    return F.expr(f"timestampadd(MICROSECOND, unix_micros(`{col}`), TIMESTAMP_NTZ'1970-01-01 00:00:00')").alias(col)
+
+
 def edit_rows(events: DataFrame) -> DataFrame:
     """Edit log over the ``events`` columns; also used on the streaming read."""
     kind = F.col("event_type")
@@ -98,7 +111,7 @@ def edit_rows(events: DataFrame) -> DataFrame:
     )
     return events.select(
         "user_id",
-        "ts",
+        instant(events, "ts").alias("ts"),
         "event_id",
         action.alias("action"),
         (F.floor("value") % 256).cast("int").alias("color"),

@@ -56,11 +56,8 @@ def light_field(pixels: DataFrame, columns) -> DataFrame:
         return F.transform(F.sequence(F.lit(0), gw * gh - 1), at)
 
     for axis in ("x", "y"):
-        made = {}
-        for c in columns:
-            src = F.transform("cells", lambda s, c=c: s[c]) if axis == "x" else F.col(f"f_{c}")
-            made[f"f_{c}"] = blur(src, axis)
-        out = materialize(out.withColumns(made), "field")
+        src = {c: F.col(f"cells.{c}") if axis == "x" else F.col(f"f_{c}") for c in columns}
+        out = materialize(out.withColumns({f"f_{c}": blur(v, axis) for c, v in src.items()}), "field")
     return out.select("image_id", "gw", "gh", *[f"f_{c}" for c in columns])
 
 

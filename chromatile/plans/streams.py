@@ -30,14 +30,14 @@ def stream_coverage(spark, sf):
     parts = []
     for kind, slide in (("tumbling", None), ("sliding", "3 hours")):
         rows = ed.run_available(ed.stream_coverage(_edit_stream(spark, sf), "6 hours", slide), "update", "coverage")
-        parts.append(ed.newest(rows, ["start", "color"]).select(F.lit(kind).alias("kind"), "start", "color", "n"))
+        parts.append(ed.newest(rows, ["start", "color"]).select(F.lit(kind).alias("kind"), fixtures.zoneless("start"), "color", "n"))
     return parts[0].unionByName(parts[1])
 
 
 @query("debounce", duck.with_(EDITS) + """
 SELECT user_id, ts, event_id, action, color FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM edits) WHERE nx IS NULL OR nx - ts > INTERVAL '2 hours'""")
 def debounce(spark, sf):
-    return ed.debounce(fixtures.edits(spark, sf), 7200.0)
+    return ed.debounce(fixtures.edits(spark, sf), 7200.0).withColumn("ts", fixtures.zoneless("ts"))
 
 
 _RECENT = duck.with_(EDITS, "l AS (SELECT user_id, color, max((ts, event_id)) AS m, max(ts) AS ts FROM edits WHERE action = 'set' GROUP BY ALL)") + """
@@ -46,13 +46,13 @@ SELECT user_id, rank::INT AS rank, color, ts FROM (SELECT *, row_number() OVER (
 
 @query("recent_colors", _RECENT)
 def recent_colors(spark, sf):
-    return ed.recent_colors(fixtures.edits(spark, sf))
+    return ed.recent_colors(fixtures.edits(spark, sf)).withColumn("ts", fixtures.zoneless("ts"))
 
 
 @query("recent_colors_stream", _RECENT)
 def recent_colors_stream(spark, sf):
     rows = ed.run_available(ed.recent_colors_stream(_edit_stream(spark, sf)), "update", "recent")
-    return ed.newest(rows, ["user_id"]).select("user_id", "rank", "color", "ts")
+    return ed.newest(rows, ["user_id"]).select("user_id", "rank", "color", fixtures.zoneless("ts"))
 
 
 _UNDO = duck.with_(EDITS, """
@@ -80,4 +80,4 @@ def undo_redo_stream(spark, sf):
 
 @query("dedupe_edits")
 def dedupe_edits(spark, sf):
-    return ed.run_available(ed.dedupe_edits(_edit_stream(spark, sf)), "append", "dedupe").drop("batch")
+    return ed.run_available(ed.dedupe_edits(_edit_stream(spark, sf)), "append", "dedupe").drop("batch").withColumn("ts", fixtures.zoneless("ts"))
