@@ -14,7 +14,8 @@ def sample_pixels(labelled: DataFrame, cap: int = CAP) -> DataFrame:
     each task before the shuffle.  Order the result by (image_id, y, x) to list it.
     """
     key = F.md5(F.concat_ws(",", "y", "x"))
-    order = Window.partitionBy("image_id").orderBy(key, "y", "x")
-    on = labelled.withColumn("_on", F.col("label") >= 0)
-    ranked = on.filter("_on").withColumn("_k", F.row_number().over(order))
-    return ranked.filter(F.col("_k") <= cap).select(*labelled.columns)
+    # Unlabelled pixels sort last and leave after the window; a filter before it would
+    # be pushed under the labelling and evaluate the label twice.
+    order = Window.partitionBy("image_id").orderBy((F.col("label") < 0).cast("int"), key, "y", "x")
+    ranked = labelled.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= cap)
+    return ranked.filter(F.col("label") >= 0).select(*labelled.columns)

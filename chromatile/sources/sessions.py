@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from chromatile.functions.tone import PARAMS
+from chromatile.session import materialize
 
 _S, _D, _I, _B = T.StringType(), T.DoubleType(), T.IntegerType(), T.BooleanType()
 
@@ -45,7 +46,9 @@ def load_sessions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
 
 def parse_sessions(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The same from a frame ``(id, json)``.  Missing or mistyped fields take their defaults."""
-    s = docs.select("id", F.from_json("json", SESSION).alias("s")).filter("s is not null").select("id", "s.*")
+    # Parsed once; the three outputs then read only their own columns.
+    parsed = materialize(docs.select("id", F.from_json("json", SESSION).alias("s")), "sessions")
+    s = parsed.filter("s is not null").select("id", "s.*")
     ranges = F.coalesce("ranges", F.array().cast(T.ArrayType(RANGE)))
     n = F.coalesce(
         F.when(F.col("range_count") != 0, F.col("range_count")),
