@@ -19,9 +19,9 @@ def _decoded(spark: SparkSession, path: str) -> DataFrame:
 def image_headers(spark: SparkSession, path: str, max_pixels: int = MAX_PIXELS) -> tuple[DataFrame, DataFrame]:
     """Size audit: (ok, rejects).
 
-    ``ok`` is ``(path, width, height, channels)``.  Rejects carry a reason: empty
-    file (found without reading bytes), undecodable, too many pixels, or a channel
-    layout other than RGB / RGBA.
+    ``ok`` is ``(path, width, height, channels)``.  Rejects carry a reason:
+    undecodable, too many pixels, or a channel layout other than RGB / RGBA.  The
+    file list reads no bytes; Spark leaves zero-length files out of it.
     """
     files = (
         spark.read.format("binaryFile")
@@ -40,8 +40,7 @@ def image_headers(spark: SparkSession, path: str, max_pixels: int = MAX_PIXELS)
     j = files.withColumn("_k", key).join(sizes.withColumn("_k", key).drop("path"), "_k", "left")
     width, height = F.col("width").cast("long"), F.col("height").cast("long")
     reason = (
-        F.when(F.col("length") == 0, "empty file")
-        .when(F.col("width").isNull() | (F.col("width") <= 0), "not decodable")
+        F.when(F.col("width").isNull() | (F.col("width") <= 0), "not decodable")
         .when(width * height > max_pixels, "too many pixels")
         .when(~F.col("channels").isin(3, 4), "not RGB or RGBA")
     )
