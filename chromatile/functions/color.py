@@ -68,15 +68,14 @@ def with_lab(df: DataFrame, rgb=("r", "g", "b"), lab=("lab_l", "lab_a", "lab_b")
     keep = df.columns
     lin = df.withColumns({f"_l{i}": _linear(F.col(c)) for i, c in enumerate(rgb)})
     white = (WHITE_X, WHITE_Y, WHITE_Z)
-    f = lin.withColumns(
+    xyz = lin.withColumns(
         {
-            f"_f{i}": _lab_f(
-                (F.lit(row[0]) * F.col("_l0") + F.lit(row[1]) * F.col("_l1") + F.lit(row[2]) * F.col("_l2"))
-                / F.lit(white[i])
-            )
+            f"_t{i}": (F.lit(row[0]) * F.col("_l0") + F.lit(row[1]) * F.col("_l1") + F.lit(row[2]) * F.col("_l2"))
+            / F.lit(white[i])
             for i, row in enumerate(SRGB_TO_XYZ)
         }
     )
+    f = xyz.withColumns({f"_f{i}": _lab_f(F.col(f"_t{i}")) for i in range(3)})
     fx, fy, fz = F.col("_f0"), F.col("_f1"), F.col("_f2")
     values = (116.0 * fy - 16.0, 500.0 * (fx - fy), 200.0 * (fy - fz))
     return f.select(
@@ -145,28 +144,31 @@ def with_hsl(df: DataFrame, rgb=("r", "g", "b"), hsl=("h", "s", "l")) -> DataFra
     return t.select(*keep, *[v.alias(n) for n, v in zip(hsl, (hue, sat, light))])
 
 
-def hsl_to_rgb(h: Column, s: Column, l: Column) -> tuple[Column, Column, Column]:
-    """8-bit RGB from HSL in 0..1, with a sextant chain."""
-    l = clamp(l, 0.0, 1.0)
-    s = clamp(s, 0.0, 1.0)
-    c = (1.0 - F.abs(2.0 * l - 1.0)) * s
-    hp = (h - F.floor(h)) * 6.0
-    x = c * (1.0 - F.abs(hp - 2.0 * F.floor(hp / 2.0) - 1.0))
-    m = l - c / 2.0
-    zero = F.lit(0.0)
-    six = F.floor(hp) % 6
-
-    def pick(*parts: Column) -> Column:
-        out = F.when(six == 0, parts[0])
-        for i in range(1, 5):
-            out = out.when(six == i, parts[i])
-        return to_byte((out.otherwise(parts[5]) + m) * 255.0)
-
-    return (
-        pick(c, x, zero, zero, x, c),
-        pick(x, c, c, x, zero, zero),
-        pick(zero, zero, x, c, c, x),
+def with_rgb_from_hsl(df: DataFrame, hsl=("h", "s", "l"), rgb=("r", "g", "b")) -> DataFrame:
+    """Add 8-bit RGB columns from HSL in 0..1, by sextant.
+
+    Staged, so the generated method stays below the size the JVM compiles.
+    """
+    keep = [c for c in df.columns if c not in rgb]
+    h, s, l = (F.col(c) for c in hsl)
+    t = df.withColumns({"_hl": clamp(l, 0.0, 1.0), "_hs": clamp(s, 0.0, 1.0), "_hp": (h - F.floor(h)) * 6.0})
+    t = t.withColumn("_hc", (1.0 - F.abs(2.0 * F.col("_hl") - 1.0)) * F.col("_hs"))
+    hp = F.col("_hp")
+    t = t.withColumns(
+        {
+            "_hx": F.col("_hc") * (1.0 - F.abs(hp - 2.0 * F.floor(hp / 2.0) - 1.0)),
+            "_hm": F.col("_hl") - F.col("_hc") / 2.0,
+            "_six": (F.floor(hp) % 6).cast("int"),
+        }
     )
+    six, c, x = F.col("_six"), F.col("_hc"), F.col("_hx")
+
+    def channel(full: tuple[int, int], part: tuple[int, int]) -> Column:
+        level = F.when(six.isin(*full), c).when(six.isin(*part), x).otherwise(0.0)
+        return to_byte((level + F.col("_hm")) * 255.0)
+
+    values = (channel((0, 5), (1, 4)), channel((1, 2), (0, 3)), channel((3, 4), (2, 5)))
+    return t.select(*keep, *[v.alias(n) for n, v in zip(rgb, values)])
 
 
 def hex_color(r: Column, g: Column, b: Column) -> Column:

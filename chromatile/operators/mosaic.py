@@ -73,9 +73,8 @@ def place_sites(work: DataFrame, h_side: str | None, v_side: str | None, tiles:
 def _assign(points: DataFrame, sites: DataFrame) -> DataFrame:
     """Nearest site of each ``(image_id, y, x)``; the lower site id wins ties."""
     targets = sites.select("image_id", F.col("site_id").alias("ord"), F.col("site_id").alias("id"), "x", "y")
-    size = points.groupBy().agg(F.max("x").alias("w"), F.max("y").alias("h"), F.count(F.lit(1)).alias("n"))
-    extent = size.crossJoin(targets.groupBy().agg(F.count(F.lit(1)).alias("s"))).first()
-    side = max(2.0, (extent["n"] / max(1, extent["s"])) ** 0.5)
+    extent = points.agg(F.max("x").alias("w"), F.max("y").alias("h"), F.count(F.lit(1)).alias("n")).first()
+    side = max(2.0, (extent["n"] / max(1, targets.count())) ** 0.5)
     out = nearest_join(points, targets, ["x", "y"], side, 2.0 * max(extent["w"], extent["h"], 1), ["image_id"])
     return out.select("image_id", "y", "x", F.col("m.id").alias("site"))
 

@@ -57,11 +57,13 @@ def grain_fill(labelled: DataFrame, ranges: DataFrame, strength: float = 1.0, en
     rep = C.with_lab(ranges.select("image_id", F.col("idx").alias("label"), "repl_r", "repl_g", "repl_b"),
                      ("repl_r", "repl_g", "repl_b"), ("_pl", "_pa", "_pb"))
     rep = rep.select("image_id", "label", "_pl", "_pa", "_pb")
-    src = C.with_lab(labelled, lab=("_sl", "_sa", "_sb")).join(rep, ["image_id", "label"], "left")
+    # Lab columns left by the labelling are reused.
+    src = labelled if "lab_l" in labelled.columns else C.with_lab(labelled)
+    src = src.withColumnRenamed("lab_l", "_sl").join(rep, ["image_id", "label"], "left")
     mixed = src.withColumn("_sl", F.col("_pl") * (1.0 - s) + F.col("_sl") * s)
     out = C.with_rgb_from_lab(mixed, ("_sl", "_pa", "_pb"), ("_nr", "_ng", "_nb"))
     return out.select(
-        *[c for c in labelled.columns if c not in ("r", "g", "b")],
+        *[c for c in labelled.columns if c not in ("r", "g", "b", "lab_l", "lab_a", "lab_b")],
         *[F.when(F.col("_pa").isNull(), F.col(c)).otherwise(F.col(f"_n{c}")).alias(c) for c in ("r", "g", "b")],
     )
 
@@ -72,10 +74,10 @@ def hsl_fill(labelled: DataFrame, ranges: DataFrame) -> DataFrame:
                      ("repl_r", "repl_g", "repl_b"), ("_h", "_s", "_rl"))
     out = labelled.join(rep.select("image_id", "label", "_h", "_s"), ["image_id", "label"], "left")
     out = out.withColumn("_l", C.hsl_lightness(F.col("r"), F.col("g"), F.col("b")))
-    new = C.hsl_to_rgb(F.col("_h"), F.col("_s"), F.col("_l"))
+    out = C.with_rgb_from_hsl(out, ("_h", "_s", "_l"), ("_nr", "_ng", "_nb"))
     return out.select(
         *[c for c in labelled.columns if c not in ("r", "g", "b")],
-        *[F.when(F.col("_h").isNull(), F.col(c)).otherwise(v).alias(c) for c, v in zip("rgb", new)],
+        *[F.when(F.col("_h").isNull(), F.col(c)).otherwise(F.col(f"_n{c}")).alias(c) for c in "rgb"],
     )
 
 
@@ -144,10 +146,7 @@ def color_ramps(colors: DataFrame, steps: int = 5, ladder=LADDER) -> DataFrame:
     mixes = stepped.select(*keep, "step", F.inline(rows))
     hsl = C.with_hsl(colors).withColumn("_l", F.array(*[F.lit(float(v)) for v in ladder]))
     steps_df = hsl.select(*keep, "h", "s", F.posexplode("_l").alias("step", "_light"))
-    r, g, b = C.hsl_to_rgb(F.col("h"), F.col("s"), F.col("_light"))
-    lights = steps_df.select(
-        *keep, F.lit("ladder").alias("ramp"), "step", r.alias("r"), g.alias("g"), b.alias("b")
-    )
+    lights = C.with_rgb_from_hsl(steps_df, ("h", "s", "_light")).select(*keep, F.lit("ladder").alias("ramp"), "step", "r", "g", "b")
     return lights.unionByName(mixes)
 
 

@@ -134,7 +134,7 @@ def exact_fill(spark, sf):
 SELECT {K}, label, CASE WHEN idx IS NULL THEN r0 ELSE r END AS r, CASE WHEN idx IS NULL THEN g0 ELSE g END AS g,
  CASE WHEN idx IS NULL THEN b0 ELSE b END AS b FROM done""")
 def grain_fill(spark, sf):
-    out = paint.grain_fill(common.labelled_px(spark, sf), common.px_ranges(spark, sf), 0.75)
+    out = paint.grain_fill(common.labelled_px(spark, sf, keep_lab=True), common.px_ranges(spark, sf), 0.75)
     return out.select(*KEYS, "label", "r", "g", "b")
 
 

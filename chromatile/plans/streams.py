@@ -69,7 +69,7 @@ SELECT user_id, (CASE WHEN pos > 0 THEN tl[pos] ELSE -1 END)::INT AS current, gr
 
 @query("undo_redo", _UNDO)
 def undo_redo(spark, sf):
-    return ed.undo_redo(fixtures.edits(spark, sf), chunk_rows=2000)
+    return ed.undo_redo(fixtures.edits(spark, sf))
 
 
 @query("undo_redo_stream", _UNDO)

@@ -150,24 +150,20 @@ def upsert_presets(presets: DataFrame, incoming: DataFrame) -> DataFrame:
     by_id = keyed.groupBy("_i").agg(F.min(F.struct("ord", "id")).alias("_hit_i"))
     hit = new.join(by_name, "_n", "left").join(by_id, "_i", "left")
     hit = hit.withColumn("_hit", F.least("_hit_n", "_hit_i")).withColumnRenamed("id", "_in_id")
-    last = Window.partitionBy("_hit.ord").orderBy(F.col("_in_ord").desc())
     replaced = (
         hit.filter("_hit is not null")
-        .withColumn("_k", F.row_number().over(last))
-        .filter("_k = 1")
-        .select(F.col("_hit.ord").alias("ord"), F.col("_hit.id").alias("id"), *body)
+        .groupBy(F.col("_hit.ord").alias("ord"), F.col("_hit.id").alias("id"))
+        .agg(F.max_by(F.struct(*body), "_in_ord").alias("_b"))
+        .select("ord", "id", "_b.*")
     )
     kept = presets.join(replaced.select("ord"), "ord", "left_anti")
     # New rows: one per name, then one per id; later saves overwrite earlier ones.
     fresh = hit.filter("_hit is null").select("_in_ord", F.col("_in_id").alias("id"), *body)
-    per_name = Window.partitionBy(F.lower("name"))
-    latest = fresh.withColumns(
-        {
-            "_k": F.row_number().over(per_name.orderBy(F.col("_in_ord").desc())),
-            "_first": F.min(F.struct("_in_ord", "id")).over(per_name),
-        }
-    ).filter("_k = 1")
-    latest = latest.withColumn("id", F.col("_first.id")).withColumn("_in_ord", F.col("_first._in_ord"))
+    latest = (
+        fresh.groupBy(F.lower("name").alias("_name"))
+        .agg(F.max_by(F.struct(*body), "_in_ord").alias("_b"), F.min(F.struct("_in_ord", "id")).alias("_f"))
+        .select("_f._in_ord", "_f.id", "_b.*")
+    )
     taken = latest.withColumns(
         {
             "_slug": slug(F.col("name")),
