@@ -42,17 +42,45 @@ def _nearest(cs: Column) -> Column:
     )
 
 
-def _point() -> Column:
-    return F.struct("r", "g", "b", *LAB)
+RGB_SPAN = 2**24
+
+
+def _packed(rank: Column) -> Column:
+    """``(rank, r, g, b)`` as one long, so its maximum stays a hash aggregate.
+
+    A maximum over structs would sort every histogram row first.  Squared Lab
+    distances in millionths and pixel counts of one image both fit.
+    """
+    rgb = F.col("r") * 65536 + F.col("g") * 256 + F.col("b")
+    return rank.cast("long") * RGB_SPAN + rgb
+
+
+def _micro(d2: Column) -> Column:
+    return F.floor(d2 * 1e6 + 0.5)
+
+
+def _unpacked(df: DataFrame, key: str) -> DataFrame:
+    """Replace a packed key by ``rank``, ``r, g, b`` and Lab."""
+    rgb = F.col(key) % RGB_SPAN
+    parts = {
+        "rank": F.floor(F.col(key) / RGB_SPAN),
+        "r": F.floor(rgb / 65536).cast("int"),
+        "g": (F.floor(rgb / 256) % 256).cast("int"),
+        "b": (rgb % 256).cast("int"),
+    }
+    return with_lab(df.withColumns(parts).drop(key))
 
 
 def farthest_seed(histogram: DataFrame, centers: DataFrame) -> DataFrame:
     """Colour with the largest distance to its nearest centre, per image (largest rgb on ties)."""
     lab = histogram if set(LAB) <= set(histogram.columns) else with_lab(histogram)
     packed = centers.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("idx", *LAB))).alias("cs"))
-    scored = lab.join(packed, "image_id").withColumn("_d", _nearest(F.col("cs"))["d"])
-    best = scored.groupBy("image_id").agg(F.max(F.struct("_d", "r", "g", "b", *LAB)).alias("p"))
-    return best.select("image_id", F.col("p._d").alias("d2"), "p.r", "p.g", "p.b", *[f"p.{n}" for n in LAB])
+    return _farthest(lab.join(packed, "image_id"), ["image_id"]).select("image_id", "d2", "r", "g", "b", *LAB)
+
+
+def _farthest(scored: DataFrame, keys: list[str]) -> DataFrame:
+    best = scored.groupBy(*keys).agg(F.max(_packed(_micro(_nearest(F.col("cs"))["d"]))).alias("_far"))
+    return _unpacked(best, "_far").withColumn("d2", F.col("rank") / 1e6)
 
 
 def seed_centers(hist: DataFrame, k: int) -> DataFrame:
@@ -61,21 +89,14 @@ def seed_centers(hist: DataFrame, k: int) -> DataFrame:
     Returns one row per image: ``(image_id, cs)`` with up to ``k`` centres; an image
     with fewer distinct colours gets fewer.
     """
-    first = hist.groupBy("image_id").agg(F.max(F.struct("n", "r", "g", "b", *LAB)).alias("p"))
-    seeds = first.select(
-        "image_id", F.array(F.struct(F.lit(0).alias("idx"), *[F.col(f"p.{n}").alias(n) for n in LAB])).alias("cs")
-    )
+    first = _unpacked(hist.groupBy("image_id").agg(F.max(_packed(F.col("n"))).alias("_top")), "_top")
+    seeds = first.select("image_id", F.array(F.struct(F.lit(0).alias("idx"), *LAB)).alias("cs"))
     for i in range(1, k):
         seeds = materialize(seeds, "seeds")
-        far = (
-            hist.join(seeds, "image_id")
-            .withColumn("_d", _nearest(F.col("cs"))["d"])
-            .groupBy("image_id")
-            .agg(F.max(F.struct("_d", "r", "g", "b", *LAB)).alias("p"))
-        )
-        new = F.struct(F.lit(i).alias("idx"), *[F.col(f"p.{n}").alias(n) for n in LAB])
+        far = _farthest(hist.join(seeds, "image_id"), ["image_id"])
+        new = F.struct(F.lit(i).alias("idx"), *LAB)
         seeds = seeds.join(far, "image_id").select(
-            "image_id", F.when(F.col("p._d") > 0, F.concat("cs", F.array(new))).otherwise(F.col("cs")).alias("cs")
+            "image_id", F.when(F.col("d2") > 0, F.concat("cs", F.array(new))).otherwise(F.col("cs")).alias("cs")
         )
     return materialize(seeds, "seeds")
 
@@ -93,16 +114,16 @@ def lloyd(hist: DataFrame, models: DataFrame, rounds: int = ROUNDS) -> DataFrame
         parts = labelled.groupBy("image_id", "k", F.col("_near.i").alias("idx")).agg(
             F.sum("n").alias("n"),
             *[F.sum(F.col("n") * F.col(c)).alias(f"s{c}") for c in LAB],
-            F.max(F.struct(F.col("_near.d").alias("_d"), "r", "g", "b", *LAB)).alias("far"),
+            F.max(_packed(_micro(F.col("_near.d")))).alias("_far"),
         )
         per_model = parts.groupBy("image_id", "k").agg(
             F.collect_list(
                 F.struct("idx", *[(F.col(f"s{c}") / F.col("n")).alias(c) for c in LAB])
             ).alias("means"),
-            F.max("far").alias("far"),
+            F.max("_far").alias("_far"),
         )
-        joined = live.join(per_model, ["image_id", "k"])
-        far = F.struct(*[F.col(f"far.{c}").alias(c) for c in LAB])
+        joined = live.join(_unpacked(per_model, "_far"), ["image_id", "k"])
+        far = F.struct(*LAB)
 
         def moved_to(c: Column) -> Column:
             mine = F.get(F.filter("means", lambda m: m["idx"] == c["idx"]), F.lit(0))

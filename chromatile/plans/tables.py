@@ -300,7 +300,6 @@ def _session_docs(spark, sf):
         F.struct(F.lit("L2").alias("id"), F.lit("range").alias("type"), F.lit(None).cast("long").alias("x"), F.lit(None).cast("double").alias("scale"), F.lit("L1").alias("parent_id")),
     )
     doc = F.struct(
-        F.lit("wpedit").alias("format"),
         F.lit(2).alias("version"),
         F.when(k % 3 == 0, "equal_pixels").when(k % 3 == 1, "").alias("split_method"),
         F.when(k % 5 == 0, 0).when(k % 5 == 1, p).alias("range_count"),

@@ -1,4 +1,4 @@
-"""Edit-session documents (format ``wpedit``, version 2)."""
+"""Edit-session documents (version 2)."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ LAYER = _struct(
     parent_id=_S, range_index=_I, expanded=_B, text=_S,
 )
 SESSION = _struct(
-    format=_S, version=_I, image_path=_S, preset_id=_S, split_method=_S, assignment_mode=_S, range_count=_I,
+    version=_I, image_path=_S, preset_id=_S, split_method=_S, assignment_mode=_S, range_count=_I,
     bin_start=_D, min_coverage=_D, ranges=T.ArrayType(RANGE), texture=_struct(strength=_D, enabled=_B),
     tone=_struct(**{p: _D for p in PARAMS}), crop=_struct(x=_I, y=_I, zoom=_D),
     tessellate=_struct(h=_S, v=_S, built=_B, mode=_S, tiles=_I, lloyd=_I, normalize=_B),
