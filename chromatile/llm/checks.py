@@ -21,3 +21,51 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS B
          ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(ps, i)), lambda i: w[i]) END, ' ')) AS kept_sha256
 FROM words LEFT JOIN lost USING (doc_id)
 """
+
+MIX = rf"""
+WITH docs AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size,
+         md5('mix-1:' || CAST(coalesce(doc_id, 9223372036854775807) AS VARCHAR)) AS o FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM docs GROUP BY source
+), weighted AS (
+  SELECT source, source_size, CASE r % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM sources
+), sums AS (
+  SELECT *, 3 * sum(source_size) OVER () AS budget,
+         coalesce(sum(2 * source_size) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         sum(w) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_w
+  FROM weighted
+), clamped AS (
+  SELECT *, 4 * source_size * rest_w <= (budget - 2 * before) * w AS capped FROM sums
+), level AS (
+  SELECT CAST(3 * sum(source_size) - 2 * coalesce(sum(2 * source_size) FILTER (capped), 0) AS BIGINT) AS rest,
+         CAST(coalesce(sum(w) FILTER (NOT capped), 1) AS BIGINT) AS weight FROM clamped
+), targets AS (
+  SELECT source, source_size, CASE WHEN capped THEN CAST(2 * source_size AS DOUBLE) ELSE CAST(rest * w AS DOUBLE) / CAST(2 * weight AS DOUBLE) END AS target
+  FROM clamped, level
+), parts AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM targets
+), ordered AS (
+  SELECT d.doc_id, d.size, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS part,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.size ROWS UNBOUNDED PRECEDING) AS until
+  FROM docs d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source
+)
+SELECT doc_id, size, source_size, target,
+       CAST(size * least(2, whole + CASE WHEN part > 0 AND until - size / 2 <= part THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM ordered
+"""
+
+LINES = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS n
+  FROM documents
+), keyed AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines
+), shared AS (
+  SELECT k, max(doc_id) AS top FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (shared.k IS NOT NULL AND doc_id <> top) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (shared.k IS NULL OR doc_id = top), '')) AS kept_sha256
+FROM keyed LEFT JOIN shared USING (k) GROUP BY doc_id
+"""

@@ -6,13 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chromatile.llm import checks, simhash, substring
+from chromatile.llm import checks, decontam, langid, linededup, mixing, simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op5_decontaminate_cgk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_line_cuckoo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(_table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op9_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
@@ -22,8 +38,12 @@ def op10_substring_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op9_simhash_anchors": op9_simhash_anchors,
-    "op10_substring_doubling": op10_substring_doubling,
+    q.__name__: q
+    for q in (op2_mix_sources, op3_language_ppm, op5_decontaminate_cgk, op6_line_cuckoo, op9_simhash_anchors, op10_substring_doubling)
 }
 
-ORACLES: dict[str, str] = {"op10_substring_doubling": checks.SUBSTRING}
+ORACLES: dict[str, str] = {
+    "op2_mix_sources": checks.MIX,
+    "op6_line_cuckoo": checks.LINES,
+    "op10_substring_doubling": checks.SUBSTRING,
+}
