@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chromatile.llm import checks, decontam, langid, linededup, mixing, simhash, substring
+from chromatile.llm import checks, decontam, langid, linededup, mixing, pii, quotes, simhash, substring, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -21,6 +25,10 @@ def op3_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op4_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op5_decontaminate_cgk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -29,6 +37,14 @@ def op6_line_cuckoo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(_table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op7_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_ordered(_table(spark, sf_dir, "conversations"))
+
+
+def op8_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_inner_products(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
@@ -38,12 +54,17 @@ def op10_substring_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q
-    for q in (op2_mix_sources, op3_language_ppm, op5_decontaminate_cgk, op6_line_cuckoo, op9_simhash_anchors, op10_substring_doubling)
+    query.__name__: query
+    for query in (
+        op1_feistel_pseudonyms, op2_mix_sources, op3_language_ppm, op4_warc_normalise, op5_decontaminate_cgk,
+        op6_line_cuckoo, op7_quote_links, op8_pivot_topk, op9_simhash_anchors, op10_substring_doubling,
+    )
 }
 
 ORACLES: dict[str, str] = {
     "op2_mix_sources": checks.MIX,
+    "op4_warc_normalise": checks.WARC,
     "op6_line_cuckoo": checks.LINES,
+    "op8_pivot_topk": checks.TOPK,
     "op10_substring_doubling": checks.SUBSTRING,
 }
