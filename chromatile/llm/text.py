@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Bytes handled at once; a longer text is a block of its own.
@@ -33,13 +35,34 @@ def public_id(c: str = "doc_id") -> Column:
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of a string column; null reads as empty."""
-    column = column.fill_null("").cast(pa.large_string())
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    column = column.fill_null(b"" if binary else "").cast(pa.large_binary() if binary else pa.large_string())
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw, at
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """``narrow`` with the text as compressed bytes ``z``, for a shuffle that carries whole texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            raw, at = buffers(batch.column("text"))
+            data = memoryview(raw)
+            z = [pack(data[a:b]) for a, b in itertools.pairwise(at.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(z, pa.binary())], names=["doc_id", "z"])
+
+    return narrow(docs).mapInArrow(run, "doc_id long, z binary")
+
+
+def unpacked(column: pa.Array) -> pa.Array:
+    """UTF-8 texts of a column of compressed bytes."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    return pa.array([unpack(z) for z in column.to_pylist()], pa.large_binary())
+
+
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets in them) over runs of whole texts."""
     raw, at = buffers(column)
