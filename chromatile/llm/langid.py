@@ -80,47 +80,42 @@ class Model:
         self.other, start = len(seen), len(seen) + 1
         self.symbol = np.full(256, self.other, np.int32)
         self.symbol[seen] = np.arange(len(seen))
-        uniform = np.full(self.size, 1.0 / 256)
-        uniform[self.other] = 1.0 / 256  # each of the other bytes
-        uniform[start] = 0.0
+        self.start = start
         others = 256 - len(seen)
-        child = [np.full(self.size, -1, np.int64)]
         where = {(0, 0): 0}
         for k in range(1, order + 1):
             for context in np.unique(code[depth == k] >> 8).tolist():
-                where[k, context] = len(child)
-                child.append(np.full(self.size, -1, np.int64))
-                child[where[k - 1, context & ((1 << 8 * (k - 1)) - 1)]][self.symbol[context >> 8 * (k - 1)]] = where[k, context]
-        p = np.zeros((len(langs), len(child), self.size))
+                where[k, context] = len(where)
+        shorter = {k: [where[k - 1, c & ((1 << 8 * (k - 1)) - 1)] for d, c in where if d == k] for k in range(1, order + 1)}
+        nodes = self.nodes = len(where)
+        # a context that is not in the tree stops the walk: node + nodes keeps its place from then on
+        stay = np.arange(nodes, dtype=np.int32) + nodes
+        self.child = np.concatenate([stay, stay]).repeat(self.size)
+        for (k, context), node in where.items():
+            if k:
+                self.child[where[k - 1, context & ((1 << 8 * (k - 1)) - 1)] * self.size + self.symbol[context >> 8 * (k - 1)]] = node
+        begin = np.searchsorted([k for k, _ in where], np.arange(order + 2))
+        self.bits = np.zeros((nodes * self.size, len(langs)), np.float32)
         for l in range(len(langs)):
+            p = np.zeros((nodes, self.size))
             for k in range(order + 1):
+                lo, hi = begin[k], begin[k + 1]
                 mine = (lang == l) & (depth == k)
-                nodes = np.array([where[k, c] for c in (code[mine] >> 8).tolist()], np.int64)
-                symbols = self.symbol[code[mine] & 0xFF]
-                ids = np.array([v for (d, _), v in where.items() if d == k], np.int64)
-                shorter = np.array([where[k - 1, c & ((1 << 8 * (k - 1)) - 1)] for (d, c) in where if d == k], np.int64) if k else None
-                below = p[l, shorter] if k else np.repeat(uniform[None], len(ids), 0)
-                mass = below.copy()
-                mass[:, self.other] *= others
-                slot = np.full(len(child), -1)
-                slot[ids] = np.arange(len(ids))
-                c = np.zeros((len(ids), self.size))
-                c[slot[nodes], symbols] = n[mine]
-                total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-                unseen = np.where(c > 0, 0.0, mass).sum(1, keepdims=True)
+                c = np.zeros((hi - lo, self.size))
+                c[[where[k, x] - lo for x in (code[mine] >> 8).tolist()], self.symbol[code[mine] & 0xFF]] = n[mine]
+                below = p[shorter[k]] if k else np.full((1, self.size), 1.0 / 256)
+                if not k:
+                    below[:, start] = 0.0
+                new = c == 0
+                unseen = (below * new).sum(1, keepdims=True) + (others - 1) * below[:, [self.other]]
+                total, kinds = c.sum(1, keepdims=True), self.size - new.sum(1, keepdims=True)
                 escape = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
-                escape = np.where(unseen > 0, escape, 0.0)
-                own = c / np.maximum(total, 1) * (1 - escape)
-                p[l, ids] = np.where(c > 0, own, below * escape / np.maximum(unseen, 1e-300))
-        bits = np.zeros_like(p)
-        np.log2(p, out=bits, where=p > 0)
-        self.bits = np.ascontiguousarray(-bits.transpose(1, 2, 0).reshape(-1, len(langs)).astype(np.float32))
-        nodes = len(child)
-        # a context that is not in the tree stops the walk: node + nodes keeps its place from then on
-        grow = np.stack(child)
-        stop = np.arange(nodes)[:, None] + nodes
-        self.child = np.concatenate([np.where(grow >= 0, grow, stop), np.repeat(stop, self.size, 1)]).astype(np.int32).ravel()
-        self.nodes, self.start = nodes, start
+                escape[unseen <= 0] = 0.0
+                c *= (1 - escape) / np.maximum(total, 1)
+                below *= escape / np.maximum(unseen, 1e-300)
+                np.copyto(c, below, where=new)
+                p[lo:hi] = c
+            self.bits[:, l] = -np.log2(np.maximum(p, 1e-300)).ravel()
 
     def lengths(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Code length in bits of each text under each language."""
@@ -163,7 +158,7 @@ class Scorer:
         if not langs:
             return pred, score
         self.model = self.model or Model(langs, packed, self.order)
-        for lo, hi, raw, at in blocks(text, 1_000_000):
+        for lo, hi, raw, at in blocks(text, 300_000):
             bits = self.model.lengths(raw, at)
             size = np.maximum(np.diff(at), 1)[:, None]
             share = 1 / np.exp2((bits.min(1, keepdims=True) - bits) / size).sum(1)
