@@ -5,7 +5,7 @@ the same length, and zero for queries, the inner product falls as the distance g
 so the triangle inequality bounds it: distances of all rows to some pivots are computed
 once, and for a query and a candidate the largest difference of their distances to a
 pivot bounds their distance from below.  A query evaluates the candidates of a block in
-the order of their bounds and stops when the next bound cannot reach its k-th score.
+the order of their bounds and stops when no bound left can reach its k-th score.
 
 Queries and candidates meet in blocks of fixed size, so a task holds one block of each;
 every query meets every block, and its best of all blocks are ranked at the end.
@@ -58,25 +58,49 @@ def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
 
 
 def _search(candidates: pd.DataFrame, queries: pd.DataFrame, k: int, longest: float) -> pd.DataFrame:
-    """Best ``k`` of one block for each query of another."""
+    """Best ``k`` of one block for each query of another.
+
+    The candidates with the best bounds are evaluated first; those that can still reach
+    the k-th score follow in the order of their bounds, or, when they are a large part
+    of the block, in one product.
+    """
     ids, x = candidates["vec_id"].to_numpy(np.int64), np.stack(candidates["v"].to_numpy())
-    table = np.stack(candidates["far"].to_numpy()).astype(np.float32)
+    far = np.ascontiguousarray(np.stack(candidates["far"].to_numpy()).T.astype(np.float32))
     slack = 1e-5 * np.sqrt(longest + 1) + 1e-3
-    out = []
-    for q_id, key, q, sq, far in zip(queries["vec_id"], queries["key"], queries["v"], queries["sq"], queries["near"]):
-        bound = np.abs(table - np.asarray(far, np.float32)).max(axis=1).astype(np.float64)
-        most = np.floor((sq + longest - np.maximum(bound - slack, 0) ** 2) / 2 + 1e-6)
-        order = np.argsort(-most)
-        scores, at, kth, size = np.zeros(0), 0, -np.inf, STEP
-        while at < len(order) and most[order[at]] >= kth:
-            part = order[at : at + size]
-            got = x[part] @ q
-            got[ids[part] == q_id] = -np.inf
-            scores = np.concatenate([scores, got])
-            at, size = at + size, size * 2
-            if len(scores) >= k:
-                kth = np.partition(scores, len(scores) - k)[len(scores) - k]
-        seen = order[:at]
+    n, out = len(ids), []
+    bound, gap = np.empty(n, np.float32), np.empty(n, np.float32)
+
+    def evaluate(part: np.ndarray, q: np.ndarray, q_id: int) -> np.ndarray:
+        got = x[part] @ q
+        got[ids[part] == q_id] = -np.inf
+        return got
+
+    def least(scores: np.ndarray) -> float:
+        return np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else -np.inf
+
+    for q_id, key, q, sq, near in zip(queries["vec_id"], queries["key"], queries["v"], queries["sq"], queries["near"]):
+        bound.fill(0)
+        for row, d in zip(far, near):
+            np.subtract(row, np.float32(d), out=gap)
+            np.abs(gap, out=gap)
+            np.maximum(bound, gap, out=bound)
+        most = np.floor((sq + longest - np.maximum(bound - slack, 0).astype(np.float64) ** 2) / 2 + 1e-6)
+        seen = np.argpartition(most, n - STEP)[n - STEP :] if n > STEP else np.arange(n)
+        scores = evaluate(seen, q, q_id)
+        kth = least(scores)
+        rest = most >= kth
+        rest[seen] = False
+        rest = np.flatnonzero(rest)
+        if len(rest) > n // 4:
+            scores, seen = x @ q, np.arange(n)
+            scores[ids == q_id] = -np.inf
+            kth = least(scores)
+        else:
+            rest, at = rest[np.argsort(-most[rest])], 0
+            while at < len(rest) and most[rest[at]] >= kth:
+                part = rest[at : at + STEP]
+                scores, seen = np.concatenate([scores, evaluate(part, q, q_id)]), np.concatenate([seen, part])
+                at, kth = at + STEP, least(scores)
         good = np.flatnonzero((scores >= kth) & (scores > -np.inf))
         best = good[np.lexsort((ids[seen[good]], -scores[good]))][:k]
         out.append(pd.DataFrame({"query_id": q_id, "key": key, "vec_id": ids[seen[best]], "score": scores[best].astype(np.int64)}))
