@@ -322,22 +322,22 @@ def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs
     decisions = LineStore(docs.sparkSession, min_chars).insert(docs).decisions(min_docs)
     decisions = decisions.select("_id", F.col("drops").alias("_drops"))
     names = docs.columns
-    joined = docs.join(decisions, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("_id"), "left")
+    joined = docs.join(decisions, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == decisions["_id"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, drops, changed = batch.column("text").to_pylist(), batch.column("_drops"), np.zeros(batch.num_rows, bool)
+            texts, drops, changed = batch.column(names.index("text")).to_pylist(), batch.column(len(names)), np.zeros(batch.num_rows, bool)
             for i, text in enumerate(texts):
                 if drops[i].is_valid and text is not None:
                     own = drops[i].values
                     gone = {row.tobytes() for row in np.stack([np.array(own.field("k1")), np.array(own.field("k2"))], 1)}
                     stay = [x for x in text.encode().split(b"\n") if xxhash.xxh3_128_digest(line_key(x)) not in gone]
                     texts[i], changed[i] = b"\n".join(stay).decode(), True
-            columns = {n: batch.column(n) for n in names} | {"text": pa.array(texts, pa.string())}
+            columns = {n: batch.column(i) for i, n in enumerate(names)} | {"text": pa.array(texts, pa.string())}
             if "n_chars" in columns:
                 old = columns["n_chars"]
                 size = pc.cast(pc.utf8_length(columns["text"]), old.type)
                 columns["n_chars"] = pc.if_else(pa.array(changed), size, old)
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
-    return joined.select(*[docs[n] for n in names], "_drops").mapInArrow(run, docs.schema)
+    return joined.select(*[docs[n] for n in names], decisions["_drops"]).mapInArrow(run, docs.schema)

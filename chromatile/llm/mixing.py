@@ -105,9 +105,9 @@ def repeat_documents(docs: DataFrame, **settings) -> DataFrame:
     taken = taken.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("_text").alias("_hash"), "source").agg(F.max("repeats").alias("_repeats"))
     taken = taken.withColumnRenamed("source", "_source")
     same = (
-        (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("_id"))
-        & (F.xxhash64(docs["text"].cast("string")) == F.col("_hash"))
-        & docs["source"].cast("string").eqNullSafe(F.col("_source"))
+        (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == taken["_id"])
+        & (F.xxhash64(docs["text"].cast("string")) == taken["_hash"])
+        & docs["source"].cast("string").eqNullSafe(taken["_source"])
     )
     columns = [docs[c] for c in docs.columns if c != "copy"]
-    return docs.join(taken, same).select(*columns, F.explode(F.sequence(F.lit(1), "_repeats")).alias("copy"))
+    return docs.join(taken, same).select(*columns, F.explode(F.sequence(F.lit(1), taken["_repeats"])).alias("copy"))

@@ -217,4 +217,4 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, bits: int = MAX_
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:
     """The documents whose id is the smallest of their group; all rows of that id stay."""
     kept = near_duplicates(docs, shingle, bits).filter("doc_id = component").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("_kept"), "left_semi")
+    return docs.join(kept, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == kept["_kept"], "left_semi")

@@ -115,14 +115,12 @@ def top_inner_products(rows: DataFrame, is_query: Column | None = None, k: int =
     n, longest = vectors.agg(F.count("*"), F.max("sq")).first()
     longest = float(longest or 0.0)
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(PIVOT_SAMPLE).select("v").collect()
-    shared = spark.sparkContext.broadcast(choose_pivots(np.array([r["v"] for r in sample], float), pivots))
+    shared = spark.sparkContext.broadcast(choose_pivots(np.array([r["v"] for r in sample], float).reshape(len(sample), -1), pivots) if sample else np.zeros((0, 0)))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = shared.value
         p_sq = (p**2).sum(1)
         for part in batches:
-            if not len(part):
-                continue
             x, sq = np.stack(part["v"].to_numpy()), part["sq"].to_numpy()[:, None]
             dot = x @ p.T
             lift = np.sqrt(np.maximum(longest - sq, 0)) - np.sqrt(np.maximum(longest - p_sq, 0))
