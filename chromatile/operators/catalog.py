@@ -39,11 +39,13 @@ def display_code(key: Column) -> Column:
     return F.array_join(F.transform(tokens, shown), " ")
 
 
+# Forms of the codes.
+BOOK_CODE, FASHION_CODE = r"^\d+[a-z]?\s+[cu]$", r"^\d{2}-\d{4}(?:\s+\w+)?$"
+
+
 def canonical_rank(key: Column) -> Column:
     """0 for numeric book codes, 1 for fashion codes, 2 for names."""
-    return (
-        F.when(key.rlike(r"^\d+[a-z]?\s+[cu]$"), 0).when(key.rlike(r"^\d{2}-\d{4}(?:\s+\w+)?$"), 1).otherwise(2)
-    )
+    return F.when(key.rlike(BOOK_CODE), 0).when(key.rlike(FASHION_CODE), 1).otherwise(2)
 
 
 def load_catalog(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -22,14 +22,16 @@ def stride(w: Column, h: Column, edge: int) -> Column:
     return F.greatest(F.lit(1.0), F.rint(F.greatest(w, h) / F.lit(float(edge)))).cast("int")
 
 
-def probe(pixels: DataFrame, edge: int = 96, above: int | None = None) -> DataFrame:
-    """Every ``step``-th pixel of both axes, re-indexed, with the source size kept.
+def probe(pixels: DataFrame, edge: int | None = None, above: int | None = None) -> DataFrame:
+    """All pixels, or with ``edge`` every ``step``-th of both axes, re-indexed, with the source size kept.
 
     Adds ``w``/``h`` (probe size), ``full_w``/``full_h`` and ``step``.  Images whose
     long side is at most ``above`` (default ``edge``) are kept whole.
     """
-    limit = edge if above is None else above
     sized = with_dims(pixels)
+    if edge is None:
+        return sized.withColumns({"full_w": F.col("w"), "full_h": F.col("h"), "step": F.lit(1)})
+    limit = edge if above is None else above
     step = F.when(F.greatest("w", "h") <= limit, 1).otherwise(stride(F.col("w"), F.col("h"), edge))
     out = sized.withColumn("step", step).filter((F.col("x") % F.col("step") == 0) & (F.col("y") % F.col("step") == 0))
     other = [c for c in pixels.columns if c not in ("x", "y")]

@@ -12,7 +12,7 @@ from chromatile.operators.assign import LAB
 from chromatile.session import materialize
 
 # Fixed values of the flatten.
-FIELD_EDGE, PLANE_EDGE, TONE_EDGE = 32, 48, 256
+FIELD_EDGE = 32
 BLUR_SHARE, BLUR_MIN = 0.35, 1.2
 CHROMA_MIX, GAIN_FLOOR = 0.35, 1.0
 
@@ -105,7 +105,7 @@ def flatten_lighting(pixels: DataFrame) -> DataFrame:
     chroma = out.groupBy("image_id").agg(*[F.avg(f"_f{c}").alias(f"_m{c}") for c in (A, B)])
     out = out.join(chroma, "image_id")
     out = out.withColumns({c: F.col(c) - CHROMA_MIX * (F.col(f"_f{c}") - F.col(f"_m{c}")) for c in (A, B)}).select(*lab.columns)
-    plane = stats.light_plane(materialize(out, "bowl"), L, PLANE_EDGE)
+    plane = stats.light_plane(materialize(out, "bowl"), L)
     p = out.join(plane, "image_id").join(sizes, "image_id")
     u, v = (F.when(F.col(n) > 1, F.col(a) / (F.col(n) - 1)).otherwise(0.0) for a, n in (("x", "w"), ("y", "h")))
     surface = F.col("c0") + F.col("c1") * u + F.col("c2") * v + F.col("c3") * u * v
@@ -124,8 +124,10 @@ def flatten_lighting(pixels: DataFrame) -> DataFrame:
     return C.with_rgb_from_lab(out).select(*pixels.columns)
 
 
-def normalize_tone(pixels: DataFrame) -> DataFrame:
-    """Darks and lights that imitate the flatten, estimated on a copy of at most 256 px."""
-    tw, th = raster.fit_edge(F.col("w"), F.col("h"), TONE_EDGE, rounding="nearest")
-    work = materialize(raster.resize_to(pixels, tw, th, "bilinear"), "work")
+def normalize_tone(pixels: DataFrame, edge: int | None = None) -> DataFrame:
+    """Darks and lights that imitate the flatten; ``edge`` estimates them on a copy of that size."""
+    work = pixels
+    if edge is not None:
+        tw, th = raster.fit_edge(F.col("w"), F.col("h"), edge, rounding="nearest")
+        work = materialize(raster.resize_to(pixels, tw, th, "bilinear"), "work")
     return stats.tone_fit(work, flatten_lighting(work))

@@ -1,7 +1,7 @@
 """Wrap cost, motif period and the searches built on them.
 
-Searches run on a stride probe of at most about 144 pixels a side, so what they
-hold per image is bounded whatever the source size.
+Searches read every pixel of the image, but a candidate window only touches its edge
+strips, so a pixel emits rows for the candidates on whose strips it lies.
 """
 
 from __future__ import annotations
@@ -15,13 +15,14 @@ from chromatile.session import materialize
 # Fixed values of the search.
 BAND = 8
 STRUCTURE_WEIGHT, COLOR_WEIGHT = 1.0, 0.15
-PROBE_EDGE, PERIOD_EDGE = 96, 160
 MATCH_LIMIT = 0.25
 PERIOD_MIN, PEAK_MIN, PEAK_SHARE = 4, 0.18, 0.45
 ZOOMS = (1.0, 1.08, 1.16, 1.25)
 ORIGINS = 7
 ZOOM_COST, LEFTOVER_COST = 0.02, 80.0
 SHIFT_SHARE, SHIFT_MAX = 0.12, 40
+# Lags of one row of the correlation.
+LAG_BLOCK = 256
 
 
 def band_size(n: Column) -> Column:
@@ -84,8 +85,8 @@ def seam_mismatch(pixels: DataFrame, h_on: bool = True, v_on: bool = True) -> Da
 
 
 def profile(pixels: DataFrame, axis: str) -> DataFrame:
-    """Mean luma per position of the period probe, with the probe and full length."""
-    p = frame.probe(pixels, PROBE_EDGE, above=PERIOD_EDGE)
+    """Mean luma per position, with the length of the axis."""
+    p = frame.probe(pixels)
     size = "w" if axis == "x" else "h"
     return p.groupBy("image_id", F.col(axis).alias("pos")).agg(
         F.avg(luma(F.col("r"), F.col("g"), F.col("b"))).alias("m"),
@@ -97,8 +98,8 @@ def profile(pixels: DataFrame, axis: str) -> DataFrame:
 def axis_period(pixels: DataFrame, axis: str = "x") -> DataFrame:
     """Motif period along an axis, ``(image_id, period)``; the full span when not periodic.
 
-    The profile has at most about 160 entries per image, so it is packed into an
-    array and correlated in place instead of by a self join.
+    The profile, one entry per row or column, is packed into an array and correlated
+    in place instead of by a self join, a block of lags at a time.
     """
     packed = profile(pixels, axis).groupBy("image_id").agg(
         F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("_p"), F.max("n").alias("n"), F.max("n_full").alias("n_full")
@@ -119,9 +120,13 @@ def axis_period(pixels: DataFrame, axis: str = "x") -> DataFrame:
 
     s = s.withColumn("_e", dot(F.lit(0)))
     hi = F.greatest(F.lit(PERIOD_MIN + 1), F.floor(n / 2).cast("int"))
-    s = s.withColumn("_hi", hi).withColumn(
-        "_ac", F.transform(F.sequence(F.lit(0), F.greatest(F.col("_hi"), F.lit(1)) - 1), lambda k: F.when(k < n, q(dot(k) / (F.col("_e") + 1e-12), 9)))
-    )
+    s = materialize(s.withColumn("_hi", hi).select("image_id", "n", "n_full", "_w", "_e", "_hi"), "signal")
+    last = F.greatest(F.col("_hi"), F.lit(1)) - 1
+    cut = s.select("*", F.explode(F.sequence(F.lit(0), F.floor(last / LAG_BLOCK).cast("int"))).alias("_b")).repartition("image_id", "_b")
+    lags = F.sequence(F.col("_b") * LAG_BLOCK, F.least(last, F.col("_b") * LAG_BLOCK + (LAG_BLOCK - 1)))
+    part = F.transform(lags, lambda k: F.when(k < n, q(dot(k) / (F.col("_e") + 1e-12), 9)))
+    parts = cut.select("image_id", "_b", part.alias("_part")).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("_b", "_part"))).alias("_parts"))
+    s = s.drop("_w").join(parts, "image_id").withColumn("_ac", F.flatten(F.transform("_parts", lambda x: x["_part"])))
     lo = PERIOD_MIN
     region = F.slice("_ac", F.lit(lo + 1), F.greatest(F.col("_hi") - lo, F.lit(0)))
     # Written once: the peak rules below read the correlation many times.
@@ -174,7 +179,13 @@ def _search(probe: DataFrame, windows: DataFrame, h_on: bool, v_on: bool) -> Dat
     x, y = F.col("x"), F.col("y")
 
     def holds(c: Column) -> Column:
-        return (x >= c["x0"]) & (x < c["x0"] + c["cw"]) & (y >= c["y0"]) & (y < c["y0"] + c["ch"])
+        i, j = x - c["x0"], y - c["y0"]
+        inside = (i >= 0) & (i < c["cw"]) & (j >= 0) & (j < c["ch"])
+        on = F.lit(False)
+        for at, n, axis_on in ((i, c["cw"], h_on), (j, c["ch"], v_on)):
+            if axis_on:
+                on = on | (at < BAND) | (at >= n - BAND)
+        return inside & on
 
     hits = j.select("image_id", "x", "y", "r", "g", "b", F.explode(F.filter("_ws", holds)).alias("c"))
     roles = _roles(x - F.col("c.x0"), y - F.col("c.y0"), F.col("c.cw"), F.col("c.ch"), h_on, v_on)
@@ -186,8 +197,8 @@ def _search(probe: DataFrame, windows: DataFrame, h_on: bool, v_on: bool) -> Dat
 
 
 def _to_full(best: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Scale a probe origin back to full resolution and keep it legal."""
-    j = best.join(sizes, "image_id")
+    """Scale an origin back to the image and keep it legal; an image too small for any window keeps all of itself."""
+    j = sizes.join(best, "image_id", "left").fillna({"x0": 0, "y0": 0, "zoom": 1.0, "cost": 0.0})
 
     def back(o: str, p: str, f: str) -> Column:
         top = F.col(f) - _window(F.col(f), F.col("zoom"))
@@ -209,7 +220,7 @@ def _zoom_cost(z: Column) -> Column:
 
 def best_wrap_crop(pixels: DataFrame, h_side: str | None = "left", v_side: str | None = "top") -> DataFrame:
     """Crop window with the cheapest wrap: ``(image_id, x, y, zoom, cost)``."""
-    probe = frame.probe(pixels, PROBE_EDGE)
+    probe = frame.probe(pixels)
     sizes = _probe_sizes(probe)
     zooms = F.array(*[F.struct(F.lit(i).alias("zi"), F.lit(z).alias("zoom")) for i, z in enumerate(ZOOMS)])
     w = sizes.select("image_id", "w", "h", F.inline(zooms)).withColumns(
@@ -227,7 +238,7 @@ def best_wrap_crop(pixels: DataFrame, h_side: str | None = "left", v_side: str |
 def best_repeat_crop(pixels: DataFrame, h_side: str | None = "left", v_side: str | None = "top") -> DataFrame:
     """The same over windows that prefer whole motif repeats."""
     h_on, v_on = bool(h_side), bool(v_side)
-    probe = frame.probe(pixels, PROBE_EDGE)
+    probe = frame.probe(pixels)
     sizes = _probe_sizes(probe)
     plain = probe.select("image_id", "y", "x", "r", "g", "b")
     px = axis_period(plain, "x").withColumnRenamed("period", "px")
@@ -295,7 +306,7 @@ def _shift_costs(pixels: DataFrame, shifts: DataFrame, axis: str) -> DataFrame:
 def best_shift(pixels: DataFrame, axis: str = "x") -> DataFrame:
     """Signed integer roll with the cheapest wrap, ``(image_id, shift)``."""
     size = "w" if axis == "x" else "h"
-    probe = frame.probe(pixels, PROBE_EDGE)
+    probe = frame.probe(pixels)
     sizes = probe.groupBy("image_id").agg(F.max(size).alias("n"), F.max(f"full_{size}").alias("fn"))
     span = F.greatest(F.lit(1), F.least(F.lit(SHIFT_MAX), F.rint(F.col("n") * SHIFT_SHARE).cast("int")))
     step = F.greatest(F.lit(1), F.floor(F.col("span") / 6).cast("int"))

@@ -285,11 +285,12 @@ def axis_profile(pixels: DataFrame, axis: str = "x") -> DataFrame:
     )
 
 
-def light_plane(pixels: DataFrame, value: str = "lab_l", edge: int = 48) -> DataFrame:
+def light_plane(pixels: DataFrame, value: str = "lab_l", edge: int | None = None) -> DataFrame:
     """Least-squares ``c0 + c1 x + c2 y + c3 xy`` of ``value``, x and y scaled to 0..1.
 
     On a full rectangle the centred basis is orthogonal, so each coefficient is a
-    ratio of two sums and one aggregate per image fits the plane.
+    ratio of two sums and one aggregate per image fits the plane.  ``edge`` asks for
+    a strided copy of about that size instead of all pixels.
     """
     work = frame.probe(pixels, edge)
     X = F.when(F.col("w") > 1, F.col("x") / (F.col("w") - 1) - 0.5).otherwise(0.0)

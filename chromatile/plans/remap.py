@@ -9,7 +9,7 @@ from chromatile.operators import paint, raster
 from chromatile.plans import duck
 from chromatile.plans.registry import query
 from chromatile.plans.spatial import SZ, _PERIOD
-from chromatile.plans.statistics import probe_sql
+from chromatile.plans.statistics import sized_sql
 
 GRID = duck.GRID
 GS = "gs AS (SELECT * FROM grid JOIN sz USING (image_id))"
@@ -123,7 +123,7 @@ def pin_edges(spark, sf):
 
 
 # Vertical only, nearest: stretch or copy the whole-repeat core, then pin top and bottom.
-@query("tile_from_motif", duck.with_(*BASE, "pp AS (SELECT image_id, x, y, r, g, b FROM grid)", probe_sql("pp", 96, "r, g, b", 160), _PERIOD, f"""
+@query("tile_from_motif", duck.with_(*BASE, "pp AS (SELECT image_id, x, y, r, g, b FROM grid)", sized_sql("pp", "r, g, b"), _PERIOD, f"""
 pd AS (SELECT image_id, (CASE WHEN k >= n//2 THEN nf ELSE greatest(4, least(nf, {duck.rint('k*nf/n::DOUBLE')})) END)::INT AS p FROM kk),
 co AS (SELECT sz.*, CASE WHEN p >= h THEN h ELSE (h // p) * p END AS ch FROM sz JOIN pd USING (image_id)),
 ds AS (SELECT gs.image_id, gs.y, gs.x, gs.w, gs.h, (CASE WHEN gs.h - ch <= 2 THEN CASE WHEN gs.y >= ch THEN gs.y % ch ELSE gs.y END ELSE floor((gs.y+0.5)*(ch/gs.h::DOUBLE)) END)::INT AS sy FROM gs JOIN co USING (image_id)),

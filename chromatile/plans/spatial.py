@@ -9,7 +9,7 @@ from chromatile.functions import color as C
 from chromatile.operators import seams, stencil
 from chromatile.plans import duck
 from chromatile.plans.registry import query
-from chromatile.plans.statistics import probe_sql
+from chromatile.plans.statistics import sized_sql
 
 GRID, GRAY = duck.GRID, duck.GRAY
 SZ = "sz AS (SELECT image_id, (max(x)+1)::INT AS w, (max(y)+1)::INT AS h FROM {s} GROUP BY ALL)"
@@ -106,7 +106,7 @@ kk AS (SELECT image_id, n, nf, CASE WHEN pk < 0.18 THEN n WHEN c//2 >= 4 AND hac
     l=duck.luma(), ac=duck.q("sum(a.wv*b.wv)/(max(e)+1e-12)", 9))
 
 
-@query("axis_period", duck.with_(GRID, probe_sql("grid", 96, "r, g, b", 160), _PERIOD) + f"""
+@query("axis_period", duck.with_(GRID, sized_sql("grid", "r, g, b"), _PERIOD) + f"""
 SELECT image_id, (CASE WHEN k >= n//2 THEN nf ELSE greatest(4, least(nf, {duck.rint('k*nf/n::DOUBLE')})) END)::INT AS period FROM kk""")
 def axis_period(spark, sf):
     return seams.axis_period(fixtures.grid(spark, sf), "y")
@@ -121,7 +121,7 @@ cd AS (SELECT image_id, zi*10000+yi*100+xi AS ord, z, fw, fh, pw, ph, {duck.rint
 ww AS (SELECT p.image_id, ord, p.x-x0 AS x, p.y-y0 AS y, r, g, b, cw AS w, ch AS h FROM probe p JOIN cd USING (image_id) WHERE p.x >= x0 AND p.x < x0+cw AND p.y >= y0 AND p.y < y0+ch)"""
 
 
-@query("best_wrap_crop", duck.with_(GRID, probe_sql("grid", 96, "r, g, b"), _CROP, _strips("ww", "image_id, ord"), f"""
+@query("best_wrap_crop", duck.with_(GRID, sized_sql("grid", "r, g, b"), _CROP, _strips("ww", "image_id, ord"), f"""
 tc AS (SELECT cd.*, {duck.q('cost + 0.02::DOUBLE*(z-1)*255::DOUBLE*255::DOUBLE', 6)} AS tot FROM cd JOIN ec USING (image_id, ord) WHERE cw >= 2 AND ch >= 2),
 bb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY tot, ord) AS rk FROM tc) WHERE rk = 1)""") + f"""
 SELECT image_id, greatest(0, least({duck.rint('x0/pw::DOUBLE*fw')}, fw - {_WIN.format(n='fw')}))::INT AS x,
@@ -142,7 +142,7 @@ def _shift_rows(src: str, n: str, cand: str) -> str:
  UNION ALL SELECT p.image_id, ord, s, ((p.y + s) % {n} + {n}) % {n} - ({n}-{b}), p.x, 1, r, g, b FROM {src} p JOIN {cand} USING (image_id) WHERE ((p.y + s) % {n} + {n}) % {n} >= {n}-{b}"""
 
 
-@query("best_shift", duck.with_(GRID, probe_sql("grid", 96, "r, g, b"), f"""
+@query("best_shift", duck.with_(GRID, sized_sql("grid", "r, g, b"), f"""
 sp0 AS (SELECT image_id, max(h) AS n, max(full_h) AS fn FROM probe GROUP BY ALL),
 sp1 AS (SELECT *, greatest(1, least(40, {duck.rint('n*0.12::DOUBLE')}))::INT AS span FROM sp0),
 sp2 AS (SELECT *, greatest(1, span // 6) AS st FROM sp1),

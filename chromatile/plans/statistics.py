@@ -194,19 +194,14 @@ def axis_profile(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
-_STEP = "greatest(1, round_even(greatest(w,h)/{e}::DOUBLE,0))::INT"
 
-
-def probe_sql(src: str, edge: int, cols: str, above: int | None = None, name: str = "probe") -> str:
-    """CTEs ``dims`` and ``name``: the strided copy of ``src``."""
-    lim = edge if above is None else above
+def sized_sql(src: str, cols: str, name: str = "probe") -> str:
+    """CTEs ``dims`` and ``name``: all pixels of ``src`` with their image size."""
     return f"""dims AS (SELECT image_id, (max(x)+1)::INT AS w, (max(y)+1)::INT AS h FROM {src} GROUP BY ALL),
-dst AS (SELECT *, CASE WHEN greatest(w,h) <= {lim} THEN 1 ELSE {_STEP.format(e=edge)} END AS step FROM dims),
-{name} AS (SELECT s.image_id, (s.x // step)::INT AS x, (s.y // step)::INT AS y, {cols}, ceil(w/step::DOUBLE)::INT AS w, ceil(h/step::DOUBLE)::INT AS h, w AS full_w, h AS full_h, step
-  FROM {src} s JOIN dst USING (image_id) WHERE s.x % step = 0 AND s.y % step = 0)"""
+{name} AS (SELECT s.image_id, s.x::INT AS x, s.y::INT AS y, {cols}, w, h, w AS full_w, h AS full_h FROM {src} s JOIN dims USING (image_id))"""
 
 
-@query("light_plane", duck.with_(GRID, duck.lab_cte("gl", "grid"), probe_sql("gl", 48, "lab_l"), """
+@query("light_plane", duck.with_(GRID, duck.lab_cte("gl", "grid"), sized_sql("gl", "lab_l"), """
 b0 AS (SELECT *, CASE WHEN w>1 THEN x/(w-1)::DOUBLE-0.5 ELSE 0 END AS ux, CASE WHEN h>1 THEN y/(h-1)::DOUBLE-0.5 ELSE 0 END AS uy FROM probe),
 f AS (SELECT image_id, avg(lab_l) AS m, coalesce(sum(lab_l*ux)/nullif(sum(ux*ux),0),0) AS kx, coalesce(sum(lab_l*uy)/nullif(sum(uy*uy),0),0) AS ky,
   coalesce(sum(lab_l*ux*uy)/nullif(sum(ux*uy*ux*uy),0),0) AS kxy FROM b0 GROUP BY ALL)""") + f"""

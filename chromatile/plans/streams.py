@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from chromatile import fixtures
 from chromatile.plans import common, duck
 from chromatile.plans.registry import query
+from chromatile.session import use_state_store
 from chromatile.streaming import edits as ed
 
 EDITS = duck.EDITS
 
 
 def _edit_stream(spark, sf):
+    use_state_store(spark)
     return fixtures.edit_rows(ed.read_table_stream(spark, sf, "events"))
 
 
@@ -78,6 +80,26 @@ def undo_redo_stream(spark, sf):
     return ed.describe_state(ed.newest(rows, ["user_id"]))
 
 
-@query("dedupe_edits")
+def _split_edits(spark, sf):
+    return fixtures.edit_rows(ed.split_table_stream(spark, sf, "events", "ts"))
+
+
+def _closed(rows):
+    """Rows of the last complete result."""
+    last = rows.agg(F.max("batch").alias("batch"))
+    return rows.join(last, "batch", "left_semi").drop("batch")
+
+
+@query("dedupe_edits", duck.with_(EDITS) + """
+SELECT user_id, action, color, ts, event_id, payload FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id, action, color ORDER BY ts, event_id) AS before FROM edits)
+WHERE before IS NULL OR ts - before >= INTERVAL '1 hour'""")
 def dedupe_edits(spark, sf):
-    return ed.run_available(ed.dedupe_edits(_edit_stream(spark, sf)), "append", "dedupe").drop("batch").withColumn("ts", fixtures.zoneless("ts"))
+    rows = ed.run_available(ed.dedupe_edits(_split_edits(spark, sf)), "complete", "dedupe")
+    return _closed(rows).withColumn("ts", fixtures.zoneless("ts"))
+
+
+@query("debounce_stream", duck.with_(EDITS) + """
+SELECT user_id, ts, event_id, action, color FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM edits) WHERE nx IS NULL OR nx - ts >= INTERVAL '2 hours'""")
+def debounce_stream(spark, sf):
+    rows = ed.run_available(ed.debounce_stream(_split_edits(spark, sf), "2 hours"), "complete", "debounce")
+    return _closed(rows).withColumn("ts", fixtures.zoneless("ts"))

@@ -360,7 +360,7 @@ def write_plates(spark, sf):
 
 
 @query("write_job_pack", duck.with_(common.LABELLED, common.RANGES) + f"""
-SELECT 'masks' AS part, image_id, count(*)::BIGINT AS n, sum(255)::BIGINT AS total FROM labelled WHERE a > 0 GROUP BY ALL
+SELECT 'masks' AS part, image_id, count(*)::BIGINT AS n, sum(255)::BIGINT AS total FROM labelled WHERE a > 0 AND label >= 0 GROUP BY ALL
 UNION ALL SELECT 'luma', image_id, count(*), sum({duck.tobyte(duck.luma())})::BIGINT FROM labelled GROUP BY ALL
 UNION ALL SELECT 'exact', l.image_id, count(*), sum(CASE WHEN visible = false THEN 0 ELSE coalesce(repl_r, r) END)::BIGINT FROM labelled l LEFT JOIN ranges ON l.image_id = ranges.image_id AND label = idx GROUP BY ALL
 UNION ALL SELECT 'manifest', image_id, 1, 3 FROM ranges GROUP BY ALL""")

@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# State store that the custom stateful operators need.
+STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def local_session(cores: int | str = 8, name: str = "chromatile") -> SparkSession:
     """Session for tests and benches; a cluster brings its own."""
     return (
@@ -20,10 +24,16 @@ def local_session(cores: int | str = 8, name: str = "chromatile") -> SparkSessio
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
         .getOrCreate()
     )
 
 
+def use_state_store(spark: SparkSession) -> None:
+    """For applications with custom stateful operators, in sessions that do not come from ``local_session``."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: ``spark.checkpoint.dir``.
 

@@ -71,12 +71,13 @@ def scan_images(spark: SparkSession, path: str) -> DataFrame:
     ).select("image_id", "width", "nChannels", "y", F.substring("data", F.col("y") * stride + 1, stride).alias("row"))
     rows = rows.repartition("image_id", "y")
     px = rows.select(
-        "image_id", "y", "nChannels", F.hex("row").alias("row"), F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x")
+        "image_id", "y", "nChannels", "row", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x")
     )
 
     def byte(i: int):
-        at = F.col("x") * F.col("nChannels") * 2 + (2 * i + 1)
-        return F.conv(F.substring("row", at, F.lit(2)), 16, 10).cast("int")
+        # sliced from the binary row, so a pixel costs the same in a row of any width
+        at = F.col("x") * F.col("nChannels") + (i + 1)
+        return F.conv(F.hex(F.substring("row", at, F.lit(1))), 16, 10).cast("int")
 
     return px.select(
         "image_id", "y", "x", byte(2).alias("r"), byte(1).alias("g"), byte(0).alias("b"),

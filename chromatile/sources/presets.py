@@ -69,9 +69,9 @@ def _clamped(rgb: Column) -> Column:
 
 
 def load_presets(spark: SparkSession, path: str) -> DataFrame:
-    """Presets of one or many multi-line JSON documents; ``ord`` is the order inside a document."""
-    raw = spark.read.schema(DOCUMENT).json(path, multiLine=True)
-    rows = raw.select(F.posexplode("presets").alias("ord", "p")).select("ord", "p.*")
+    """Presets of one or many multi-line JSON documents, keyed by ``document``; ``ord`` is the order inside one."""
+    raw = spark.read.schema(DOCUMENT).json(path, multiLine=True).withColumn("document", F.input_file_name())
+    rows = raw.select("document", F.posexplode("presets").alias("ord", "p")).select("document", "ord", "p.*")
     return clean_presets(rows)
 
 
@@ -85,7 +85,8 @@ def parse_presets(docs: DataFrame, text: str = "json") -> DataFrame:
 
 
 def clean_presets(rows: DataFrame) -> DataFrame:
-    """Drop bad presets and repair bad fields; the first of a repeated id wins."""
+    """Drop bad presets and repair bad fields; the first of a repeated id wins, in each document if rows name one."""
+    keys = [c for c in ("document",) if c in rows.columns]
     name = F.trim(F.coalesce("name", F.lit("")))
     bands = F.transform(
         "bands",
@@ -102,6 +103,7 @@ def clean_presets(rows: DataFrame) -> DataFrame:
     )
     pid = F.trim(F.coalesce("id", F.lit("")))
     fixed = kept.select(
+        *keys,
         "ord",
         F.when(pid == "", slug(F.col("name"))).otherwise(pid).alias("id"),
         "name",
@@ -110,7 +112,7 @@ def clean_presets(rows: DataFrame) -> DataFrame:
         "bands",
         F.when(F.size("weights") == F.size("bands"), F.col("weights")).alias("weights"),
     )
-    best = Window.partitionBy("id").orderBy("ord")
+    best = Window.partitionBy(*keys, "id").orderBy("ord")
     return fixed.withColumn("_k", F.row_number().over(best)).filter("_k = 1").drop("_k")
 
 

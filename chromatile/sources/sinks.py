@@ -62,7 +62,7 @@ def write_job_pack(labelled: DataFrame, ranges: DataFrame, path: str, strength:
     """
     out = {k: f"{path}/{k}" for k in ("masks", "luma", "exact", "grain", "manifest")}
     keys = [c for c in labelled.columns if c not in ("r", "g", "b", "a", "label")]
-    masks = labelled.filter(F.col("a") > 0).select(*keys, F.col("label").alias("idx"), F.lit(255).alias("v"))
+    masks = labelled.filter((F.col("a") > 0) & (F.col("label") >= 0)).select(*keys, F.col("label").alias("idx"), F.lit(255).alias("v"))
     masks.write.partitionBy("image_id", "idx").parquet(out["masks"])
     grey = to_byte(luma(F.col("r"), F.col("g"), F.col("b")))
     labelled.select(*keys, grey.alias("v")).write.partitionBy("image_id").parquet(out["luma"])

@@ -14,7 +14,6 @@ from chromatile.session import materialize, scratch_path
 
 # Depth of the undo stack and of the colour history.
 DEPTH = 20
-STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +22,23 @@ def read_table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
+def split_table_stream(spark: SparkSession, sf_dir: str, name: str, order: str, files: int = 4) -> DataFrame:
+    """The table as a stream of several files, one micro-batch each.
+
+    The files follow ``order``, but every fifth row comes one file late.
+    """
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    at = F.unix_micros(F.col(order).cast("timestamp"))
+    lo, hi = table.agg(F.min(at), F.max(at)).first()
+    share = (at - F.lit(lo or 0)) / F.lit(max((hi or 0) - (lo or 0), 1))
+    part = F.floor(share * files) + F.when(F.abs(F.xxhash64(order)) % 5 == 0, 1).otherwise(0)
+    part = F.least(F.lit(files - 1), F.coalesce(part, F.lit(0)))
+    root = scratch_path(spark, "split")
+    for k in range(files):  # the stream takes files by age
+        table.filter(part == k).coalesce(1).write.mode("append").parquet(root)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(root)
+
+
 def run_available(stream: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
     """Drain a stream into a table in the shared folder and return the table.
 
@@ -95,9 +111,20 @@ def debounce(edits: DataFrame, gap_seconds: float, bucket_seconds: float = 86400
     return j.filter(last).select("user_id", "ts", "event_id", "action", "color")
 
 
-def dedupe_edits(edits: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Drop repeats of an identical edit inside the lateness bound (streaming)."""
-    return edits.withWatermark("ts", late).dropDuplicatesWithinWatermark(["user_id", "action", "color"])
+def dedupe_edits(edits: DataFrame, gap: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Drop an edit if the same user made an identical one less than ``gap`` before it (streaming).
+
+    Identical edits form sessions by event time, and the first of each stays, so the
+    answer does not depend on how the stream is cut into batches.  A session is
+    emitted when the watermark has passed it.
+    """
+    first = F.min(F.struct("ts", "event_id", "payload"))
+    return (
+        edits.withWatermark("ts", late)
+        .groupBy("user_id", "action", "color", F.session_window("ts", gap).alias("burst"))
+        .agg(first.alias("e"))
+        .select("user_id", "action", "color", "e.*")
+    )
 
 
 def recent_colors(edits: DataFrame, limit: int = DEPTH) -> DataFrame:
@@ -219,7 +246,6 @@ def undo_redo_stream(edits: DataFrame) -> DataFrame:
 
     Events are ordered inside a micro-batch; batches are taken to arrive in order.
     """
-    edits.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
     kind = dict(edits.dtypes)["user_id"]
     useful = edits.filter(F.col("action").isin("set", "undo", "redo")).select("user_id", "ts", "event_id", "action", "color")
     return useful.groupBy("user_id").transformWithStateInPandas(
@@ -262,7 +288,6 @@ class _RecentProcessor(StatefulProcessor):
 
 def recent_colors_stream(edits: DataFrame, limit: int = DEPTH, ttl_ms: int | None = None) -> DataFrame:
     """Streaming ``recent_colors``: the list of every user a micro-batch touched."""
-    edits.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
     kind = dict(edits.dtypes)["user_id"]
     sets = edits.filter("action = 'set'").select("user_id", "ts", "event_id", "color")
     return sets.groupBy("user_id").transformWithStateInPandas(
