@@ -22,7 +22,8 @@ HEADLINE = (
     " color_histogram range_stats bin_edges_even label_bins gray_world white_patch coverage_rollup"
     " kmeans_fit silhouette nearest_catalog load_catalog palette_manifest write_plates"
     " box_mean sobel morphology seam_mismatch axis_period resize crinkly_blend mesh_warp"
-    " connected_boxes ink_mask stack_composite stream_label recent_colors debounce undo_redo"
+    " connected_boxes ink_mask stack_composite stream_label recent_colors debounce undo_redo dedupe_edits"
+    " choose_k flatten_lighting mosaic_cells tile_from_motif frontier_fill best_wrap_crop best_shift"
 ).split()
 
 

@@ -20,7 +20,7 @@ from chromatile.session import materialize
 # Fixed values of the fit.
 ROUNDS = 14
 MOVE_EPS = 1e-4
-SILHOUETTE_POINTS = 4096
+CELL_SIDE = 4.0
 K_MIN, K_MAX = 2, 8
 
 
@@ -161,15 +161,15 @@ def kmeans_fit(histogram: DataFrame, k: int, rounds: int = ROUNDS) -> DataFrame:
     return unpack(lloyd(hist, seeds, rounds))
 
 
-def silhouette_sample(histogram: DataFrame, cap: int = SILHOUETTE_POINTS) -> DataFrame:
-    """Up to ``cap`` distinct colours per image in hash order, with their counts.
+def silhouette_cells(lab: DataFrame, side: float = CELL_SIDE) -> DataFrame:
+    """Colours in Lab cells of one size, ``(image_id, n, lab_l, lab_a, lab_b)``: count and mean of each.
 
-    The score is quadratic in its points, so it is defined on a bounded sample;
-    below the cap it covers every pixel.
+    The score is quadratic in its points.  Every pixel weighs in, and the cells that
+    8-bit colours can reach, about fourteen thousand, bound the points of any image.
     """
-    key = F.md5(F.concat_ws(",", "r", "g", "b"))
-    order = Window.partitionBy("image_id").orderBy(key)
-    return histogram.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= cap).drop("_k")
+    cells = [F.floor(F.col(c) / side).alias(f"_{c}") for c in LAB]
+    means = [(F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c) for c in LAB]
+    return lab.groupBy("image_id", *cells).agg(F.sum("n").alias("n"), *means).select("image_id", "n", *LAB)
 
 
 def _silhouette_group(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -201,9 +201,9 @@ def _silhouette_group(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def silhouette(sample: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
-    """Mean silhouette (plain Euclidean) of a labelled, weighted colour sample.
+    """Mean silhouette (plain Euclidean) of labelled, weighted colours.
 
-    A group is one image's sample, bounded by ``SILHOUETTE_POINTS``; distances are
+    A group is one image's cells, bounded by the gamut; distances are
     summed in blocks inside the task, so no pair ever becomes a row.
     """
     types = dict(sample.dtypes)
@@ -285,7 +285,7 @@ def choose_k(histogram: DataFrame, k_min: int = K_MIN, k_max: int = K_MAX) -> Da
     )
     inertias = per_label.groupBy("image_id", "k").agg(F.sum("sse").alias("inertia"), F.sum("n").alias("points"))
     sample = (
-        silhouette_sample(hist)
+        silhouette_cells(hist)
         .join(models, "image_id")
         .withColumn("label", _nearest(F.col("cs"))["i"])
     )

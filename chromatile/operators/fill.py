@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from chromatile.functions.color import q, to_byte
 from chromatile.operators import boxes as bx, frame, raster, seams, stencil
-from chromatile.operators.stats import exact_percentiles
 from chromatile.session import materialize
 
 KEYS = ["image_id", "y", "x"]
@@ -121,9 +120,9 @@ def ink_mask(gray: DataFrame, boxes: DataFrame, refine: bool = False) -> DataFra
     # A ring of under eight pixels falls back to the whole surround; under four there is no box.
     use = counts.join(ring_n, key).filter((~F.col("inner") | (F.col("ring") < 8)) & ((F.col("ring") >= 8) | (F.col("all") >= 4)))
     use = use.select(*key, F.col("v").cast("double").alias("v"), "n")
-    med = exact_percentiles(use, key, "v", "n", [0.5], 16.0).select(*key, F.col("p")[0].alias("med"))
+    med = use.groupBy(*key).agg(F.percentile("v", 0.5, F.col("n")).alias("med"))
     dev = use.join(med, key).select(*key, F.abs(F.col("v") - F.col("med")).alias("d"), "n")
-    mad = exact_percentiles(dev, key, "d", "n", [0.5], 16.0).select(*key, (F.col("p")[0] + 1.0).alias("mad"))
+    mad = dev.groupBy(*key).agg((F.percentile("d", 0.5, F.col("n")) + 1.0).alias("mad"))
     level = med.join(mad, key).withColumn("delta", F.greatest(F.lit(INK_DELTA), INK_MAD * F.col("mad")))
     is_dark = F.col("v") < F.col("med") - F.col("delta")
     is_light = F.col("v") > F.col("med") + F.col("delta") + 4.0

@@ -7,9 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from chromatile.operators import raster
 from chromatile.session import materialize
 
-# Doubling rounds for parent pointers: enough for trees 2^20 levels deep.
-POINTER_ROUNDS = 20
-
 
 def walk_tree(layers: DataFrame, root: str = "") -> DataFrame:
     """Visible tree rows ``(doc_id, id, depth, path)``; ordering by ``path`` is pre-order.
@@ -36,8 +33,9 @@ def walk_tree(layers: DataFrame, root: str = "") -> DataFrame:
 def owning_image(layers: DataFrame) -> DataFrame:
     """Nearest image of each node, itself included: ``(doc_id, id, image_id)`` or NULL.
 
-    Parent pointers are doubled, so the rounds grow with the logarithm of the
-    depth; a cycle never resolves and ends as NULL.
+    Parent pointers are doubled, so the rounds grow with the logarithm of the depth.
+    A cycle never resolves and ends as NULL: once no open pointer has reached an end
+    for as many rounds as the nodes have binary digits, only cycles are open.
     """
     is_image = F.col("kind") == "image"
     state = materialize(
@@ -48,7 +46,7 @@ def owning_image(layers: DataFrame) -> DataFrame:
         ),
         "owners",
     )
-    for _ in range(POINTER_ROUNDS):
+    for _ in range(max(1, state.count()).bit_length() + 1):
         if state.filter("owner is null and ptr is not null").limit(1).count() == 0:
             break
         up = state.select("doc_id", F.col("id").alias("ptr"), F.col("owner").alias("_o"), F.col("ptr").alias("_p"))
@@ -111,9 +109,11 @@ def sync_ranges(layers: DataFrame, ranges: DataFrame) -> DataFrame:
     return others.unionByName(made).unionByName(new_kids)
 
 
-def stack_composite(layers: DataFrame, layer_pixels: DataFrame, canvas_w: int, canvas_h: int) -> DataFrame:
+def stack_composite(layers: DataFrame, layer_pixels: DataFrame) -> DataFrame:
     """Paint visible layers bottom to top onto a clear canvas: ``(doc_id, y, x, r, g, b, a)``.
 
+    The canvas of a document is as large as its lowest visible layer.
+
     ``layers`` is ``(doc_id, id, ord, visible, x, y, scale)`` with ``ord`` 0 in front;
     ``layer_pixels`` is keyed by ``(doc_id, id)``.  Placing a layer is a projection;
     one aggregate on the canvas pixel gathers its (at most one per layer) samples
@@ -136,7 +136,11 @@ def stack_composite(layers: DataFrame, layer_pixels: DataFrame, canvas_w: int, c
     placed = moved.select(
         "doc_id", (F.col("x") + F.col("_dx")).alias("x"), (F.col("y") + F.col("_dy")).alias("y"),
         F.struct((-F.col("ord")).alias("o"), *[pre(c).alias(c) for c in ("r", "g", "b", "a")]).alias("s"),
-    ).filter((F.col("x") >= 0) & (F.col("x") < canvas_w) & (F.col("y") >= 0) & (F.col("y") < canvas_h))
+    )
+    base = shown.groupBy("doc_id").agg(F.max_by(F.struct("id", "_sc"), F.struct("ord", "id")).alias("_b")).select("doc_id", "_b.*")
+    canvas = layer_pixels.join(base, ["doc_id", "id"]).groupBy("doc_id", "_sc").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    canvas = canvas.select("doc_id", *[F.when(F.abs(F.col("_sc") - 1.0) <= 1e-4, F.col(n)).otherwise(target(n)).alias(f"_{n}") for n in ("w", "h")])
+    placed = placed.join(canvas, "doc_id").filter((F.col("x") >= 0) & (F.col("x") < F.col("_w")) & (F.col("y") >= 0) & (F.col("y") < F.col("_h")))
     per = placed.groupBy("doc_id", "y", "x").agg(F.sort_array(F.collect_list("s")).alias("ss"))
     clear = F.struct(*[F.lit(0.0).alias(c) for c in ("r", "g", "b", "a")])
 

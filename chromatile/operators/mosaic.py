@@ -13,12 +13,15 @@ from chromatile.session import materialize
 # Fixed values of the mosaic.
 TILES_MIN, TILES_MAX, TILES_DEFAULT = 16, 20000, 9000
 LLOYD_MAX, LLOYD_DEFAULT = 6, 2
-WORK_EDGE, LLOYD_EDGE = 1200, 280
 BLUR, SIDE_BIAS = 1.2, 1.6
 
 
-def clamp_tiles(count: float) -> int:
-    return min(TILES_MAX, max(TILES_MIN, round(float(count))))
+def checked_tiles(count: float) -> int:
+    """The tile count; one outside the limits is an error, not another count."""
+    n = round(float(count))
+    if not TILES_MIN <= n <= TILES_MAX:
+        raise ValueError(f"tiles must be {TILES_MIN} to {TILES_MAX}, not {n}")
+    return n
 
 
 def clamp_lloyd(count: float) -> int:
@@ -32,7 +35,7 @@ def place_sites(work: DataFrame, h_side: str | None, v_side: str | None, tiles:
     smallest -ln(u) / density, u a hash of the position, so reruns agree.
     """
     sizes = frame.dims(work)
-    n = F.least(F.lit(clamp_tiles(tiles)), F.greatest(F.lit(TILES_MIN), F.floor(F.col("h") * F.col("w") / 4))).cast("int")
+    n = F.least(F.lit(checked_tiles(tiles)), F.greatest(F.lit(TILES_MIN), F.floor(F.col("h") * F.col("w") / 4))).cast("int")
     sizes = sizes.withColumn("n", n).withColumn("n_edge", F.greatest(F.lit(6), F.rint(F.sqrt("n")).cast("int")))
     sides = [("top", None), ("bottom", None), ("left", None), ("right", None)]
     if h_side:
@@ -81,12 +84,12 @@ def _assign(points: DataFrame, sites: DataFrame) -> DataFrame:
     return out.select("image_id", "y", "x", F.col("m.id").alias("site"))
 
 
-def lloyd_relax(sites: DataFrame, sizes: DataFrame, rounds: int) -> DataFrame:
-    """Move free sites to the centroid of their cell on a grid of at most 280 px; anchors stay."""
+def lloyd_relax(sites: DataFrame, sizes: DataFrame, rounds: int, edge: int | None = None) -> DataFrame:
+    """Move free sites to the centroid of their cell, on the image or on a grid of ``edge``; anchors stay."""
     rounds = clamp_lloyd(rounds)
     if rounds == 0:
         return sites
-    scale = F.least(F.lit(1.0), F.lit(float(LLOYD_EDGE)) / F.greatest("w", "h"))
+    scale = F.lit(1.0) if edge is None else F.least(F.lit(1.0), F.lit(float(edge)) / F.greatest("w", "h"))
     small = lambda n: F.when(scale < 1.0, F.greatest(F.lit(2), F.rint(F.col(n) * scale).cast("int"))).otherwise(F.col(n)).cast("int")
     info = materialize(sizes.select("image_id", "w", "h", small("w").alias("gw"), small("h").alias("gh")), "relax")
     to = lambda c, a, b: F.col(c) * (F.col(b) - 1.0) / F.greatest(F.col(a) - 1, F.lit(1))
@@ -103,12 +106,15 @@ def lloyd_relax(sites: DataFrame, sizes: DataFrame, rounds: int) -> DataFrame:
 
 
 def mosaic_cells(
-    pixels: DataFrame, tiles: int = TILES_DEFAULT, lloyd: int = LLOYD_DEFAULT, h_side: str | None = None, v_side: str | None = None, nearest: bool = False
+    pixels: DataFrame, tiles: int = TILES_DEFAULT, lloyd: int = LLOYD_DEFAULT, h_side: str | None = None, v_side: str | None = None, nearest: bool = False,
+    edge: int | None = None,
 ) -> DataFrame:
-    """Voronoi mosaic on a work copy of at most 1,200 px, enlarged by nearest sampling."""
+    """Voronoi mosaic of the image, or of a copy of ``edge`` px, enlarged by nearest sampling."""
     sizes = materialize(frame.dims(pixels), "sizes")
-    tw, th = raster.fit_edge(F.col("w"), F.col("h"), WORK_EDGE, rounding="nearest")
-    work = materialize(raster.resize_to(pixels, tw, th, "bilinear"), "work")
+    work = pixels
+    if edge is not None:
+        tw, th = raster.fit_edge(F.col("w"), F.col("h"), edge, rounding="nearest")
+        work = materialize(raster.resize_to(pixels, tw, th, "bilinear"), "work")
     sites = materialize(place_sites(work, h_side, v_side, tiles), "sites")
     sites = materialize(lloyd_relax(sites, frame.dims(work), lloyd), "sites")
     cells = materialize(_assign(work.select("image_id", "y", "x"), sites), "cells")

@@ -16,7 +16,7 @@ DELTAS = (12.0, 16.0, 28.0)
 MIN_AREA, MIN_SIDE = 24, 4
 SMALL_AREA, SMALL_SIDE = 12, 3
 MAX_SHARE, ASPECTS, FRAME_SHARE = 0.18, (0.12, 28.0), 0.45
-WORK_EDGE, UPSCALE = 900, 3
+UPSCALE = 3
 LINE_GAP, SMALL_GAP = 10, 8
 RUN_TILE = 64
 
@@ -214,11 +214,11 @@ def _mapped(boxes: DataFrame, scale: Column, w: Column, h: Column) -> DataFrame:
     )
 
 
-def detect_regions(pixels: DataFrame, roi: tuple[int, int, int, int] | None = None) -> DataFrame:
+def detect_regions(pixels: DataFrame, roi: tuple[int, int, int, int] | None = None, edge: int | None = None) -> DataFrame:
     """Text-like boxes by contrast: ``(image_id, x0, y0, x1, y1)``.
 
-    Searches a work copy of at most 900 px, then the top-left corner at three
-    times the size for small glyphs; with ``roi`` only that rectangle, enlarged.
+    Searches the image, or a copy of ``edge`` px, then all of it at three times the
+    size for small glyphs; with ``roi`` only that rectangle, enlarged.
     """
     gray = stencil.luma_raster(pixels)
     sizes = materialize(frame.dims(pixels), "sizes")
@@ -235,12 +235,11 @@ def detect_regions(pixels: DataFrame, roi: tuple[int, int, int, int] | None = No
         part = part.withColumns({"x": F.col("x") - x0, "y": F.col("y") - y0})
         hits = enlarged(part)
         return hits.withColumns({"x0": F.col("x0") + x0, "x1": F.col("x1") + x0, "y0": F.col("y0") + y0, "y1": F.col("y1") + y0})
-    tw, th = raster.fit_edge(F.col("w"), F.col("h"), WORK_EDGE)
-    work = materialize(raster.resize_to(gray, tw, th, "bilinear"), "work")
-    scale = F.least(F.lit(1.0), F.lit(float(WORK_EDGE)) / F.greatest("w", "h"))
+    work, scale = gray, F.lit(1.0)
+    if edge is not None:
+        tw, th = raster.fit_edge(F.col("w"), F.col("h"), edge)
+        work = materialize(raster.resize_to(gray, tw, th, "bilinear"), "work")
+        scale = F.least(F.lit(1.0), F.lit(float(edge)) / F.greatest("w", "h"))
     j = merge_lines(_contrast_boxes(work, small=False)).join(sizes, "image_id")
     full = _mapped(j, scale, F.col("w"), F.col("h")).select("image_id", "x0", "y0", "x1", "y1")
-    cw = F.greatest(F.lit(48), F.least(F.col("w"), F.greatest(F.floor(F.col("w") / 5), F.lit(96))))
-    ch = F.greatest(F.lit(24), F.least(F.col("h"), F.greatest(F.floor(F.col("h") / 8), F.lit(48))))
-    corner = gray.join(sizes, "image_id").filter((F.col("x") < cw) & (F.col("y") < ch)).select("image_id", "y", "x", "v")
-    return merge_lines(full.unionByName(enlarged(corner)))
+    return merge_lines(full.unionByName(enlarged(gray)))

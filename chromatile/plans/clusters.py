@@ -76,15 +76,15 @@ def inertia(spark, sf):
 
 
 @query("silhouette", HL.rstrip() + f""",
-smp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY md5(r||','||g||','||b)) AS rk FROM hl) WHERE rk <= {cluster.SILHOUETTE_POINTS}),
+smp AS (SELECT image_id, floor(lab_l/4) AS r, floor(lab_a/4) AS g, floor(lab_b/4) AS b, sum(n) AS n, {", ".join(f"sum(n*{c})/sum(n) AS {c}" for c in LAB)} FROM hl GROUP BY ALL),
 lb AS (SELECT image_id, r, g, b, n, lab_l, lab_a, lab_b, {common.nearest_sql(common.CENTERS, (1, 1, 1), *LAB)} AS label FROM smp),
 pr AS (SELECT h.image_id, h.r, h.g, h.b, h.n, h.label, c.label AS other, sum(c.n*sqrt({"+".join(f"(h.{n}-c.{n})*(h.{n}-c.{n})" for n in LAB)})) AS sd, sum(c.n) AS nc
   FROM lb h JOIN lb c USING (image_id) GROUP BY ALL),
 ab AS (SELECT image_id, r, g, b, n, max(CASE WHEN label = other THEN CASE WHEN nc > 1 THEN sd/(nc-1) ELSE 0 END END) AS va, min(CASE WHEN label <> other THEN sd/nc END) AS vb FROM pr GROUP BY ALL)
 SELECT image_id, {duck.q('sum(n*(vb-va)/greatest(va,vb))/sum(n)', 6)} AS silhouette FROM ab WHERE vb IS NOT NULL AND greatest(va,vb) > 1e-12 GROUP BY ALL""")
 def silhouette(spark, sf):
-    sample = C.with_lab(cluster.silhouette_sample(common.histogram(spark, sf)))
-    labelled = sample.withColumn("label", assign.nearest_of(common.CENTERS).cast("int"))
+    cells = cluster.silhouette_cells(C.with_lab(common.histogram(spark, sf)))
+    labelled = cells.withColumn("label", assign.nearest_of(common.CENTERS).cast("int"))
     return cluster.silhouette(labelled).select("image_id", C.q(F.col("silhouette"), 6).alias("silhouette"))
 
 

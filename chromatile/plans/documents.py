@@ -77,7 +77,7 @@ def _layer_src(i: int, dx: int, dy: int, k: int) -> str:
 
 
 @query("stack_composite", duck.with_(GRID, _layer_src(1, 0, 0, 0), _layer_src(2, -3, 10, 31), _layer_src(3, 5, 40, 17), """
-cv AS (SELECT y, x, 0::DOUBLE AS r, 0::DOUBLE AS g, 0::DOUBLE AS b, 0::DOUBLE AS a FROM (SELECT DISTINCT y, x FROM (SELECT y, x FROM s1 UNION SELECT y, x FROM s2 UNION SELECT y, x FROM s3)) WHERE x >= 0 AND x < 24 AND y >= 0 AND y < 4000000)""",
+cv AS (SELECT y, x, 0::DOUBLE AS r, 0::DOUBLE AS g, 0::DOUBLE AS b, 0::DOUBLE AS a FROM (SELECT DISTINCT y, x FROM (SELECT y, x FROM s1 UNION SELECT y, x FROM s2 UNION SELECT y, x FROM s3)) WHERE x >= 0 AND x < (SELECT max(x) + 1 FROM grid) AND y >= 0 AND y < (SELECT max(y) + 1 FROM grid))""",
        _layer_step(1, "cv"), _layer_step(2, "b1"), _layer_step(3, "b2")) + "SELECT 0::INT AS doc_id, y::INT AS y, x::INT AS x, r::INT AS r, g::INT AS g, b::INT AS b, a::INT AS a FROM b3")
 def stack_composite(spark, sf):
     g = fixtures.grid(spark, sf)
@@ -85,7 +85,7 @@ def stack_composite(spark, sf):
     alpha = F.when(F.col("k") == 0, 255).otherwise((F.col("x") * F.col("k") + F.col("y") * 7) % 256).cast("int")
     px = g.select(F.col("image_id").alias("doc_id"), "y", "x", "r", "g", "b", F.inline(copies)).withColumn("a", alpha).drop("k")
     table = spark.createDataFrame([(*row, 1.0) for row in _LAYERS], "doc_id int, id string, ord int, visible boolean, x int, y int, scale double")
-    return ly.stack_composite(table, px, 24, 4_000_000)
+    return ly.stack_composite(table, px)
 
 
 @query("sample_pixels", duck.with_(GRID, duck.lab_cte("gl", "grid"), f"""

@@ -175,10 +175,10 @@ def test_layers_composite_hides_and_scales(spark):
     px = one.withColumn("id", F.lit("a")).unionByName(one.withColumn("r", F.lit(10)).withColumn("id", F.lit("b")))
     rows = [(0, "b", 0, True, 0, 0, 0.5), (0, "a", 1, True, 0, 0, 1.0)]
     schema = "doc_id int, id string, ord int, visible boolean, x int, y int, scale double"
-    out = layers.stack_composite(spark.createDataFrame(rows, schema), px, 4, 4)
+    out = layers.stack_composite(spark.createDataFrame(rows, schema), px)
     assert out.filter("r = 10").count() == 4 and out.count() == 16
     rows[0] = (0, "b", 0, False, 0, 0, 0.5)
-    assert layers.stack_composite(spark.createDataFrame(rows, schema), px, 4, 4).filter("r = 10").count() == 0
+    assert layers.stack_composite(spark.createDataFrame(rows, schema), px).filter("r = 10").count() == 0
 
 
 def test_owner_of_a_cycle_is_null(spark):
