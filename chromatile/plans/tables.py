@@ -64,10 +64,12 @@ def image_headers(spark, sf):
     return ok.select(F.regexp_extract("path", r"(band\d+)\.png$", 1).alias("image"), "width", "height", "channels")
 
 
-@query("scan_pixels", duck.with_(duck.GRID) + "SELECT image_id, y, x, r, g, b FROM grid WHERE y >= 0 AND image_id IN (0)")
+# The grid as three images of every third row; two of them are read, in a band of rows.
+@query("scan_pixels", duck.with_(duck.GRID) + "SELECT (y % 3)::INT AS image_id, y, x, r, g, b FROM grid WHERE y >= 100 AND y < 400 AND y % 3 IN (0, 2)")
 def scan_pixels(spark, sf):
-    path = images.write_pixels(fixtures.grid(spark, sf), scratch_path(spark, "pixels"))
-    return images.scan_pixels(path, [0], 0, None, spark).select("image_id", "y", "x", "r", "g", "b")
+    three = fixtures.grid(spark, sf).withColumn("image_id", (F.col("y") % 3).cast("int"))
+    path = images.write_pixels(three, scratch_path(spark, "pixels"))
+    return images.scan_pixels(path, [0, 2], 100, 400, spark).select("image_id", "y", "x", "r", "g", "b")
 
 
 # Raw names that exercise the brand word, book codes, fashion codes and repeats.
