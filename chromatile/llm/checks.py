@@ -93,3 +93,46 @@ WITH vectors AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
+
+MARKS = r"^[ \t]*(?:>[ \t]*)+"
+
+
+def _normal(text: str) -> str:
+    return rf"lower(trim(regexp_replace({text}, '[\x20\x09-\x0D]+', ' ', 'g')))"
+
+
+QUOTES = rf"""
+WITH RECURSIVE msgs AS (
+  SELECT conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS lines FROM conversations
+), own AS (
+  SELECT conv_id, turn, role, array_to_string(list_filter(lines, lambda x: NOT regexp_matches(x, '{MARKS}')), chr(10)) AS own FROM msgs
+), lines AS (
+  SELECT conv_id, turn, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS p FROM msgs
+), depths AS (
+  SELECT *, length(regexp_replace(regexp_extract(line, '{MARKS}'), '[^>]', '', 'g')) AS depth FROM lines
+), starts AS (
+  SELECT *, CASE WHEN lag(depth) OVER (PARTITION BY conv_id, turn ORDER BY p) = depth THEN 0 ELSE 1 END AS start FROM depths
+), runs AS (
+  SELECT *, sum(start) OVER (PARTITION BY conv_id, turn ORDER BY p) AS run, {_normal(f"regexp_replace(line, '{MARKS}', '')")} AS body FROM starts
+), passages AS (
+  SELECT conv_id, turn, depth, run, {_normal("string_agg(body, ' ' ORDER BY p)")} AS whole, arg_max(body, (length(body), body)) AS longest
+  FROM runs WHERE depth > 0 GROUP BY ALL
+), units AS (
+  SELECT conv_id, turn, unnest(list_concat([own], list_concat(regexp_split_to_array(own, '\n[ \t]*\n'), string_split(own, chr(10))))) AS u FROM own
+), said AS (
+  SELECT conv_id, {_normal("u")} AS u, min(turn) AS source FROM units GROUP BY ALL
+), links AS (
+  SELECT q.conv_id, q.turn, depth, coalesce(CASE WHEN a.source < q.turn THEN a.source END, CASE WHEN b.source < q.turn THEN b.source END) AS source
+  FROM passages q LEFT JOIN said a ON a.conv_id = q.conv_id AND a.u = whole AND whole <> ''
+  LEFT JOIN said b ON b.conv_id = q.conv_id AND b.u = longest AND longest <> ''
+), replies AS (
+  SELECT conv_id, turn, count(*) AS n_passages, count(source) AS n_linked, arg_max(source, (-depth, source)) FILTER (source IS NOT NULL) AS reply_to FROM links GROUP BY ALL
+), climb AS (
+  SELECT conv_id, turn, reply_to AS thread FROM replies WHERE reply_to IS NOT NULL
+  UNION SELECT c.conv_id, c.turn, r.reply_to FROM climb c JOIN replies r ON r.conv_id = c.conv_id AND r.turn = c.thread WHERE r.reply_to IS NOT NULL
+), threads AS (
+  SELECT conv_id, turn, min(thread) AS thread FROM climb GROUP BY ALL
+)
+SELECT own.conv_id, coalesce(thread, own.turn) AS thread, own.turn, reply_to, role, coalesce(n_passages, 0) AS n_passages, coalesce(n_linked, 0) AS n_linked, own AS text
+FROM own LEFT JOIN replies USING (conv_id, turn) LEFT JOIN threads USING (conv_id, turn)
+"""

@@ -65,6 +65,7 @@ ORACLES: dict[str, str] = {
     "op2_mix_sources": checks.MIX,
     "op4_warc_normalise": checks.WARC,
     "op6_line_cuckoo": checks.LINES,
+    "op7_quote_links": checks.QUOTES,
     "op8_pivot_topk": checks.TOPK,
     "op10_substring_doubling": checks.SUBSTRING,
 }

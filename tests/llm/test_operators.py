@@ -361,6 +361,19 @@ def test_quotes(spark):
     assert (out[1, 3]["n_passages"], out[1, 3]["n_linked"]) == (2, 2) and out[1, 4]["n_linked"] == 0
 
 
+def test_check_sql_of_quotes(spark):
+    a, b = "First message, with a remark.", "Second paragraph here.\n\nAnother paragraph of it."
+    rows = [
+        (1, 0, "u", a), (1, 1, "a", f"> first  MESSAGE, with a\n> remark.\n{b}"), (1, 2, "u", "unrelated"), (1, 4, "a", "> nobody\nok"),
+        (1, 3, "u", f"> > {a}\n> another paragraph of it.\nreply to the second"), (1, 5, "a", "> reply to the second"), (2, 0, "u", f"> {a}"),
+    ]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    out = quotes.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert got(out, *out.columns) == sorted((list(r) for r in con.execute(checks.QUOTES).fetchall()), key=repr)
+
+
 def luhn(s):
     return sum((d * 2 - 9 * (d > 4)) if i % 2 else d for i, d in enumerate(int(c) for c in reversed(s))) % 10 == 0
 
