@@ -52,7 +52,7 @@ _BAND = "concat('band', lpad((y // 128)::VARCHAR, 8, '0'))"
 def scan_images(spark, sf):
     path = scratch_path(spark, "png")
     png_tiles(fixtures.grid(spark, sf), path)
-    px = images.scan_images(spark, path)
+    px, _ = images.scan_images(spark, path)
     return px.select(F.regexp_extract("image_id", r"(band\d+)\.png$", 1).alias("image"), "y", "x", "r", "g", "b", "a")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Accepted suffixes and the pixel guard.
 SUFFIXES = ("tif", "tiff", "png", "jpg", "jpeg")
@@ -16,6 +16,16 @@ def _decoded(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("image").option("pathGlobFilter", GLOB).option("recursiveFileLookup", "true").load(path)
 
 
+def _reason(channels: str, max_pixels: int) -> Column:
+    """Why a decoded file is not read; null if it is."""
+    width, height = F.col("width").cast("long"), F.col("height").cast("long")
+    return (
+        F.when(width.isNull() | (width <= 0), "not decodable")
+        .when(width * height > max_pixels, "too many pixels")
+        .when(~F.col(channels).isin(3, 4), "not RGB or RGBA")
+    )
+
+
 def image_headers(spark: SparkSession, path: str, max_pixels: int = MAX_PIXELS) -> tuple[DataFrame, DataFrame]:
     """Size audit: (ok, rejects).
 
@@ -38,29 +48,23 @@ def image_headers(spark: SparkSession, path: str, max_pixels: int = MAX_PIXELS)
     )
     key = F.regexp_replace("path", "^file:/+", "/")
     j = files.withColumn("_k", key).join(sizes.withColumn("_k", key).drop("path"), "_k", "left")
-    width, height = F.col("width").cast("long"), F.col("height").cast("long")
-    reason = (
-        F.when(F.col("width").isNull() | (F.col("width") <= 0), "not decodable")
-        .when(width * height > max_pixels, "too many pixels")
-        .when(~F.col("channels").isin(3, 4), "not RGB or RGBA")
-    )
-    audited = j.withColumn("reason", reason)
+    audited = j.withColumn("reason", _reason("channels", max_pixels))
     ok = audited.filter("reason is null").select("path", "width", "height", "channels")
     return ok, audited.filter("reason is not null").select("path", "length", "reason")
 
 
-def scan_images(spark: SparkSession, path: str) -> DataFrame:
-    """Folder of TIFF / PNG / JPEG files to pixel rows.
+def scan_images(spark: SparkSession, path: str, max_pixels: int = MAX_PIXELS) -> tuple[DataFrame, DataFrame]:
+    """Folder of TIFF / PNG / JPEG files to ``(pixels, rejects)``.
 
     The decoder hands over row-major B, G, R[, A] bytes.  A file is first cut into
     rows, which are repartitioned, so one large file does not pin its pixels to
-    one task.  RGB files get alpha 255; other layouts are left to the audit.
+    one task.  RGB files get alpha 255; rejects are ``(path, width, height, channels, reason)``.
     """
-    img = _decoded(spark, path).select("image.*").filter(
-        (F.col("width") > 0)
-        & F.col("nChannels").isin(3, 4)
-        & (F.col("width").cast("long") * F.col("height").cast("long") <= MAX_PIXELS)
+    files = _decoded(spark, path).select("image.*").withColumn("reason", _reason("nChannels", max_pixels))
+    rejects = files.filter("reason is not null").select(
+        F.col("origin").alias("path"), "width", "height", F.col("nChannels").alias("channels"), "reason"
     )
+    img = files.filter("reason is null")
     stride = F.col("width") * F.col("nChannels")
     rows = img.select(
         F.col("origin").alias("image_id"),
@@ -79,10 +83,11 @@ def scan_images(spark: SparkSession, path: str) -> DataFrame:
         at = F.col("x") * F.col("nChannels") + (i + 1)
         return F.conv(F.hex(F.substring("row", at, F.lit(1))), 16, 10).cast("int")
 
-    return px.select(
+    pixels = px.select(
         "image_id", "y", "x", byte(2).alias("r"), byte(1).alias("g"), byte(0).alias("b"),
         F.when(F.col("nChannels") == 4, byte(3)).otherwise(255).alias("a"),
     )
+    return pixels, rejects
 
 
 def write_pixels(pixels: DataFrame, path: str, band: int = 128) -> str:

@@ -201,7 +201,9 @@ def test_image_files(spark, tmp_path):
     png(tmp_path / "b.png", rgba)
     (tmp_path / "bad.png").write_bytes(b"\x89PNG\r\n\x1a\nbroken")
     (tmp_path / "note.txt").write_text("x")
-    px = images.scan_images(spark, str(tmp_path)).cache()
+    px, rejects = images.scan_images(spark, str(tmp_path))
+    px = px.cache()
+    assert [r.reason for r in rejects.collect()] == ["not decodable"]
     assert (to_array(px.filter(F.col("image_id").endswith("a.png")), 5, 7) == rgb).all()
     assert (to_array(px.filter(F.col("image_id").endswith("b.png")), 4, 3, ("r", "g", "b", "a")) == rgba).all()
     ok, bad = images.image_headers(spark, str(tmp_path))
@@ -216,6 +218,9 @@ def test_preset_documents_and_taken_ids(spark, tmp_path):
     )
     p = presets.load_presets(spark, str(tmp_path / "p.json")).collect()
     assert len(p) == 1 and p[0].bands[0].rgb == [255, 0, 5]
+    (tmp_path / "q.json").write_text('{"presets": [{"id": "a", "name": "Other", "bands": [{"rgb": [1, 1, 1]}, {"rgb": [1, 2, 3]}]}]}')
+    both = presets.load_presets(spark, str(tmp_path)).collect()
+    assert sorted(r.name for r in both) == ["One", "Other"] and len({r.document for r in both}) == 2
     stored = spark.createDataFrame([(0, "red-ink", "First"), (1, "red-ink-2", "Second")], "ord long, id string, name string")
     new = spark.createDataFrame([(0, "n1", "Red ink"), (1, "n1", "Red  Ink!")], "ord long, id string, name string")
     assert sorted(r.id for r in presets.upsert_presets(stored, new).collect()) == ["n1", "red-ink", "red-ink-2", "red-ink-3"]
