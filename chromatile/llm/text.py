@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Bytes handled at once; a longer text is a block of its own.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 500_000
 #: Stands for a null doc_id inside operators: larger than every id.
 NO_ID = 2**63 - 1
 
