@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from chromatile.operators.assign import assign_nearest
@@ -158,56 +158,52 @@ def step(line: list[int], pos: int, action: str, color: int) -> tuple[list[int],
     return line, len(line)
 
 
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["ts", "event_id"])
-    line, pos = list(pdf["line"].iloc[0]), int(pdf["pos"].iloc[0])
-    for action, color in zip(pdf["action"], pdf["color"]):
-        line, pos = step(line, pos, action, int(color))
-    return pd.DataFrame({"user_id": [pdf["user_id"].iloc[0]], "chunk": [pdf["chunk"].iloc[0]], "line": [line], "pos": [pos]})
+def _stepped(state: Column, edit: Column) -> Column:
+    """``step`` as a column expression on ``struct(line, pos)``."""
+    line, pos, color = state["line"], state["pos"], edit["color"]
+    known = (pos > 0) & (F.get(line, pos - 1) == color)
+    grown = F.slice(F.concat(F.slice(line, F.lit(1), pos), F.array(color)), F.greatest(F.lit(1), pos + 1 - DEPTH), F.lit(DEPTH + 1))
+    pushed = F.struct(grown.alias("line"), F.least(pos + 1, F.lit(DEPTH + 1)).alias("pos"))
+    moved = F.when(edit["action"] == "undo", F.greatest(F.least(pos, F.lit(1)), pos - 1)).otherwise(F.least(F.size(line), pos + 1))
+    return F.when(edit["action"] != "set", F.struct(line.alias("line"), moved.alias("pos"))).when(known, state).otherwise(pushed)
 
 
-def undo_redo(edits: DataFrame, chunk_rows: int = 200_000) -> DataFrame:
+def undo_redo(edits: DataFrame, chunk_rows: int = 4096, task_rows: int = 200_000) -> DataFrame:
     """Final state per user after folding set, undo and redo in (ts, event_id) order.
 
     The fold is sequential per user, yet no user is folded in one task: the log is
-    range-sorted and cut into chunks of about ``chunk_rows``.  All chunks fold at
-    once from a guessed entry state; a chunk whose predecessor ended elsewhere
-    folds again, until no entry state changes.  A fold forgets its entry after some
-    twenty edits, so this takes a few rounds, and the end result is exact.
+    range-sorted over tasks of about ``task_rows`` and cut into chunks of at most
+    ``chunk_rows`` edits.  All chunks fold at once from a guessed entry state; a
+    chunk whose predecessor ended elsewhere folds again, until no entry state changes.
+    A fold forgets its entry after some twenty edits, so this takes a few rounds, and
+    the end result is exact.
     """
-    log = edits.filter(F.col("action").isin("set", "undo", "redo")).select("user_id", "ts", "event_id", "action", "color")
-    log = materialize(log, "log")
-    parts = max(1, math.ceil(log.count() / chunk_rows))
-    cut = log.repartitionByRange(parts, "user_id", "ts", "event_id").withColumn("chunk", F.spark_partition_id())
+    log = edits.filter(F.col("action").isin("set", "undo", "redo"))
+    log = materialize(log.select("user_id", "ts", "event_id", "action", F.col("color").cast("int").alias("color")), "log")
+    order = ["user_id", "ts", "event_id"]
+    spread = log.repartitionByRange(max(1, math.ceil(log.count() / task_rows)), *order).sortWithinPartitions(*order)
+    place = F.floor(F.monotonically_increasing_id() / F.lit(chunk_rows))
+    edit = F.struct("ts", "event_id", "action", "color")
+    cut = spread.withColumn("chunk", place).groupBy("user_id", "chunk").agg(F.sort_array(F.collect_list(edit)).alias("edits"))
     cut = materialize(cut, "chunks")
-    chunks = cut.select("user_id", "chunk").distinct()
     prev = F.lag("chunk").over(Window.partitionBy("user_id").orderBy("chunk"))
-    chunks = materialize(chunks.withColumn("prev", prev), "order")
-    empty = F.array().cast("array<int>")
-    entry = materialize(chunks.select("user_id", "chunk", empty.alias("line"), F.lit(0).alias("pos")), "entry")
-    kind = dict(edits.dtypes)["user_id"]
+    chunks = materialize(cut.select("user_id", "chunk", prev.alias("prev")), "order")
+    start = F.struct(F.array().cast("array<int>").alias("line"), F.lit(0).alias("pos"))
+    entry = chunks.select("user_id", "chunk", start.alias("s"))
     todo, exits = entry, None
     while True:
-        out = (
-            cut.join(todo, ["user_id", "chunk"])
-            .groupBy("user_id", "chunk")
-            .applyInPandas(_fold, f"user_id {kind}, chunk int, line array<int>, pos int")
-        )
-        if exits is None:
-            exits = materialize(out, "exits")
-        else:
-            kept = exits.join(todo.select("user_id", "chunk"), ["user_id", "chunk"], "left_anti")
-            exits = materialize(kept.unionByName(out), "exits")
-        before = exits.select("user_id", F.col("chunk").alias("prev"), "line", "pos")
-        want = chunks.filter("prev is not null").join(before, ["user_id", "prev"]).select("user_id", "chunk", "line", "pos")
-        used = entry.select("user_id", "chunk", F.col("line").alias("_l"), F.col("pos").alias("_p"))
-        changed = want.join(used, ["user_id", "chunk"]).filter((F.col("line") != F.col("_l")) | (F.col("pos") != F.col("_p")))
-        todo = materialize(changed.drop("_l", "_p"), "redo")
+        out = cut.join(todo, ["user_id", "chunk"]).select("user_id", "chunk", F.aggregate("edits", F.col("s"), _stepped).alias("s"))
+        if exits is not None:
+            out = exits.join(todo, ["user_id", "chunk"], "left_anti").unionByName(out)
+        exits = materialize(out, "exits")
+        before = exits.select("user_id", F.col("chunk").alias("prev"), "s")
+        want = chunks.filter("prev is not null").join(before, ["user_id", "prev"]).select("user_id", "chunk", "s")
+        changed = want.join(entry.withColumnRenamed("s", "_used"), ["user_id", "chunk"]).filter(F.col("s") != F.col("_used"))
+        todo = materialize(changed.drop("_used"), "redo")
         if todo.limit(1).count() == 0:
             break
-        entry = entry.join(todo.select("user_id", "chunk"), ["user_id", "chunk"], "left_anti").unionByName(todo)
-        entry = materialize(entry, "entry")
-    last = exits.groupBy("user_id").agg(F.max_by(F.struct("line", "pos"), "chunk").alias("s"))
+        entry = materialize(entry.join(todo, ["user_id", "chunk"], "left_anti").unionByName(todo), "entry")
+    last = exits.groupBy("user_id").agg(F.max_by("s", "chunk").alias("s"))
     return describe_state(last.select("user_id", "s.line", "s.pos"))
 
 

@@ -175,6 +175,19 @@ def test_nearest_join_is_exact(spark):
     assert got == {i: int(k) for i, k in enumerate(d.argmin(1))}
 
 
+def test_nearest_join_far_points_groups_and_ties(spark):
+    """Points far outside the targets, two groups, targets that share a place, and a group without targets."""
+    pts = np.concatenate([RNG.integers(-4000, 4000, (60, 3)), RNG.integers(0, 40, (20, 3))]).astype(float)
+    goal = RNG.integers(0, 40, (50, 3)).astype(float)
+    goal[25:30] = goal[:5]
+    p = spark.createDataFrame([(i, i % 3, *map(float, v)) for i, v in enumerate(pts)], "pid int, g int, x double, y double, z double")
+    t = spark.createDataFrame([(i, i, i % 2, *map(float, v)) for i, v in enumerate(goal)], "ord int, id int, g int, x double, y double, z double")
+    got = {r.pid: r.m and r.m["id"] for r in nearest_join(p, t, ["x", "y", "z"], 2.0, 9000.0, ["g"]).collect()}
+    for i, v in enumerate(pts):
+        own = [k for k in range(len(goal)) if k % 2 == i % 3]
+        assert got[i] == (min(own, key=lambda k: (((goal[k] - v) ** 2).sum(), k)) if own else None)
+
+
 def test_silhouette(spark):
     pts, n, lab = RNG.normal(0, 10, (40, 3)), RNG.integers(1, 4, 40), RNG.integers(0, 3, 40)
     df = spark.createDataFrame([(0, int(c), int(l), *map(float, p)) for p, c, l in zip(pts, n, lab)], "image_id int, n long, label int, lab_l double, lab_a double, lab_b double")
