@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from chromatile.functions import color as C
+from chromatile.functions.tone import apply_tone
 
 
 def opaque_only(pixels: DataFrame) -> DataFrame:
@@ -94,6 +95,12 @@ def knockout(painted: DataFrame, ranges: DataFrame) -> DataFrame:
     )
 
 
+def render(labelled: DataFrame, ranges: DataFrame, strength: float = 1.0, tone: dict | None = None) -> DataFrame:
+    """The finished frame: fill with its texture, grade, then hidden ranges knocked out."""
+    painted = grain_fill(labelled, ranges, strength)
+    return knockout(apply_tone(painted, tone) if tone else painted, ranges)
+
+
 def split_by_visibility(labelled: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, removed) rows by range visibility."""
     hidden = ranges.filter(~F.col("visible")).select("image_id", F.col("idx").alias("label"))

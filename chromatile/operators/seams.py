@@ -357,3 +357,43 @@ def already_periodic(pixels: DataFrame, h_on: bool, v_on: bool) -> DataFrame:
             out = out.join(m, "image_id")
             cells = cells & F.col(f"_{axis}")
     return out.select("image_id", (F.col("edges") | cells).alias("periodic"))
+
+
+def _cut(pixels: DataFrame, crops: DataFrame) -> DataFrame:
+    """The pixels inside each image's crop ``(image_id, x, y, zoom)``, re-based to zero."""
+    c = frame.dims(pixels).join(crops, "image_id").select(
+        "image_id", F.col("x").alias("_x"), F.col("y").alias("_y"), _window(F.col("w"), F.col("zoom")).alias("_w"), _window(F.col("h"), F.col("zoom")).alias("_h")
+    )
+    at = {a: (F.col(a) - F.col(f"_{a}")).cast("int") for a in ("x", "y")}
+    inside = (at["x"] >= 0) & (at["x"] < F.col("_w")) & (at["y"] >= 0) & (at["y"] < F.col("_h"))
+    return pixels.join(c, "image_id").filter(inside).select(*[at[n].alias(n) if n in at else F.col(n) for n in pixels.columns])
+
+
+def plan_crop(pixels: DataFrame, h_side: str | None = "left", v_side: str | None = "top", tile: bool = True) -> DataFrame:
+    """Crop to make an image wrap, ``(image_id, x, y, zoom)``; the identity for one that wraps already.
+
+    ``tile`` keeps whole motif repeats; otherwise the cheapest wrap window, moved by
+    the roll that still improves its edges as far as it fits.
+    """
+    h_on, v_on = bool(h_side), bool(v_side)
+    still = lambda ids: ids.select("image_id", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(1.0).alias("zoom"))
+    if not h_on and not v_on:
+        return still(frame.dims(pixels))
+    if tile:
+        wraps = already_periodic(pixels, h_on, v_on).filter("periodic")
+    else:
+        wraps = seam_mismatch(pixels, h_on, v_on).filter(F.col("cost") <= MATCH_LIMIT)
+    wraps = materialize(wraps.select("image_id"), "wraps")
+    todo = pixels.join(wraps, "image_id", "left_anti")
+    found = best_repeat_crop(todo, h_side, v_side) if tile else best_wrap_crop(todo, h_side, v_side)
+    found = materialize(found.select("image_id", "x", "y", "zoom"), "crop")
+    if not tile:
+        work = _cut(todo, found)
+        moved = found.join(frame.dims(todo), "image_id")
+        for axis, size, on in (("x", "w", h_on), ("y", "h", v_on)):
+            if on:
+                top = F.col(size) - _window(F.col(size), F.col("zoom"))
+                moved = moved.join(best_shift(work, axis), "image_id")
+                moved = moved.withColumn(axis, F.greatest(F.lit(0), F.least(F.col(axis) - F.col("shift"), top))).drop("shift")
+        found = moved.select("image_id", "x", "y", "zoom")
+    return found.unionByName(still(wraps))

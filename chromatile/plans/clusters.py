@@ -176,10 +176,34 @@ def drop_range(spark, sf):
     return _counted(spark, sf, model).select("image_id", "idx", "name", C.q(F.col("weight"), 6).alias("weight"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("insert_range")
+def _insert_sql() -> str:
+    """A fourth centre at the farthest colour, moved alone for as many rounds as the fit has."""
+    ctes = [f"""dd AS (SELECT h.image_id, h.r, h.g, h.b, h.lab_l, h.lab_a, h.lab_b, min({_d('c')}) AS d2 FROM hl h JOIN ranges c USING (image_id) GROUP BY ALL),
+sd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY d2 DESC, r DESC, g DESC, b DESC) AS rk FROM dd) WHERE rk = 1),
+al AS (SELECT image_id, idx, lab_l, lab_a, lab_b, greatest(weight*(1-1/4::DOUBLE), 1e-4::DOUBLE) AS w FROM ranges UNION ALL SELECT image_id, 3, lab_l, lab_a, lab_b, 1/4::DOUBLE FROM sd),
+nw AS (SELECT * EXCLUDE (w), w/sum(w) OVER (PARTITION BY image_id) AS weight FROM al),
+v0 AS MATERIALIZED (SELECT *, sum(weight) OVER (PARTITION BY image_id) AS wt, false AS done FROM nw)"""]
+    for i in range(1, cluster.ROUNDS + 1):
+        ctes.append(f"""u{i} AS (SELECT h.image_id, h.r, h.g, h.b, h.n, h.lab_l, h.lab_a, h.lab_b, arg_min(c.idx, {_wd()} + c.idx*1e-9) AS idx FROM hl h JOIN v{i-1} c USING (image_id) GROUP BY ALL),
+x{i} AS (SELECT image_id, sum(n*lab_l)/sum(n) AS ml, sum(n*lab_a)/sum(n) AS ma, sum(n*lab_b)/sum(n) AS mb FROM u{i} WHERE idx = 3 GROUP BY ALL),
+v{i} AS MATERIALIZED (SELECT image_id, idx, CASE WHEN idx = 3 AND NOT done THEN coalesce(ml, lab_l) ELSE lab_l END AS lab_l, CASE WHEN idx = 3 AND NOT done THEN coalesce(ma, lab_a) ELSE lab_a END AS lab_a,
+  CASE WHEN idx = 3 AND NOT done THEN coalesce(mb, lab_b) ELSE lab_b END AS lab_b, weight, wt,
+  done OR coalesce(max(CASE WHEN idx = 3 THEN greatest(abs(ml-lab_l), abs(ma-lab_a), abs(mb-lab_b)) END) OVER (PARTITION BY image_id) <= 1e-4, true) AS done FROM v{i-1} LEFT JOIN x{i} USING (image_id))""")
+    last = f"v{cluster.ROUNDS}"
+    ctes.append(f"mw AS (SELECT image_id, idx, lab_l, lab_a, lab_b, weight AS w0 FROM {last})")
+    ctes.append(f"md AS (SELECT *, {_FLOORED} AS weight FROM mw)")
+    ctes.append(duck.unlab_cte("sw", "md"))
+    return ",\n".join(ctes)
+
+
+@query("insert_range", HL.rstrip() + ",\n" + _MODEL + ",\n" + _insert_sql() + "," + _label_counts("md") + f"""
+SELECT sw.image_id, sw.idx::INT AS idx, coalesce(o.name, '') AS name, coalesce(o.match_r, sw.r)::INT AS match_r, coalesce(o.match_g, sw.g)::INT AS match_g, coalesce(o.match_b, sw.b)::INT AS match_b,
+ {duck.q('sw.weight', 6)} AS weight, coalesce(n, 0)::BIGINT AS n FROM sw LEFT JOIN ranges o ON o.image_id = sw.image_id AND o.idx = sw.idx LEFT JOIN ct ON ct.image_id = sw.image_id AND ct.idx = sw.idx""")
 def insert_range(spark, sf):
     model = rg.insert_range(common.histogram(spark, sf), common.px_ranges(spark, sf))
-    return _counted(spark, sf, model).select("image_id", "idx", "name", "match_r", "match_g", "match_b", "weight", "n")
+    return _counted(spark, sf, model).select(
+        "image_id", "idx", "name", "match_r", "match_g", "match_b", C.q(F.col("weight"), 6).alias("weight"), F.coalesce("n", F.lit(0)).alias("n")
+    )
 
 
 # Raise range 0 to 70 %: the pair re-labels, the third range is frozen.

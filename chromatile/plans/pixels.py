@@ -187,7 +187,7 @@ class _Sql(str):
         return _Sql(f"({self} % {o})")
 
 
-def _tone_sql() -> str:
+def _tone_sql(source: str = "px", before: tuple = (), last: str | None = None) -> str:
     t = _tone(_Sql("image_id"), lambda v: f"({v})::DOUBLE")
     cols = ", ".join(f"{v} AS {k}" for k, v in t.items())
     lum = lambda s: duck.luma(f"{s}r", f"{s}g", f"{s}b")
@@ -207,7 +207,7 @@ def _tone_sql() -> str:
         "CASE WHEN image_id = 3 THEN {c} ELSE {v} END AS {c}".format(
             c=c, v=duck.tobyte(f"(_yy + (f4{c} - _yy)*(1::DOUBLE+saturation))"))
         for c in "rgb")
-    return duck.with_(duck.PX, f"t0 AS (SELECT *, {cols}, {duck.luma()}/255::DOUBLE AS _n FROM px)",
+    return duck.with_(*(before or (duck.PX,)), f"t0 AS (SELECT *, {cols}, {duck.luma()}/255::DOUBLE AS _n FROM {source})",
         "t1 AS (SELECT *, least(1::DOUBLE, greatest(0::DOUBLE, (0.4::DOUBLE-_n)/0.4::DOUBLE)) AS sw, least(1::DOUBLE, greatest(0::DOUBLE, (_n-0.6::DOUBLE)/(1.0::DOUBLE-0.6::DOUBLE))) AS hw,"
         " r*(1::DOUBLE+temperature*0.5::DOUBLE) AS ar, g*(1::DOUBLE-tint*0.5::DOUBLE) AS ag, b*(1::DOUBLE-temperature*0.5::DOUBLE) AS ab FROM t0)",
         f"t2 AS (SELECT *, {lum('a')} AS src FROM t1)",
@@ -219,7 +219,7 @@ def _tone_sql() -> str:
         f"t8 AS (SELECT *, {gain('f1','f2','1::DOUBLE',['balance_'+i for i in inks],'-')} FROM t7)",
         f"t9 AS (SELECT *, {gain('f2','f3','hw',['lights_'+i for i in inks],'-',zero)} FROM t8)",
         f"ta AS (SELECT *, {gain('f3','f4','sw',['darks_'+i for i in inks],'-')} FROM t9)",
-        f"tb AS (SELECT *, {lum('f4')} AS _yy FROM ta)") + f"SELECT {K}, {fin} FROM tb"
+        f"tb AS (SELECT *, {lum('f4')} AS _yy FROM ta)") + (f"SELECT {K}, {fin} FROM tb" if last is None else last.format(graded=f"(SELECT {K}, label, a, {fin} FROM tb)"))
 
 
 @query("apply_tone", _tone_sql())
@@ -228,6 +228,23 @@ def tone(spark, sf):
     return graded.select(*KEYS, "r", "g", "b")
 
 
+_PAINTED = (
+    common.LABELLED, common.RANGES,
+    duck.lab_cte("rl", "(SELECT image_id, idx, repl_r, repl_g, repl_b FROM ranges)", "repl_r", "repl_g", "repl_b", ("RL", "RA", "RB")),
+    """mixed AS (SELECT l.image_id, l_orderkey, l_linenumber, label, a, r AS r0, g AS g0, b AS b0, RL*0.25::DOUBLE + lab_l*0.75::DOUBLE AS lab_l, RA AS lab_a, RB AS lab_b, idx
+  FROM labelled l LEFT JOIN rl ON l.image_id = rl.image_id AND label = idx)""", duck.unlab_cte("done", "mixed"),
+    f"""painted AS (SELECT {K}, label, a, CASE WHEN idx IS NULL THEN r0 ELSE r END AS r, CASE WHEN idx IS NULL THEN g0 ELSE g END AS g, CASE WHEN idx IS NULL THEN b0 ELSE b END AS b FROM done)""",
+)
+
+
+# Label, fill, grade and knock-out in one plan.
+@query("render", _tone_sql("painted", _PAINTED, "SELECT p.image_id, l_orderkey, l_linenumber, label, " + ", ".join(f"(CASE WHEN visible = false THEN 0 ELSE {c} END)::INT AS {c}" for c in "rgba")
+       + " FROM {graded} p LEFT JOIN ranges ON p.image_id = ranges.image_id AND label = idx"))
+def render(spark, sf):
+    labelled = common.labelled_px(spark, sf, keep_lab=True)
+    return paint.render(labelled, common.px_ranges(spark, sf), 0.75, _tone(F.col("image_id"), F.lit)).select(*KEYS, "label", "r", "g", "b", "a")
+
+
 def _norm_sql(x0, y0, x1, y1, w, h):
     lo = lambda a, b, m: f"least(greatest({duck.rint(f'least(({a})::DOUBLE,({b})::DOUBLE)')},0),{m})"
     hi = lambda a, b, m: f"least(greatest({duck.rint(f'greatest(({a})::DOUBLE,({b})::DOUBLE)')},0),{m})"

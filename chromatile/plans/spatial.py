@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from chromatile import fixtures
@@ -131,9 +133,54 @@ def best_wrap_crop(spark, sf):
     return out.select("image_id", "x", "y", "zoom", C.q(F.col("cost")).alias("cost"))
 
 
-@query("best_repeat_crop")
+def _period_sql(axis: str) -> str:
+    """The CTEs of the period along one axis, all names with the axis in front, and ``{axis}per(image_id, p)``."""
+    size = "w" if axis == "x" else "h"
+    text = _PERIOD.replace("y AS pos", f"{axis} AS pos").replace("max(h) AS n, max(full_h)", f"max({size}) AS n, max(full_{size})").replace("GROUP BY image_id, y)", f"GROUP BY image_id, {axis})")
+    text = re.sub(r"\b(pf|wk|e0|ac|rg|th|ch|hf|kk)( AS \(|\.)", rf"{axis}\1\2", text)
+    text = re.sub(r"\b(JOIN|FROM) (pf|wk|e0|ac|rg|th|ch|hf|kk)\b", rf"\1 {axis}\2", text)
+    return text + f""",
+{axis}per AS (SELECT image_id, (CASE WHEN k >= n//2 THEN nf ELSE greatest(4, least(nf, {duck.rint('k*nf/n::DOUBLE')})) END)::INT AS p FROM {axis}kk)"""
+
+
+def _repeats(n: str, p: str) -> str:
+    return f"CASE WHEN {p} >= 4 THEN list_filter(list_transform(range(1, greatest(1, {n}//{p})+1), lambda c: {n}::DOUBLE/greatest(1, c*{p})), lambda z: z >= 1 AND z <= 8) ELSE [] END"
+
+
+def _steps(n: str, c: str, p: str) -> str:
+    return f"list_sort(list_distinct(list_append(range(0, {n}-{c}+1, {p}), {n}-{c})))[1:7]"
+
+
+def _left(c: str, p: str) -> str:
+    return f"CASE WHEN {p} >= 2 AND {c} % {p} <> 0 THEN least({c} % {p}, {p} - {c} % {p}) ELSE 0 END"
+
+
+_REPEAT = f"""szp AS (SELECT image_id, max(w) AS pw, max(h) AS ph, max(full_w) AS fw, max(full_h) AS fh, any_value(xper.p) AS px, any_value(yper.p) AS py FROM probe JOIN xper USING (image_id) JOIN yper USING (image_id) GROUP BY image_id),
+zl AS (SELECT *, unnest(list_sort(list_concat(list_concat([1.0::DOUBLE, 1.08::DOUBLE, 1.16::DOUBLE, 1.25::DOUBLE], {_repeats('pw', 'px')}), {_repeats('ph', 'py')}))) AS z FROM szp),
+zf AS (SELECT *, lag(z) OVER (PARTITION BY image_id ORDER BY z) AS before FROM zl),
+zz AS (SELECT * EXCLUDE (before), row_number() OVER (PARTITION BY image_id ORDER BY z) - 1 AS zi, {_WIN.format(n='pw')} AS cw, {_WIN.format(n='ph')} AS ch FROM zf
+  WHERE before IS NULL OR {duck.rint('z*10000')} <> {duck.rint('before*10000')}),
+xx AS (SELECT *, unnest({_steps('pw', 'cw', 'px')})::INT AS x0, generate_subscripts({_steps('pw', 'cw', 'px')}, 1) - 1 AS xi FROM zz),
+cd AS (SELECT *, unnest({_steps('ph', 'ch', 'py')})::INT AS y0, generate_subscripts({_steps('ph', 'ch', 'py')}, 1) - 1 AS yi FROM xx),
+ce AS (SELECT *, zi*10000+yi*100+xi AS ord FROM cd WHERE cw >= 2 AND ch >= 2),
+ww AS (SELECT p.image_id, ord, p.x-x0 AS x, p.y-y0 AS y, r, g, b, cw AS w, ch AS h FROM probe p JOIN ce USING (image_id) WHERE p.x >= x0 AND p.x < x0+cw AND p.y >= y0 AND p.y < y0+ch)"""
+
+
+@query("best_repeat_crop", duck.with_(GRID, sized_sql("grid", "r, g, b"), _period_sql("x"), _period_sql("y"), _REPEAT, _strips("ww", "image_id, ord"), f"""
+tc AS (SELECT ce.*, {duck.q(f"cost + ({_left('cw', 'px')} + {_left('ch', 'py')})*80::DOUBLE + 0.02::DOUBLE*(z-1)*255::DOUBLE*255::DOUBLE", 6)} AS tot FROM ce JOIN ec USING (image_id, ord)),
+bb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY tot, ord) AS rk FROM tc) WHERE rk = 1)""") + f"""
+SELECT image_id, greatest(0, least({duck.rint('x0/pw::DOUBLE*fw')}, fw - {_WIN.format(n='fw')}))::INT AS x,
+ greatest(0, least({duck.rint('y0/ph::DOUBLE*fh')}, fh - {_WIN.format(n='fh')}))::INT AS y, z AS zoom, {duck.q('tot')} AS cost FROM bb""")
 def best_repeat_crop(spark, sf):
-    return seams.best_repeat_crop(fixtures.grid(spark, sf))
+    out = seams.best_repeat_crop(fixtures.grid(spark, sf))
+    return out.select("image_id", "x", "y", "zoom", C.q(F.col("cost")).alias("cost"))
+
+
+@query("plan_crop")
+def plan_crop(spark, sf):
+    grid = fixtures.grid(spark, sf)
+    plans = [seams.plan_crop(grid, "left", "top", tile).withColumn("mode", F.lit("tile" if tile else "wrap")) for tile in (True, False)]
+    return plans[0].unionByName(plans[1])
 
 
 def _shift_rows(src: str, n: str, cand: str) -> str:

@@ -187,7 +187,7 @@ def _preset_docs(spark, sf):
     return fixtures.table(spark, sf, "part").select(k.alias("ord"), F.to_json(doc).alias("json"))
 
 
-@query("load_presets", """WITH bd AS (SELECT p_partkey AS k, p_size AS s, p_name, unnest(range(0, (p_size % 4) + 1)) AS i FROM part),
+_PRESETS = """WITH bd AS (SELECT p_partkey AS k, p_size AS s, p_name, unnest(range(0, (p_size % 4) + 1)) AS i FROM part),
 pr AS (SELECT k, s, CASE WHEN k % 11 = 0 THEN 'Generic' WHEN k % 13 = 0 THEN '' ELSE p_name END AS name, (s % 4) + 1 AS nb,
   CASE WHEN k % 19 <> 0 THEN 'p' || (k % 500) ELSE replace(p_name, ' ', '-') END AS id FROM (SELECT DISTINCT k, s, p_name FROM bd)),
 ok AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k) AS rk FROM pr WHERE name NOT IN ('Generic', '') AND nb >= 2 AND k % 17 <> 0)
@@ -195,9 +195,10 @@ SELECT ok.id, ok.name, CASE WHEN ok.k % 3 = 0 THEN 'lab_a_equal' ELSE 'color_clo
  i::INT AS idx, 'b' || i AS band, least(255, greatest(0, (ok.k*37+i*11) % 400 - 50))::INT AS r, ((ok.s*5+i*20) % 256)::INT AS g, ((ok.k+i) % 256)::INT AS b,
  CASE WHEN ok.k % 2 = 0 AND ok.k % 6 <> 0 THEN least(255, (ok.k*3+i) % 300) ELSE -1 END::INT AS match_r,
  CASE WHEN ok.k % 5 < 3 THEN (i+1)/10::DOUBLE ELSE -1 END AS weight
-FROM ok JOIN bd ON bd.k = ok.k WHERE rk = 1""")
-def load_presets(spark, sf):
-    p = ps.parse_presets(_preset_docs(spark, sf))
+FROM ok JOIN bd ON bd.k = ok.k WHERE rk = 1"""
+
+
+def _preset_rows(p):
     rows = p.select("id", "name", "split_method", "palette_as_centers", "weights", F.posexplode("bands").alias("idx", "x"))
     return rows.select(
         "id", "name", "split_method", "palette_as_centers", "idx", F.col("x.name").alias("band"),
@@ -207,6 +208,17 @@ def load_presets(spark, sf):
     )
 
 
+@query("load_presets", _PRESETS)
+def load_presets(spark, sf):
+    return _preset_rows(ps.parse_presets(_preset_docs(spark, sf)))
+
+
+@query("write_presets", _PRESETS)
+def write_presets(spark, sf):
+    presets = ps.parse_presets(_preset_docs(spark, sf)).withColumn("document", F.floor(F.col("ord") / 1000))
+    return _preset_rows(ps.load_presets(spark, ps.write_presets(presets, scratch_path(spark, "preset_files"))))
+
+
 def _named_presets(spark, sf):
     """Stored presets: one per part name, ids from the part key."""
     part = fixtures.table(spark, sf, "part")
@@ -315,7 +327,7 @@ def _session_docs(spark, sf):
     return e.select(k.alias("id"), F.to_json(doc).alias("json"))
 
 
-@query("load_sessions", """WITH e AS (SELECT event_id AS k, CAST(json_extract_string(props, '$.k') AS INT) AS p FROM events)
+_SESSIONS = """WITH e AS (SELECT event_id AS k, CAST(json_extract_string(props, '$.k') AS INT) AS p FROM events)
 SELECT 'model' AS kind, k AS id, 0::INT AS idx, CASE WHEN k % 3 = 0 THEN 'equal_pixels' ELSE 'color_closeness' END AS s1, 'kmeans' AS s2,
   (CASE WHEN k % 5 = 1 AND p <> 0 THEN p WHEN k % 4 > 0 THEN k % 4 ELSE 4 END)::INT AS i1, (CASE WHEN k % 6 = 0 THEN p ELSE 0 END)::INT AS i2,
   least(0.4::DOUBLE, greatest(0::DOUBLE, CASE WHEN k % 2 = 0 THEN p/100::DOUBLE ELSE 0.03::DOUBLE END)) AS d1, p/200::DOUBLE AS d2,
@@ -324,9 +336,10 @@ UNION ALL SELECT 'range', k, i::INT, CASE WHEN k % 2 = 0 THEN 'r' || i ELSE '' E
   CASE WHEN k % 5 <> 0 THEN (i+1)/8::DOUBLE ELSE 0::DOUBLE END, (CASE WHEN k % 3 <> 0 THEN 0 ELSE p END)::DOUBLE, (CASE WHEN k % 3 <> 0 THEN 0 ELSE p + i END)::DOUBLE, (CASE WHEN k % 3 <> 0 THEN 0 ELSE 9 END)::DOUBLE, i <> 1
   FROM (SELECT *, unnest(range(0, k % 4)) AS i FROM e)
 UNION ALL SELECT 'layer', k, 0, CASE WHEN k % 2 = 0 THEN 'image' ELSE 'label' END, CASE WHEN k % 2 = 0 THEN 'Image' ELSE 'Label' END, (k % 7 - 3)::INT, -1, least(8::DOUBLE, greatest(0.05::DOUBLE, k % 90 / 10::DOUBLE)), 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, true FROM e
-UNION ALL SELECT 'layer', k, 1, 'range', 'Image', 0, -1, 1::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, true FROM e""")
-def load_sessions(spark, sf):
-    models, ranges, layers = sessions.parse_sessions(_session_docs(spark, sf))
+UNION ALL SELECT 'layer', k, 1, 'range', 'Image', 0, -1, 1::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, true FROM e"""
+
+
+def _session_rows(models, ranges, layers):
     zero = F.lit(0.0)
     m = models.select(F.lit("model").alias("kind"), "id", F.lit(0).alias("idx"), F.col("split_method").alias("s1"), F.col("assignment_mode").alias("s2"),
                       F.col("range_count").alias("i1"), F.col("crop_x").alias("i2"), F.col("min_coverage").alias("d1"), F.col("tone_darks").alias("d2"),
@@ -338,6 +351,17 @@ def load_sessions(spark, sf):
     return m.unionByName(r).unionByName(l)
 
 
+@query("load_sessions", _SESSIONS)
+def load_sessions(spark, sf):
+    return _session_rows(*sessions.parse_sessions(_session_docs(spark, sf)))
+
+
+@query("write_sessions", _SESSIONS)
+def write_sessions(spark, sf):
+    path = sessions.write_sessions(*sessions.parse_sessions(_session_docs(spark, sf)), scratch_path(spark, "session_files"))
+    return _session_rows(*sessions.parse_sessions(spark.read.parquet(path)))
+
+
 _STEM = "regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
 
 

@@ -213,3 +213,13 @@ def delete_presets(presets: DataFrame, keys: DataFrame) -> tuple[DataFrame, Data
         wanted.select("_k").join(names, "_k", "left_semi"), "_k", "left_anti"
     )
     return kept, misses.select("key").distinct()
+
+
+def write_presets(presets: DataFrame, path: str) -> str:
+    """Write one JSON document per ``document`` (one for all without that column), presets in order, for ``load_presets``."""
+    body = [f.name for f in PRESET.fields]
+    rows = presets if "document" in presets.columns else presets.withColumn("document", F.lit(""))
+    listed = F.array_sort(F.collect_list(F.struct("ord", F.struct(*body).alias("p"))), lambda a, b: F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0))
+    docs = rows.groupBy("document").agg(listed.alias("_l")).select(F.transform("_l", lambda x: x["p"]).alias("presets"))
+    docs.write.option("maxRecordsPerFile", 1).json(path)
+    return path

@@ -106,3 +106,36 @@ def parse_sessions(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.coalesce("l.expanded", F.lit(True)).alias("expanded"),
     )
     return models, range_rows, layer_rows
+
+
+def _listed(rows: DataFrame, doc: str, body: list[Column], name: str) -> DataFrame:
+    """One array per document, each row at its place; places nobody has are null."""
+    place = "idx" if "idx" in rows.columns else "ord"
+    packed = rows.groupBy(F.col(doc).alias("id")).agg(
+        F.map_from_entries(F.collect_list(F.struct(place, F.struct(*body)))).alias("_m"), F.max(place).alias("_top")
+    )
+    return packed.select("id", F.transform(F.sequence(F.lit(0), "_top"), lambda i: F.try_element_at("_m", i)).alias(name))
+
+
+def session_documents(models: DataFrame, ranges: DataFrame, layers: DataFrame) -> DataFrame:
+    """Session documents ``(id, json)`` of the three tables; ``parse_sessions`` gives the same tables back.
+
+    A document is what one user edits, so its ranges and layers fit into one row.
+    """
+    rgb = lambda p: F.array(*[F.col(f"{p}_{c}") for c in "rgb"])
+    range_body = [F.col("name"), rgb("match").alias("match_rgb"), rgb("repl").alias("replacement_rgb"), F.col("weight"), F.col("visible")]
+    layer_body = [F.col(c) for c in ("id", "parent_id", "name", "role", "visible", "x", "y", "scale", "range_index", "expanded")] + [F.col("kind").alias("type")]
+    docs = models.join(_listed(ranges, "id", range_body, "ranges"), "id", "left").join(_listed(layers, "doc_id", layer_body, "layers"), "id", "left")
+    tone = [F.col(f"tone_{p}").alias(p) for p in PARAMS]
+    doc = F.struct(
+        F.lit(2).alias("version"), "split_method", "assignment_mode", "range_count", "bin_start", "min_coverage", "ranges",
+        F.struct(F.col("texture_strength").alias("strength"), F.col("texture_enabled").alias("enabled")).alias("texture"),
+        F.struct(*tone).alias("tone"), F.struct(*[F.col(f"crop_{c}").alias(c) for c in ("x", "y", "zoom")]).alias("crop"), "layers",
+    )
+    return docs.select("id", F.to_json(doc).alias("json"))
+
+
+def write_sessions(models: DataFrame, ranges: DataFrame, layers: DataFrame, path: str) -> str:
+    """Write the documents as a table ``(id, json)``, which ``parse_sessions`` reads."""
+    session_documents(models, ranges, layers).write.parquet(path)
+    return path

@@ -15,6 +15,10 @@ NAMED_STEMS = {
 }
 
 
+# Layout of written frames.
+BUCKETS, BAND, SALTS = 64, 512, 8
+
+
 def band_slug(name: Column, index: Column) -> Column:
     """Lower-case alphanumerics with single underscores, else ``band_NN``."""
     raw = F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]+", "_")
@@ -49,12 +53,26 @@ def plates(master: DataFrame, ranges: DataFrame) -> DataFrame:
     return out.select(*keep, alpha.alias("a"), F.col("label").alias("idx"), "stem")
 
 
-def write_plates(master: DataFrame, ranges: DataFrame, path: str) -> str:
-    plates(master, ranges).write.partitionBy("image_id", "idx").parquet(path)
+def _write(rows: DataFrame, path: str) -> str:
+    """Write in a fixed number of buckets of images, sorted inside, so row groups prune by image.
+
+    A folder per image would be millions of them.  Bands of rows (of other keys
+    where there is no ``y``) keep a large image from being one task.
+    """
+    order = [c for c in ("image_id", "idx", "y", "x") if c in rows.columns]
+    rest = [c for c in rows.columns if c not in ("r", "g", "b", "a", "v", "stem", "idx", "image_id")]
+    band = F.floor(F.col("y") / BAND) if "y" in rest else F.pmod(F.xxhash64(*rest), F.lit(SALTS)) if rest else F.lit(0)
+    out = rows.withColumns({"bucket": F.pmod(F.xxhash64("image_id"), F.lit(BUCKETS)).cast("int"), "_band": band})
+    out = out.repartition("bucket", "_band").sortWithinPartitions("bucket", *order).drop("_band")
+    out.write.partitionBy("bucket").parquet(path)
     return path
 
 
-def write_job_pack(labelled: DataFrame, ranges: DataFrame, path: str, strength: float = 1.0) -> dict[str, str]:
+def write_plates(master: DataFrame, ranges: DataFrame, path: str) -> str:
+    return _write(plates(master, ranges), path)
+
+
+def write_job_pack(labelled: DataFrame, ranges: DataFrame, path: str, strength: float = 1.0, tone: dict | None = None) -> dict[str, str]:
     """Masks, luma plate, exact and grain composites, and the manifest.
 
     Each output is a narrow pass over the labelled frame, so the source is read
@@ -63,12 +81,11 @@ def write_job_pack(labelled: DataFrame, ranges: DataFrame, path: str, strength:
     out = {k: f"{path}/{k}" for k in ("masks", "luma", "exact", "grain", "manifest")}
     keys = [c for c in labelled.columns if c not in ("r", "g", "b", "a", "label")]
     masks = labelled.filter((F.col("a") > 0) & (F.col("label") >= 0)).select(*keys, F.col("label").alias("idx"), F.lit(255).alias("v"))
-    masks.write.partitionBy("image_id", "idx").parquet(out["masks"])
+    _write(masks, out["masks"])
     grey = to_byte(luma(F.col("r"), F.col("g"), F.col("b")))
-    labelled.select(*keys, grey.alias("v")).write.partitionBy("image_id").parquet(out["luma"])
+    _write(labelled.select(*keys, grey.alias("v")), out["luma"])
     for kind, s in (("exact", 0.0), ("grain", strength)):
-        done = paint.knockout(paint.grain_fill(labelled, ranges, s), ranges)
-        done.write.partitionBy("image_id").parquet(out[kind])
+        _write(paint.render(labelled, ranges, s, tone), out[kind])
     palette_manifest(ranges).write.parquet(out["manifest"])
     return out
 

@@ -265,3 +265,59 @@ def test_shift_search_recovers_a_roll(spark):
     cost = lambda a: seams.seam_mismatch(raster(spark, a), True, False).first()["cost"]
     shift = seams.best_shift(raster(spark, arr), "x").first()["shift"]
     assert cost(np.roll(arr, shift, axis=1)) <= cost(arr) + 1e-9
+
+
+def _wrap_cost(a, h_on, v_on):
+    """Plain wrap cost of an array (h, w, 3)."""
+    h, w = a.shape[:2]
+    terms = []
+    for on, n, strip in ((h_on, w, lambda s: a[:, s]), (v_on, h, lambda s: a[s])):
+        if on:
+            band = max(1, min(8, max(1, n // 4)))
+            d = strip(slice(0, band)) - strip(slice(n - band, n))
+            raw = (d * d).mean(axis=(0, 1)).mean()
+            terms.append(raw - (d.mean(axis=(0, 1)) ** 2).mean() + 0.15 * raw)
+    if h_on and v_on:
+        corners = np.array([a[0, 0], a[0, -1], a[-1, 0], a[-1, -1]])
+        terms.append(corners.var(axis=0).mean())
+    return float(np.mean(terms))
+
+
+def _best_roll(a, axis):
+    n = a.shape[axis]
+    span = max(1, min(40, int(np.rint(n * 0.12))))
+    step = max(1, span // 6)
+    up = list(range(step, span + 1, step))
+    coarse = [0, 1, -1] if span <= 1 else list(dict.fromkeys([0, *up, *[-s for s in up], 1, -1]))
+    cost = lambda s: round(_wrap_cost(np.roll(a, s, axis), axis == 1, axis == 0), 6)
+    first = min(coarse, key=cost) % n
+    best = min([first, first - 1, first, first + 1], key=cost) % n
+    return best - n if best > n // 2 else best
+
+
+def test_plan_crop_of_wrap_windows(spark):
+    images = {0: RNG.integers(0, 256, (31, 26, 3)), 1: np.tile(RNG.integers(0, 256, (1, 1, 3)), (12, 10, 1)), 2: RNG.integers(0, 256, (40, 1, 3))}
+    rows = [(k, y, x, *map(int, a[y, x])) for k, a in images.items() for y in range(a.shape[0]) for x in range(a.shape[1])]
+    px = spark.createDataFrame(rows, "image_id int, y int, x int, r int, g int, b int")
+    got = {r.image_id: (r.x, r.y, r.zoom) for r in seams.plan_crop(px, "left", "top", tile=False).collect()}
+    assert got[1] == (0, 0, 1.0)  # wraps already
+    assert got[2] == (0, 0, 1.0)  # no window of two columns
+    a = images[0].astype(float)
+    found = []
+    for zi, z in enumerate((1.0, 1.08, 1.16, 1.25)):
+        ch, cw = (max(1, min(n, int(np.rint(n / z)))) for n in a.shape[:2])
+        for y0 in _origins(a.shape[0] - ch):
+            for x0 in _origins(a.shape[1] - cw):
+                cost = round(_wrap_cost(a[y0 : y0 + ch, x0 : x0 + cw], True, True) + 0.02 * (z - 1) * 255 * 255, 6)
+                found.append((cost, zi, y0, x0, z, ch, cw))
+    _, _, y0, x0, z, ch, cw = min(found)
+    work = a[y0 : y0 + ch, x0 : x0 + cw]
+    x, y = x0 - _best_roll(work, 1), y0 - _best_roll(work, 0)
+    assert got[0] == (max(0, min(x, a.shape[1] - cw)), max(0, min(y, a.shape[0] - ch)), z)
+
+
+def _origins(top):
+    if top <= 0:
+        return [0]
+    count = min(7, top + 1)
+    return [int(np.rint(i * (top / (count - 1)))) for i in range(count)]
