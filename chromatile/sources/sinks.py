@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from chromatile.functions.color import hex_color, luma, to_byte
 from chromatile.operators import paint
+from chromatile.session import materialize
 
 # File stems of the three named seed bands.
 NAMED_STEMS = {
@@ -75,9 +76,9 @@ def write_plates(master: DataFrame, ranges: DataFrame, path: str) -> str:
 def write_job_pack(labelled: DataFrame, ranges: DataFrame, path: str, strength: float = 1.0, tone: dict | None = None) -> dict[str, str]:
     """Masks, luma plate, exact and grain composites, and the manifest.
 
-    Each output is a narrow pass over the labelled frame, so the source is read
-    per output rather than held in memory between writes.
+    The labelled frame is written once; each output is a narrow pass over it.
     """
+    labelled = materialize(labelled, "labelled")
     out = {k: f"{path}/{k}" for k in ("masks", "luma", "exact", "grain", "manifest")}
     keys = [c for c in labelled.columns if c not in ("r", "g", "b", "a", "label")]
     masks = labelled.filter((F.col("a") > 0) & (F.col("label") >= 0)).select(*keys, F.col("label").alias("idx"), F.lit(255).alias("v"))
