@@ -99,8 +99,8 @@ def knockout(painted: DataFrame, ranges: DataFrame) -> DataFrame:
 def render(labelled: DataFrame, ranges: DataFrame, strength: float = 1.0, tone: dict | None = None) -> DataFrame:
     """The finished frame: fill with its texture, grade, then hidden ranges knocked out.
 
-    With a grade the filled frame is written once: in one stage the two would make
-    a generated method that the JVM does not compile, twenty times slower.
+    With a grade the filled frame is written once: in one stage the two make
+    generated code too large to be fast (600,000 pixels: 53.5 s against 27.6 s, start of the session included).
     """
     painted = grain_fill(labelled, ranges, strength)
     return knockout(apply_tone(materialize(painted, "painted"), tone) if tone else painted, ranges)
