@@ -10,7 +10,7 @@ values, however they are punctuated, get one pseudonym in every document.
 What is replaced: card numbers that pass the Luhn check (the check digit is made anew),
 IBANs that pass modulo 97 (country kept, check digits made anew), US social security
 numbers, phone numbers (country code kept), IPv4 addresses, dates of 1800 to 2199 that
-exist (ISO, or day, month and year with slashes or dots), and the local parts of email
+exist (ISO, also with a time after T, or day, month and year with slashes or dots), and the local parts of email
 addresses.  Anything that fails its check is left as it is.  Built-in functions only.
 
 Results: null texts stay null; empty texts stay empty; repeated rows get equal texts;
@@ -27,17 +27,19 @@ KEY = "public-demo-key"
 ROUNDS = 10
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)  # 189 x 773 days are 400 years
 
+ISO_DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
 FORMS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
-    "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}",
+    "date": ISO_DATE + r"|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}",
     "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}",
     "card": r"[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "phone": r"(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}",
 }
 EDGE = (r"(?<![A-Za-z0-9@])(?<![0-9][.,-])", r"(?![A-Za-z0-9@])(?![.,-][0-9])")
-PATTERN = EDGE[0] + "(?:" + "|".join(f"(?:{form})" for form in FORMS.values()) + ")" + EDGE[1]
+#: A time may follow an ISO date without a space.
+PATTERN = EDGE[0] + "(?:" + ISO_DATE + "(?=[Tt][0-9])|(?:" + "|".join(f"(?:{form})" for form in FORMS.values()) + ")" + EDGE[1] + ")"
 
 
 def _is(text: Column, kind: str) -> Column:
