@@ -136,3 +136,22 @@ WITH RECURSIVE msgs AS (
 SELECT own.conv_id, coalesce(thread, own.turn) AS thread, own.turn, reply_to, role, coalesce(n_passages, 0) AS n_passages, coalesce(n_linked, 0) AS n_linked, own AS text
 FROM own LEFT JOIN replies USING (conv_id, turn) LEFT JOIN threads USING (conv_id, turn)
 """
+
+NEGATIVES = """
+WITH rows AS (
+  SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.uid, a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_dot_product(a.v, r.v) AS BIGINT) AS score
+  FROM rows a JOIN rows r ON a.uid <> r.uid WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id) AS slot FROM scored WHERE same QUALIFY slot <= 5
+), ranked AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.uid, p.slot ORDER BY n.score DESC, n.vec_id) AS rank
+  FROM positives p JOIN scored n ON n.uid = p.uid AND NOT n.same AND 100 * n.score BETWEEN 50 * p.score AND 95 * p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 3
+"""

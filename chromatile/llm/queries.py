@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chromatile.llm import checks, decontam, langid, linededup, mixing, pii, quotes, simhash, substring, topk, warc
+from chromatile.llm import (
+    checks, decontam, langid, linededup, mixing, negatives, packing, pii, quotes, runs, simhash, substring, topk, warc,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,11 +57,37 @@ def op10_substring_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(_table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op11_concat_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.piece_digests(packing.sequences(_table(spark, sf_dir, "documents"), vocabulary))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+def periodic_tail(doc_id: int | None, words: list[str]) -> list[str]:
+    """For a tenth of the documents, the words from some place on repeat with some period."""
+    h = zlib.crc32(str(doc_id).encode())
+    n, g = len(words), h // 10
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op13_grammar_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(runs.periodic_runs(_table(spark, sf_dir, "documents"), periodic_tail))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_feistel_pseudonyms, op2_mix_sources, op3_language_ppm, op4_warc_normalise, op5_decontaminate_cgk,
-        op6_line_cuckoo, op7_quote_links, op8_pivot_topk, op9_simhash_anchors, op10_substring_doubling,
+        op6_line_cuckoo, op7_quote_links, op8_pivot_topk, op9_simhash_anchors, op10_substring_doubling, op11_concat_pack, op12_hard_negatives,
+        op13_grammar_runs,
     )
 }
 
@@ -68,4 +98,5 @@ ORACLES: dict[str, str] = {
     "op7_quote_links": checks.QUOTES,
     "op8_pivot_topk": checks.TOPK,
     "op10_substring_doubling": checks.SUBSTRING,
+    "op12_hard_negatives": checks.NEGATIVES,
 }
