@@ -19,7 +19,8 @@ windows are full but the last, which is padded unless its length is a power of t
 from __future__ import annotations
 
 import itertools
-import zlib
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,37 +37,58 @@ WINDOW, END, PAD = 2048, 1, 0
 #: Ids in one row of the token table; longer documents take several rows.
 ROW_IDS = 1 << 20
 #: Pieces of each of the two generations of the memo, and the longest that it keeps.
-MEMO, MEMO_CHARS = 1 << 19, 64
+MEMO, MEMO_CHARS = 1 << 18, 64
 #: White space of any kind next to a space, or at an end.
 ODD_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] | [\s\x0b\x1c-\x1f\x{85}\p{Z}]|^ | $"
+#: Pieces of ASCII that the byte-level pattern cuts at every change of kind, and their parts.
+PLAIN = re.compile(r" ?(?:[!-&(-~]|\n(?!\n|\Z))+")
+PARTS = re.compile(r" ?[A-Za-z]+| ?[0-9]+| ?[^A-Za-z0-9 \n]+|\n")
+#: Space and line feed in the byte-level alphabet of the vocabulary (fixed values).
+BYTE_LEVEL = str.maketrans({" ": "\u0120", "\n": "\u010a"})
 #: Bytes tokenised at once.
 BLOCK = 2_000_000
-MARKS = ".,;:!?"
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizer file, with a bounded memo of pieces."""
+    """Ids of whole texts by a tokenizer file, with a bounded memo of pieces.
+
+    Pieces need the byte-level pattern without a normalizer; with other files every text is encoded whole.
+    """
 
     def __init__(self, vocabulary: str):
-        self.model = Tokenizer.from_file(vocabulary)
+        self.full = Tokenizer.from_file(vocabulary)
+        self.model = self.full.model
+        with open(vocabulary, encoding="utf-8") as f:
+            kind = json.load(f)
+        split = kind.get("pre_tokenizer") or {}
+        added = kind.get("added_tokens") or []
+        self.special = [t["content"] for t in added]
+        self.in_pieces = (
+            split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not kind.get("normalizer")
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in added)
+        )
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _stems(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of pieces not seen lately; marks after a letter or digit are tokens of their own."""
-        cut = {}
-        for piece in new:
-            stem = piece.rstrip(MARKS)
-            cut[piece] = len(stem) if stem and stem[-1].isascii() and stem[-1].isalnum() else len(piece)
-        parts = {p[:n] for p, n in cut.items()}.union(p[n:] for p, n in cut.items())
-        known = {p: self.recent.get(p) or self.older.get(p) for p in parts}
-        unseen = [p for p, ids in known.items() if ids is None]
-        known.update(zip(unseen, self._encode(unseen)))
-        self.recent.update((p, ids) for p, ids in known.items() if len(p) <= MEMO_CHARS)
-        return {p: known[p[:n]] + known[p[n:]] for p, n in cut.items()}
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _part(self, part: str) -> bytes:
+        """Ids of what the pattern does not cut."""
+        ids = self.recent.get(part) or self.older.get(part)
+        if ids is None:
+            ids = np.array([t.id for t in self.model.tokenize(part.translate(BYTE_LEVEL))], np.uint32).tobytes()
+        if len(part) <= MEMO_CHARS:
+            self.recent[part] = ids
+        return ids
+
+    def _new(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces not seen lately."""
+        plain = [p for p in pieces if PLAIN.fullmatch(p) and not any(s in p for s in self.special)]
+        out = {p: b"".join(map(self._part, PARTS.findall(p))) for p in plain}
+        rest = [p for p in pieces if p not in out]
+        out.update(zip(rest, self._encode(rest)))
+        return out
 
     def pieces(self, found: list[str]) -> list[bytes]:
         """Ids of distinct pieces."""
@@ -75,7 +97,7 @@ class Encoder:
         lost = [i for i, x in enumerate(ids) if x is None]
         for i in lost:
             ids[i] = older.get(found[i])
-        new = self._stems([found[i] for i in lost if ids[i] is None])
+        new = self._new([found[i] for i in lost if ids[i] is None])
         for i in lost:
             if ids[i] is None:
                 ids[i] = new[found[i]]
@@ -88,7 +110,9 @@ class Encoder:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each begins."""
         texts = texts.fill_null("").cast(pa.large_string())
-        odd = np.asarray(pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False), bool)
+        odd = np.ones(len(texts), bool)
+        if self.in_pieces:
+            odd = np.asarray(pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False), bool)
         lists = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
         words, first = lists.values, lists.offsets.to_numpy()
         lead = np.ones(len(words), bool)
@@ -113,11 +137,20 @@ class Encoder:
         return out, ends[first]
 
 
-def _listed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values.astype(np.int32, copy=False)))
+def _binary(ids: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Stretches of ids as bytes, little-endian."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((4 * cuts).astype(np.int32)), pa.py_buffer(ids.astype("<u4", copy=False))])
+
 
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a column of such bytes, and where each row begins."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
+    ids = np.frombuffer(data, "<u4", (at[-1] - at[0]) // 4, at[0]) if data is not None and at[-1] > at[0] else np.zeros(0, "<u4")
+    return ids, (at - at[0]) // 4
 
-TOKENS = "part int, place long, doc_id long, start long, doc_tokens long, ids array<int>"
+
+TOKENS = "part int, place long, doc_id long, start long, doc_tokens long, ids binary"
 
 
 def token_table(docs: DataFrame, vocabulary: str, end: int = END) -> DataFrame:
@@ -136,7 +169,7 @@ def token_table(docs: DataFrame, vocabulary: str, end: int = END) -> DataFrame:
                     [
                         pa.array(np.full(len(row), part), pa.int32()), pa.array(place + cuts[:-1]),
                         batch.column("doc_id").slice(lo, hi - lo).take(pa.array(row)), pa.array(cuts[:-1] - at[row]),
-                        pa.array(np.diff(at)[row]), _listed(ids, cuts),
+                        pa.array(np.diff(at)[row]), _binary(ids, cuts),
                     ],
                     names=["part", "place", "doc_id", "start", "doc_tokens", "ids"],
                 )
@@ -147,7 +180,7 @@ def token_table(docs: DataFrame, vocabulary: str, end: int = END) -> DataFrame:
 
 
 PIECE = "doc_at long, doc_id long, start long, length long, offset long, doc_tokens long"
-RECORDS = f"sequence_id long, offset long, ids array<int>, pieces array<struct<{PIECE}>>"
+RECORDS = f"sequence_id long, offset long, ids binary, pieces array<struct<{PIECE}>>"
 
 
 def _cut(ids: np.ndarray, begin: np.ndarray, rows: pa.RecordBatch, window: int, whole: bool) -> pa.RecordBatch:
@@ -169,17 +202,20 @@ def _cut(ids: np.ndarray, begin: np.ndarray, rows: pa.RecordBatch, window: int,
     )
     lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(slot, np.arange(len(cuts))), pa.int32()), pieces)
     return pa.RecordBatch.from_arrays(
-        [pa.array(cuts[:-1] // window), pa.array(cuts[:-1] % window), _listed(ids, cuts - first), lists], names=["sequence_id", "offset", "ids", "pieces"]
+        [pa.array(cuts[:-1] // window), pa.array(cuts[:-1] % window), _binary(ids, cuts - first), lists], names=["sequence_id", "offset", "ids", "pieces"]
     ).take(pa.array(keep))
 
 
 def sequences(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = END, pad: int = PAD) -> DataFrame:
-    """``(sequence_id, ids, padding, pieces)``: the packed windows, each with its pieces of documents."""
+    """``(sequence_id, ids, padding, pieces)``: the packed windows, each with its pieces of documents.
+
+    ``ids`` are little-endian 32-bit numbers, one after another, as token files hold them.
+    """
     tokens = token_table(docs, vocabulary, end)
-    totals = tokens.groupBy("part").agg(F.max(F.col("place") + F.size("ids")).alias("n")).collect()  # a number a task of the first pass
+    totals = tokens.groupBy("part").agg(F.max(F.col("place") + F.octet_length("ids") / 4).alias("n")).collect()  # a number a task of the first pass
     size = np.zeros(max((r["part"] for r in totals), default=-1) + 2, np.int64)
     for r in totals:
-        size[r["part"] + 1] = r["n"]
+        size[r["part"] + 1] = int(r["n"])
     base = docs.sparkSession.sparkContext.broadcast(np.cumsum(size))
 
     def windows(whole: bool) -> DataFrame:
@@ -187,12 +223,12 @@ def sequences(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int =
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                lists = batch.column("ids")
-                at = lists.offsets.to_numpy().astype(np.int64)
-                ids = lists.values.to_numpy()
+                ids, at = _numbers(batch.column("ids"))
                 begin = base.value[batch.column("part").to_numpy()] + batch.column("place").to_numpy()
                 breaks = np.flatnonzero(begin[1:] != begin[:-1] + np.diff(at)[:-1]) + 1
-                for lo, hi in itertools.pairwise([0, *breaks.tolist(), len(begin)]):
+                # Rows of about ROW_IDS at once.
+                full = np.flatnonzero(np.diff(at[:-1] // ROW_IDS)) + 1
+                for lo, hi in itertools.pairwise(np.unique([0, *breaks, *full, len(begin)]).tolist()):
                     stop = begin[hi - 1] + at[hi] - at[hi - 1]
                     yield _cut(ids[at[lo] : at[hi]], np.append(begin[lo:hi], stop), batch.slice(lo, hi - lo), window, whole)
 
@@ -207,33 +243,28 @@ def sequences(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int =
         F.flatten(F.col("p.pieces")), F.expr(f"cast(array() as array<struct<{PIECE}>>)"),
         lambda a, x: F.when(follows(a, x), F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(longer(a, x)))).otherwise(F.concat(a, F.array(x))),
     )
-    ends = ends.select("sequence_id", F.flatten(F.col("p.ids")).alias("ids"), joined.alias("pieces"))
-    full = windows(True).select("sequence_id", "ids", "pieces").union(ends)
-    n = F.size("ids")
+    ids = F.aggregate("p.ids", F.lit(b""), lambda a, x: F.concat(a, x))
+    full = windows(True).select("sequence_id", "ids", "pieces").union(ends.select("sequence_id", ids.alias("ids"), joined.alias("pieces")))
+    n = (F.octet_length("ids") / 4).cast("int")
     padding = F.when(F.bit_count(n) == 1, 0).otherwise(window - n).cast("int")
-    return full.select("sequence_id", F.concat("ids", F.array_repeat(F.lit(pad), padding)).alias("ids"), padding.alias("padding"), "pieces")
+    pads = F.unhex(F.repeat(F.lit(pad.to_bytes(4, "little").hex()), padding))
+    return full.select("sequence_id", F.concat("ids", pads).alias("ids"), padding.alias("padding"), "pieces")
 
 
-def piece_digests(packed: DataFrame) -> DataFrame:
-    """A row per piece of packed sequences, with the CRC-32 of its ids as little-endian 32-bit numbers."""
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+def id_arrays(packed: DataFrame) -> DataFrame:
+    """Packed sequences with their ids as an array of numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, pieces = batch.column("ids"), batch.column("pieces")
-            at, cuts = lists.offsets.to_numpy().astype(np.int64), pieces.offsets.to_numpy()
-            data = memoryview(lists.values.to_numpy().astype("<u4")).cast("B")
-            fields = {f.name: pieces.values.field(f.name).slice(cuts[0], cuts[-1] - cuts[0]) for f in pieces.type.value_type}
-            row = np.repeat(np.arange(batch.num_rows), np.diff(cuts))
-            begin = 4 * (at[row] + fields["offset"].to_numpy())
-            stop = begin + 4 * fields["length"].to_numpy()
-            crc = [zlib.crc32(data[a:b]) for a, b in zip(begin.tolist(), stop.tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    fields["doc_id"], fields["start"], fields["length"], pa.array(crc, pa.int64()), fields["doc_tokens"],
-                    batch.column("sequence_id").take(pa.array(row)), fields["offset"],
-                ],
-                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
-            )
-
-    return packed.select("sequence_id", "ids", "pieces").mapInArrow(run, schema)
+            ids, at = _numbers(batch.column("ids"))
+            yield batch.set_column(1, "ids", pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32))))
+
+    schema = f"sequence_id long, ids array<int>, padding int, pieces array<struct<{PIECE}>>"
+    return packed.select("sequence_id", "ids", "padding", "pieces").mapInArrow(run, schema)
+
+
+def piece_digests(packed: DataFrame) -> DataFrame:
+    """A row per piece of packed sequences, with the CRC-32 of its ids as little-endian 32-bit numbers."""
+    rows = packed.select("sequence_id", "ids", F.explode("pieces").alias("p"))
+    part = F.substring("ids", (4 * F.col("p.offset") + 1).cast("int"), (4 * F.col("p.length")).cast("int"))
+    return rows.select("p.doc_id", "p.start", "p.length", F.crc32(part).alias("ids_crc32"), "p.doc_tokens", "sequence_id", "p.offset")

@@ -54,12 +54,12 @@ def test_every_id_once(spark, model, monkeypatch, window, row_ids, parts):
     texts = [(i, " ".join(rng.choices(words, k=rng.choice([0, 1, 5, 40])))) for i in range(60)]
     texts += [(None, "no id"), (None, None), (60, None), (61, ""), (62, " "), texts[3], texts[3], (63, "long text " * 3000)]
     docs = spark.createDataFrame([(*t, "c", 1, "x") for t in texts], "doc_id long, text string, ids string, place int, offset string").repartition(parts)
-    assert check(packing.sequences(docs, VOCABULARY, window).collect(), texts, model, window) > len(texts)
+    assert check(packing.id_arrays(packing.sequences(docs, VOCABULARY, window)).collect(), texts, model, window) > len(texts)
 
 
 def test_pieces_of_any_text(model):
     rng = random.Random(2)
-    parts = ["a", "b'", " ", "  ", "\n", "\t", ".", "!", "é", "ß", "\x85", "\x1c", " ", "　", "​", "²", "'s", "<|endoftext|>", "😀", "́", "\xa0", "ab", "The"]
+    parts = ["a", "b'", " ", "  ", "\n", "\t", ".", "!", "é", "ß", "\x85", "\x1c", " ", "　", "​", "²", "'s", "<|endoftext|>", "😀", "́", "\xa0", "ab", "The", "9", "\n\n", "#", "$x"]
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(3000)]
     import pyarrow as pa
 
@@ -75,9 +75,9 @@ def test_pieces_of_any_text(model):
 
 def test_power_of_two_tail_and_empty(spark, model):
     one = spark.createDataFrame([(1, "")] * 4, "doc_id long, text string")
-    (row,) = packing.sequences(one, VOCABULARY).collect()
+    (row,) = packing.id_arrays(packing.sequences(one, VOCABULARY)).collect()
     assert row["ids"] == [1, 1, 1, 1] and row["padding"] == 0
-    (row,) = packing.sequences(one.limit(3), VOCABULARY).collect()
+    (row,) = packing.id_arrays(packing.sequences(one.limit(3), VOCABULARY)).collect()
     assert row["padding"] == 2045 and len(row["ids"]) == 2048
     none = packing.piece_digests(packing.sequences(one.limit(0), VOCABULARY))
     assert none.count() == 0 and none.columns[0] == "doc_id"
