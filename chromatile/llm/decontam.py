@@ -9,20 +9,22 @@ of the item's words inserted, deleted or replaced.
   distance fall into step again after each edit, so their walks agree at most steps:
   edit distance becomes Hamming distance.
 * A repetition has a walk of its own and keeps ``SAMPLES`` sampled steps as its hash
-  (bit sampling).  A window that starts at a leaked passage meets the item in one
-  repetition at least with probability ``RECALL``, taking every sampled step to agree
-  with probability ``AGREE`` at the largest distance; exact copies always meet.
-* Item-sized windows are started at every word.  By the q-gram lemma a window within k
-  edits of an item of n words shares at least n - 2 - 3k of its word triples, and one
-  at least when k edits leave a run of three; windows with fewer cannot match, and are
-  left out before they are hashed.  This loses nothing.
-* Each candidate is verified by its exact edit distance, with a free end.
-
-The benchmark is broadcast in slices of at most ``SLICE_WORDS`` words, however large
-it is; documents are never shuffled.
-
-Results: null and empty texts leak nothing; items under six words are too common to
-count as leaks; null ids stay null; repeated rows are judged alike; other columns are
+  (bit sampling).  Items are walked from several starts, so that the walks cover the whole
+  item: whatever the place of the edits, one of these stretches has no more than its share
+  of them.  It meets the text in one repetition at least with probability ``RECALL``, taking
+  every sampled step to agree with probability ``AGREE`` at that share; copies always meet.
+* Windows are started at every word.  By the q-gram lemma a stretch within k edits of an
+  item of n words shares at least n - 2 - 3k of its word triples, and one at least when k
+  edits leave a run of three; where the words around a start have fewer, nothing is hashed.
+  This loses nothing.
+* Whatever meets is aligned with the whole item around it by exact edit distance, with both
+  ends of the text free.  Items under ``MIN_ITEM`` words have no edits and are looked up.
+
+Items of equal words are one item until the result.  They are broadcast in slices of at most
+``SLICE_WORDS`` words (or one item); documents are never shuffled.
+
+Results: null and empty texts leak nothing, and items without words are leaked by nothing; an
+item of a word or two is leaked by every text that holds them; null ids stay null; repeated rows are judged alike; other columns are
 kept by ``keep_clean`` and ignored elsewhere; empty tables give no matches.
 """
 
@@ -34,13 +36,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from chromatile.llm.text import ODD_A, ODD_B, Rolling, blocks, mixed, word_spans
 from chromatile.session import materialize
 
 SIMILARITY = 0.8
 MIN_ITEM = 6
-SAMPLES, STEPS = 3, 24
+SAMPLES = 3
+#: Steps of a walk by the size of the item.
+STEPS = (6, 12, 24)
 RECALL, AGREE = 0.98, 0.5
 SLICE_WORDS = 500_000
 GRAM = 3
@@ -56,7 +61,8 @@ def repetitions(recall: float = RECALL, agree: float = AGREE, samples: int = SAM
 
 
 def edits_allowed(n: int, similarity: float = SIMILARITY) -> int:
-    return math.floor((1 - similarity) * n + 1e-9)
+    """Edits that an item of ``n`` words may have; short ones none."""
+    return math.floor((1 - similarity) * n + 1e-9) if n >= MIN_ITEM else 0
 
 
 def words_of(raw: np.ndarray, at: np.ndarray, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
@@ -65,28 +71,31 @@ def words_of(raw: np.ndarray, at: np.ndarray, rolling: Rolling) -> tuple[np.ndar
     return rolling(LOWER[raw], starts, ends), first
 
 
-def edit_distance(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int]:
-    """Least edits that turn a beginning of ``text`` into ``item``, and the shortest such length; above ``most``: (most + 1, 0)."""
-    n = len(item)
-    up = np.arange(n + 1)
-    best, length = n, 0
-    for j, w in enumerate(text[: n + most].tolist(), 1):
-        step = np.minimum(up[1:] + 1, up[:-1] + (item != w))
-        row = np.empty(n + 1, np.int64)
+#: Costs of an alignment are edits times this plus the place where it starts.
+COST = 1 << 32
+
+
+def best_stretch(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int]:
+    """(edits, start, length) of the stretch of ``text`` with the least edits, then the first, then the shortest; above ``most``: (most + 1, 0, 0)."""
+    drop = np.arange(len(item) + 1) * COST
+    up, best, end = drop, (most + 1) * COST, 0
+    row = np.empty(len(item) + 1, np.int64)
+    for j, w in enumerate(text.tolist(), 1):
         row[0] = j
-        row[1:] = step
-        up = np.minimum.accumulate(row - np.arange(n + 1)) + np.arange(n + 1)
+        np.minimum(up[1:] + COST, up[:-1] + COST * (item != w), out=row[1:])
+        up = np.minimum.accumulate(row - drop) + drop
         if up[-1] < best:
-            best, length = int(up[-1]), j
-        if up.min() > min(best, most):
+            best, end = int(up[-1]), j
+        if best < COST:
             break
-    return (best, length) if best <= most else (most + 1, 0)
+    edits, start = divmod(best, COST)
+    return (edits, start, end - start) if end else (most + 1, 0, 0)
 
 
 class Walks:
     """CGK walks with shared randomness: repetition, step and word give the bit."""
 
-    def __init__(self, reps: int, steps: int = STEPS, samples: int = SAMPLES, seed: int = 7):
+    def __init__(self, reps: int, steps: int = max(STEPS), samples: int = SAMPLES, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.reps, self.steps, self.samples = reps, steps, samples
         self.odd = rng.integers(1, 2**63, (reps, steps), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -98,7 +107,7 @@ class Walks:
 
     def hashes(self, words: np.ndarray, starts: np.ndarray, rep: int, reach: int) -> np.ndarray:
         """Hash of the sampled steps of the walk from each start; a walk of ``reach`` steps reads that many words at most."""
-        at, out = starts.copy(), np.full(len(starts), reach, np.uint64)
+        at, out = starts, np.full(len(starts), reach, np.uint64)
         kept = self.kept(rep, reach)
         for step in range(max(kept) + 1 if kept else 0):
             w = words[at]
@@ -108,94 +117,130 @@ class Walks:
         return out
 
 
+def stretches(n: int) -> tuple[int, list[int]]:
+    """Steps of the walks of an item of ``n`` words, and where they start: a walk reads about half as many words as it has steps."""
+    steps = max(k for k in STEPS if k <= n)
+    return steps, sorted({*range(0, n - steps + 1, steps // 2), n - steps})
+
+
 class Index:
     """Hash tables of one slice of the benchmark; built from word hashes in each task."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], similarity: float):
+    def __init__(self, items: list[np.ndarray], similarity: float):
         self.items = items
-        self.limit = [edits_allowed(len(w), similarity) for _, w in items]
-        self.walks = Walks(repetitions())
+        self.limit = [edits_allowed(len(w), similarity) for w in items]
+        self.walks = Walks(repetitions(), max(STEPS))
         self.grams = Rolling(ODD_B)
-        sizes = np.array([len(w) for _, w in items], np.int64)
-        flat = np.concatenate([w for _, w in items]) if items else np.zeros(0, np.uint64)
+        sizes = np.array([len(w) for w in items], np.int64)
+        flat = np.concatenate(items) if items else np.zeros(0, np.uint64)
         begin = np.cumsum(sizes) - sizes
         inside = np.arange(len(flat)) - np.repeat(begin, sizes)
-        at = np.flatnonzero(inside + GRAM <= np.repeat(sizes, sizes))
+        at = np.flatnonzero((inside + GRAM <= np.repeat(sizes, sizes)) & (np.repeat(sizes, sizes) >= MIN_ITEM))
         grams = self.grams(flat, at, at + GRAM)
-        self.bags = [set(g.tolist()) for g in np.split(grams, np.searchsorted(at, begin[1:]))]
+        owner = np.repeat(np.arange(len(items)), sizes)[at]
+        self.bags = [set(g.tolist()) for g in np.split(grams, np.searchsorted(owner, np.arange(1, len(items))))] if items else []
         self.known = np.unique(grams)
         self.bloom = np.zeros(1 << 22, bool)
         self.bloom[self.known >> np.uint64(42)] = True
-        # per item size: triples in its widest match, and how many of them must be known
-        need = {n: (n + k - GRAM + 1, max(1, n - GRAM + 1 - GRAM * k)) for n, k in zip(sizes.tolist(), self.limit)}
-        self.need = sorted(set(need.values()))
-        self.widest = max((w for w, _ in self.need), default=0)
-        reach = np.minimum(sizes, STEPS)
-        self.tables = {}
-        for steps in np.unique(reach).tolist():
-            members = np.flatnonzero(reach == steps)
+        # Per size of items: words around a start that hold the widest match, and how many triples of it must be known.
+        need = {}
+        for n, k in zip(sizes.tolist(), self.limit):
+            if n >= MIN_ITEM:
+                size = 1 << (n - 1).bit_length()
+                old = need.get(size, (0, n))
+                need[size] = max(old[0], n + k), min(old[1], max(1, n - GRAM + 1 - GRAM * k))
+        self.need = sorted(need.values())
+        self.tables, self.short = {}, {}
+        spots: dict[int, list[tuple[int, int]]] = {}
+        for i, n in enumerate(sizes.tolist()):
+            if n >= MIN_ITEM:
+                steps, starts = stretches(n)
+                spots.setdefault(steps, []).extend((i, o) for o in starts)
+        for steps, places in spots.items():
+            member, offset = np.array(places, np.int64).T
             for rep in range(self.walks.reps):
-                h = self.walks.hashes(flat, begin[members], rep, steps)
+                h = self.walks.hashes(flat, begin[member] + offset, rep, steps)
+                order = np.argsort(h)
+                self.tables[steps, rep] = h[order], member[order], offset[order]
+        for n in range(1, MIN_ITEM):
+            own = np.flatnonzero(sizes == n)
+            if len(own):
+                h = self.grams(flat, begin[own], begin[own] + n)
                 order = np.argsort(h)
-                self.tables[steps, rep] = h[order], members[order]
+                self.short[n] = h[order], own[order]
 
     def _starts(self, h: np.ndarray) -> np.ndarray:
-        """Starts whose window shares enough of the word triples ``h`` with the benchmark."""
+        """Starts with enough of the word triples ``h`` of the benchmark around them."""
         n = len(h)
         hit = self.bloom[h >> np.uint64(42)]
         spots = np.flatnonzero(hit)
+        if not len(spots) or not len(self.known):
+            return spots[:0]
         place = np.minimum(np.searchsorted(self.known, h[spots]), len(self.known) - 1)
-        spots = spots[self.known[place] == h[spots]]
-        if not len(spots):
-            return spots
-        edge = np.zeros(n + 1, np.int64)
-        np.add.at(edge, np.maximum(spots - self.widest + 1, 0), 1)
-        np.add.at(edge, spots + 1, -1)
-        near = np.flatnonzero(np.cumsum(edge)[:n] > 0)
-        total = np.zeros(n + 1, np.int64)
         marks = np.zeros(n, np.int64)
-        marks[spots] = 1
-        np.cumsum(marks, out=total[1:])
-        keep = np.zeros(len(near), bool)
+        marks[spots[self.known[place] == h[spots]]] = 1
+        total = np.append(0, np.cumsum(marks))
+        at = np.arange(n)
+        keep = np.zeros(n, bool)
         for width, least in self.need:
-            keep |= total[np.minimum(near + width, n)] - total[near] >= least
-        return near[keep]
+            keep |= total[np.minimum(at + width, n)] - total[np.maximum(at - width, 0)] >= least
+        return np.flatnonzero(keep)
 
     def matches(self, words: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
         """(text, item index) -> (edits, start, length), the least edits and then the first start."""
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for n, (table, member) in self.short.items():
+            at = np.arange(max(0, len(words) - n + 1))
+            d = np.searchsorted(first, at, "right") - 1
+            at, d = at[at + n <= first[d + 1]], d[at + n <= first[d + 1]]
+            h = self.grams(words, at, at + n)
+            spot = np.minimum(np.searchsorted(table, h), len(table) - 1)
+            for j in np.flatnonzero(table[spot] == h).tolist():
+                i = int(member[spot[j]])
+                if (int(d[j]), i) not in found and (words[at[j] : at[j] + n] == self.items[i]).all():
+                    found[int(d[j]), i] = 0, int(at[j] - first[d[j]]), n
         at = np.arange(max(0, len(words) - GRAM + 1))
         grams = self.grams(words, at, at + GRAM)
-        starts = self._starts(grams) if len(self.items) else np.zeros(0, np.int64)
+        starts = self._starts(grams)
         if not len(starts):
             return found
-        doc = np.searchsorted(first, starts, "right") - 1
-        room = first[doc + 1] - starts
-        seen = set()
-        for (reach, rep), (table, member) in self.tables.items():
-            fits = np.flatnonzero(room >= reach - reach // 5)
-            padded = np.concatenate([words, np.zeros(STEPS, np.uint64)])
-            h = self.walks.hashes(padded, starts[fits], rep, reach)
+        padded = np.concatenate([words, np.zeros(max(STEPS), np.uint64)])
+        hits = []
+        for (steps, rep), (table, member, offset) in self.tables.items():
+            h = self.walks.hashes(padded, starts, rep, steps)
             lo, hi = np.searchsorted(table, h, "left"), np.searchsorted(table, h, "right")
-            for j in np.flatnonzero(hi > lo):
-                s = fits[j]
-                seen.update((int(s), int(i)) for i in member[lo[j] : hi[j]])
-        for d, at, i in sorted((int(doc[s]), int(starts[s]), i) for s, i in seen):
-            (_, item), limit = self.items[i], self.limit[i]
+            met = np.flatnonzero(hi > lo)
+            n = (hi - lo)[met]
+            spot = np.repeat(lo[met], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = np.repeat(starts[met], n)
+            hits.append(np.unique(np.stack([np.searchsorted(first, at, "right") - 1, member[spot], at - offset[spot]], 1), axis=0))
+        hits = np.unique(np.concatenate(hits), axis=0)
+        # Of one text and item, places whose surroundings overlap are looked at together.
+        bound = np.array(self.limit)
+        reach = np.array([len(w) for w in self.items]) + 2 * bound
+        lo = np.maximum(hits[:, 2] - 2 * bound[hits[:, 1]], first[hits[:, 0]])
+        hi = np.minimum(hits[:, 2] + reach[hits[:, 1]], first[hits[:, 0] + 1])
+        new = np.append(True, (np.diff(hits[:, :2], axis=0) != 0).any(1) | (lo[1:] > hi[:-1]))
+        head = np.flatnonzero(new)
+        for g, e in zip(head.tolist(), np.append(head[1:], len(hits)).tolist()):
+            d, i, a, b = int(hits[g, 0]), int(hits[g, 1]), int(lo[g]), int(hi[g:e].max(initial=0))
+            item, limit = self.items[i], self.limit[i]
             best = found.get((d, i), (limit + 1, 0, 0))[0]
-            window = words[at : min(at + len(item) + limit, int(first[d + 1]))]
-            # the lemma again, for this item and fewer edits than found so far
-            own = grams[at : at + len(window) - GRAM + 1].tolist()
+            # The lemma again, for this item and fewer edits than found so far.
+            own = grams[a : max(a, b - GRAM + 1)].tolist()
             if best == 0 or sum(map(self.bags[i].__contains__, own)) < len(item) - GRAM + 1 - GRAM * (best - 1):
                 continue
-            edits, length = edit_distance(item, window, limit)
+            edits, start, length = best_stretch(item, words[a:b], best - 1)
             if edits < best:
-                found[d, i] = (edits, at - int(first[d]), length)
+                found[d, i] = (edits, a - int(first[d]) + start, length)
         return found
 
 
-def _slices(benchmark: DataFrame, similarity: float, slice_words: int) -> Iterator:
-    """Broadcast indexes of the items, each of a bounded number of words."""
+ITEM = ["key1", "key2"]
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """``(item_id, key1, key2, words)``: hashes of the words of every item with words, and 128 bits that name them."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,24 +252,36 @@ def _slices(benchmark: DataFrame, similarity: float, slice_words: int) -> Iterat
                 words += [w[first[d] : first[d + 1]].view(np.int64).tolist() for d in range(len(at) - 1)]
             yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(words, pa.list_(pa.int64()))], names=["item_id", "words"])
 
-    items = materialize(rows.mapInArrow(run, "item_id long, words array<long>").filter(F.size("words") >= MIN_ITEM), "items")
-    total = items.agg(F.sum(F.size("words"))).first()[0] or 0
+    items = rows.mapInArrow(run, "item_id long, words array<long>").filter(F.size("words") > 0)
+    return materialize(items.select("item_id", F.xxhash64("words").alias("key1"), F.xxhash64(F.lit(1), "words").alias("key2"), "words"), "items")
+
+
+def _slices(items: DataFrame, similarity: float, slice_words: int) -> Iterator:
+    """Broadcast distinct items, each time of a bounded number of words."""
+    once = items.groupBy(*ITEM).agg(F.first("words").alias("words"))
+    total = once.agg(F.sum(F.size("words"))).first()[0] or 0
     n = max(1, -(-total // slice_words))
-    for k in range(n):
-        part = items.filter(F.pmod(F.xxhash64("words"), F.lit(n)) == k).orderBy("item_id", "words") if n > 1 else items
-        packed = [(r["item_id"], np.array(r["words"], np.int64).view(np.uint64)) for r in part.collect()]
-        yield benchmark.sparkSession.sparkContext.broadcast((packed, similarity))
+    # A bucket holds about a slice; running sums in it cut what is more.
+    bucket = once.withColumn("bucket", F.pmod("key1", F.lit(n)))
+    until = F.sum(F.size("words").cast("long")).over(Window.partitionBy("bucket").orderBy(*ITEM).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    cut = materialize(bucket.withColumn("cut", F.floor((until - 1) / slice_words)), "slices")
+    for b, c in sorted(tuple(r) for r in cut.select("bucket", "cut").distinct().collect()):
+        rows = cut.filter((F.col("bucket") == b) & (F.col("cut") == c)).select(*ITEM, "words").collect()
+        packed = [((r["key1"], r["key2"]), np.array(r["words"], np.int64).view(np.uint64)) for r in sorted(rows)]
+        yield items.sparkSession.sparkContext.broadcast((packed, similarity))
 
 
 class Matcher:
     """Finds leaks in Arrow columns of texts, against one slice."""
 
     def __init__(self, shared):
-        self.shared, self.index, self.rolling = shared, None, Rolling(ODD_A)
+        self.shared, self.index, self.keys, self.rolling = shared, None, [], Rolling(ODD_A)
 
     def __call__(self, text: pa.Array) -> list[tuple[int, int, int, int, int]]:
         """(row, item index, edits, start, length) of each leaked item."""
-        self.index = self.index or Index(*self.shared.value)
+        if self.index is None:
+            packed, similarity = self.shared.value
+            self.keys, self.index = [k for k, _ in packed], Index([w for _, w in packed], similarity)
         out = []
         for lo, _, raw, at in blocks(text):
             words, first = words_of(raw, at, self.rolling)
@@ -234,29 +291,29 @@ class Matcher:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, slice_words: int = SLICE_WORDS) -> DataFrame:
     """One row per leaked pair: doc_id, item_id, edits, item_words, start (word), length (words), similarity."""
-    schema = "doc_id long, item_id long, edits int, item_words int, start long, length int, similarity double"
+    schema = "doc_id long, key1 long, key2 long, edits int, item_words int, start long, length int"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
-    for shared in _slices(benchmark, similarity, slice_words):
+    items = _items(benchmark)
+    out = items.select(F.lit(None).cast("long").alias("doc_id"), *ITEM, *[F.lit(0).alias(c) for c in ("edits", "item_words", "start", "length")]).limit(0)
+    for shared in _slices(items, similarity, slice_words):
         find = Matcher(shared)
 
         def run(batches: Iterator[pa.RecordBatch], find=find) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids, found = batch.column("doc_id").to_pylist(), find(batch.column("text"))
-                sizes = {i: (find.index.items[i][0], len(find.index.items[i][1])) for _, i, *_ in found}
-                cells = [(ids[d], sizes[i][0], e, sizes[i][1], s, n, 1 - e / sizes[i][1]) for d, i, e, s, n in found]
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64()]
+                cells = [(ids[d], *find.keys[i], e, len(find.index.items[i]), s, n) for d, i, e, s, n in found]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
                 cols = list(zip(*cells)) if cells else [[]] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in schema.split(", ")])
 
-        part = rows.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+        out = out.unionByName(rows.mapInArrow(run, schema))
+    named = out.join(items.select("item_id", *ITEM), ITEM)
+    return named.select("doc_id", "item_id", "edits", "item_words", "start", "length", (1 - F.col("edits") / F.col("item_words")).alias("similarity"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, slice_words: int = SLICE_WORDS) -> DataFrame:
     """The documents that leak no item, in all their columns."""
-    for shared in _slices(benchmark, similarity, slice_words):
+    for shared in _slices(_items(benchmark), similarity, slice_words):
         find = Matcher(shared)
 
         def run(batches: Iterator[pa.RecordBatch], find=find) -> Iterator[pa.RecordBatch]:
