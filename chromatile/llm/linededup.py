@@ -8,10 +8,13 @@ A line's key is the line without white space at its ends, A-Z lower-cased, as a
 * ``filters``   per shard of the keys, cuckoo filters of all keys in ``refs``.
 
 An insertion counts its own keys first and asks the filters of their shards: keys that
-no filter knows are new and skip the join with ``refs``.  A deletion takes its postings
-back, lowers the counts and removes keys that reach zero from the filters.  Cuckoo
-filters can forget, and the tables are exact, so inserting and deleting leaves the
-decisions that the remaining documents alone would give.
+no filter knows are new and skip the join with ``refs``.  A full filter of a shard gets a
+larger one above it, and ``refs`` keeps the layer of every key.  A deletion takes its
+postings back, lowers the counts and removes keys that reach zero from the filter of their
+layer, where a fingerprint of the same buckets and value is as good as their own; so the
+filters never deny a key that is held.  Inserting and deleting leaves the decisions that the
+remaining documents alone would give.  Before an insertion that would outgrow the shards,
+filters of more shards are built from ``refs``.
 
 Every version is written as tables of its own before it counts.  Decisions join lines
 with the shared keys; keys so common that one could crowd a task are few by counting
@@ -42,6 +45,8 @@ SHARD_KEYS = 400_000
 HOT_KEYS = 4096
 WHITE_BYTES = b" \t\n\v\f\r"
 SLOTS = 4
+#: Share of the slots that a filter may fill.
+FULL = 0.85
 
 
 def line_key(line: bytes) -> bytes:
@@ -99,12 +104,14 @@ class CuckooFilter:
         return left
 
     def insert(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
-        """Insert keys; True where the filter is too full for a key."""
+        """Insert keys up to ``FULL`` of the slots; True where the filter is too full for a key."""
+        room = max(0, int(self.table.size * FULL) - int(np.count_nonzero(self.table)))
         mark, one = self._places(k1, k2)
-        left = self._fill(one, mark)
-        rest = np.flatnonzero(left)
+        left = np.ones(len(mark), bool)
+        left[:room] = self._fill(one[:room], mark[:room])
+        rest = np.flatnonzero(left[:room])
         left[rest] = self._fill(self._other(one, mark)[rest], mark[rest])
-        for i in np.flatnonzero(left):
+        for i in np.flatnonzero(left[:room]):
             left[i] = not self._kick(int(one[i]), int(mark[i]))
         return left
 
@@ -150,21 +157,24 @@ class Layers:
             hit |= f.contains(k1, k2)
         return hit
 
-    def insert(self, k1: np.ndarray, k2: np.ndarray) -> None:
-        if self.filters and len(k1):
-            full = self.filters[-1].insert(k1, k2)
-            k1, k2 = k1[full], k2[full]
-        while len(k1):
-            size = max(len(k1), 2 * SLOTS * len(self.filters[-1].table) if self.filters else 0)
+    def insert(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+        """Insert keys; the layer of each."""
+        layer = np.full(len(k1), max(0, len(self.filters) - 1), np.int32)
+        todo = np.arange(len(k1))
+        if self.filters and len(todo):
+            todo = todo[self.filters[-1].insert(k1, k2)]
+        while len(todo):
+            size = max(len(todo), 2 * SLOTS * len(self.filters[-1].table) if self.filters else 0)
             self.filters.append(CuckooFilter.sized(size))
-            full = self.filters[-1].insert(k1, k2)
-            k1, k2 = k1[full], k2[full]
+            layer[todo] = len(self.filters) - 1
+            todo = todo[self.filters[-1].insert(k1[todo], k2[todo])]
+        return layer
 
-    def delete(self, k1: np.ndarray, k2: np.ndarray) -> None:
-        for f in self.filters:
-            if len(k1):
-                missing = f.delete(k1, k2)
-                k1, k2 = k1[missing], k2[missing]
+    def delete(self, k1: np.ndarray, k2: np.ndarray, layer: np.ndarray) -> None:
+        for i, f in enumerate(self.filters):
+            own = layer == i
+            if f.delete(k1[own], k2[own]).any():
+                raise RuntimeError("a filter has lost a key")
 
     def dump(self) -> list[bytes]:
         return [f.dump() for f in self.filters]
@@ -193,15 +203,19 @@ def postings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 KEY = ["k1", "k2"]
+REFS = "k1 long, k2 long, n long, top long, layer int"
 FILTERS = "shard int, layers array<binary>"
+#: A row of either kind: the filters of a shard, or a key with its layer.
+UPDATED = f"{FILTERS}, {REFS}"
 
 
 class LineStore:
     """A version of the store; ``insert`` and ``delete`` return the next one."""
 
     def __init__(self, spark: SparkSession, min_chars: int = MIN_CHARS, shards: int | None = None):
-        self.spark, self.min_chars, self.shards = spark, min_chars, shards
-        self.postings = self.refs = self.filters = None
+        self.spark, self.min_chars, self.shards = spark, min_chars, shards or 1
+        self.postings = spark.createDataFrame([], "k1 long, k2 long, doc_id long")
+        self.refs, self.filters = spark.createDataFrame([], REFS), spark.createDataFrame([], FILTERS)
 
     def _next(self, held: DataFrame, refs: DataFrame, filters: DataFrame) -> LineStore:
         out = LineStore(self.spark, self.min_chars, self.shards)
@@ -212,18 +226,21 @@ class LineStore:
         return df.withColumn("shard", F.pmod(F.xxhash64("k1"), F.lit(self.shards)).cast("int"))
 
     def _updated(self, changes: DataFrame) -> DataFrame:
-        """Filters after ``changes`` (shard, k1, k2, add)."""
+        """Filters after ``changes`` (k1, k2, n, top, layer), written: keys with a layer are taken out of it, others put in."""
 
         def update(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
             layers = Layers([b for row in old["layers"] for b in row])
-            for add in (False, True):
-                part = new[new["add"] == add]
-                k1, k2 = part["k1"].to_numpy(np.int64), part["k2"].to_numpy(np.int64)
-                layers.insert(k1, k2) if add else layers.delete(k1, k2)
+            out = new["layer"].notna().to_numpy()
+            k1, k2 = new["k1"].to_numpy(np.int64), new["k2"].to_numpy(np.int64)
+            layers.delete(k1[out], k2[out], new["layer"].to_numpy()[out].astype(np.int64))
+            put = new[~out].assign(layer=layers.insert(k1[~out], k2[~out]), layers=None)
             shard = old["shard"].iloc[0] if len(old) else new["shard"].iloc[0]
-            return pd.DataFrame({"shard": [shard], "layers": [layers.dump()]})
+            filters = pd.DataFrame({"shard": [shard], "layers": [layers.dump()]})
+            names = ["shard", "layers", "k1", "k2", "n", "top", "layer"]
+            return pd.concat([filters.reindex(columns=names).astype({"k1": "Int64", "k2": "Int64", "n": "Int64", "top": "Int64", "layer": "Int32"}), put[names]])
 
-        return self.filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(update, FILTERS)
+        left, right = self.filters.groupBy("shard"), self._shard(changes).groupBy("shard")
+        return materialize(left.cogroup(right).applyInPandas(update, UPDATED), "updated")
 
     def _known(self, keys: DataFrame) -> DataFrame:
         """``keys`` with ``maybe``: whether a filter of the shard has the key."""
@@ -233,28 +250,36 @@ class LineStore:
             return keys.assign(maybe=layers.contains(keys["k1"].to_numpy(np.int64), keys["k2"].to_numpy(np.int64)))
 
         schema = "k1 long, k2 long, n long, top long, shard int, maybe boolean"
-        return self.filters.groupBy("shard").cogroup(keys.groupBy("shard")).applyInPandas(ask, schema)
+        return self.filters.groupBy("shard").cogroup(self._shard(keys).groupBy("shard")).applyInPandas(ask, schema)
+
+    def _widened(self, coming: int) -> LineStore:
+        """The store with enough shards for ``coming`` more keys; more of them are filled anew from the exact table."""
+        held = self.refs.count()
+        if held + coming <= 2 * SHARD_KEYS * self.shards:
+            return self
+        out = self._next(self.postings, self.refs, self.filters.limit(0))
+        out.shards = -(-(held + coming) // SHARD_KEYS)
+        if held:
+            new = out._updated(self.refs.withColumn("layer", F.lit(None).cast("int")))
+            out.refs, out.filters = new.filter("k1 is not null").select(*self.refs.columns), new.filter("k1 is null").select("shard", "layers")
+        return out
 
     def insert(self, docs: DataFrame) -> LineStore:
         """Add documents that the store does not hold yet."""
         new = materialize(postings(docs, self.min_chars), "postings")
         counts = new.groupBy(*KEY, "doc_id").agg(F.lit(1).alias("_")).groupBy(*KEY).agg(F.count("*").alias("n"), F.max("doc_id").alias("top"))
         counts = materialize(counts, "counts")
-        if self.postings is None:
-            self.shards = self.shards or max(1, -(-counts.count() // SHARD_KEYS))
-            self.filters = self.spark.createDataFrame([], FILTERS)
-            self.refs = counts.limit(0)
-            asked, held = self._shard(counts).withColumn("maybe", F.lit(False)), new
-        else:
-            asked, held = materialize(self._known(self._shard(counts)), "asked"), self.postings.unionByName(new)
-        fresh = asked.filter("not maybe").select(*KEY, "n", "top", "shard")
+        store = self._widened(counts.count())
+        asked = materialize(store._known(counts), "asked")
+        no_layer = F.lit(None).cast("int").alias("layer")
         maybe = asked.filter("maybe").select(*KEY, F.col("n").alias("_n"), F.col("top").alias("_top"))
-        met = self.refs.join(maybe, KEY, "full_outer")
-        refs = met.select(*KEY, (F.coalesce("n", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n"), F.greatest("top", "_top").alias("top"), F.col("n").isNull().alias("_new"))
-        refs = materialize(refs.unionByName(fresh.select(*KEY, "n", "top", F.lit(True).alias("_new"))), "refs")
-        added = self._shard(refs.filter("_new").select(*KEY)).withColumn("add", F.lit(True))
-        filters = materialize(self._updated(added), "filters")
-        return self._next(held, refs.select(*KEY, "n", "top"), filters)
+        met = store.refs.join(maybe, KEY, "full_outer")
+        met = met.select(*KEY, (F.coalesce("n", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n"), F.greatest("top", "_top").alias("top"), "layer")
+        met = materialize(met, "met")
+        added = asked.filter("not maybe").select(*KEY, "n", "top", no_layer).unionByName(met.filter("layer is null"))
+        updated = store._updated(added)
+        refs = met.filter("layer is not null").unionByName(updated.filter("k1 is not null").select(*KEY, "n", "top", "layer"))
+        return store._next(store.postings.unionByName(new), refs, updated.filter("k1 is null").select("shard", "layers"))
 
     def delete(self, ids: DataFrame) -> LineStore:
         """Take the documents of ``ids`` (doc_id) out again."""
@@ -262,12 +287,12 @@ class LineStore:
         held = materialize(self.postings.join(ids, "doc_id", "left_anti").select(*KEY, "doc_id"), "postings")
         gone = self.postings.join(ids, "doc_id", "left_semi").select(*KEY, "doc_id").distinct()
         gone = materialize(gone.groupBy(*KEY).agg(F.count("*").alias("_n"), F.max("doc_id").alias("_top")), "gone")
-        left = self.refs.join(gone, KEY, "left").withColumn("n", F.col("n") - F.coalesce("_n", F.lit(0)))
+        left = materialize(self.refs.join(gone, KEY, "left").withColumn("n", F.col("n") - F.coalesce("_n", F.lit(0))), "left")
         lost = left.filter("n > 0 and top = _top").select(*KEY)
         tops = held.join(lost, KEY, "left_semi").groupBy(*KEY).agg(F.max("doc_id").alias("_next"))
-        refs = left.filter("n > 0").join(tops, KEY, "left").select(*KEY, "n", F.coalesce("_next", "top").alias("top"))
-        dead = self._shard(left.filter("n = 0").select(*KEY)).withColumn("add", F.lit(False))
-        return self._next(held, materialize(refs, "refs"), materialize(self._updated(dead), "filters"))
+        refs = left.filter("n > 0").join(tops, KEY, "left").select(*KEY, "n", F.coalesce("_next", "top").alias("top"), "layer")
+        updated = self._updated(left.filter("n = 0").select(*KEY, "n", "top", "layer"))
+        return self._next(held, materialize(refs, "refs"), updated.filter("k1 is null").select("shard", "layers"))
 
     def decisions(self, min_docs: int = MIN_DOCS) -> DataFrame:
         """``(_id, drops)``: per document the keys whose lines it loses."""
@@ -310,16 +335,26 @@ def _apply(docs: DataFrame, decisions: DataFrame, min_chars: int, with_text: boo
     return rows.mapInArrow(run, schema)
 
 
+def loaded(docs: DataFrame, min_chars: int = MIN_CHARS) -> LineStore:
+    """A store of all documents, filled as a growing corpus fills it.
+
+    One half goes in first, with a sixteenth of the other half.  That part is taken out again
+    and comes back with its own half, whose keys the filters are asked for.
+    """
+    spot = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))), F.lit(32))
+    store = LineStore(docs.sparkSession, min_chars).insert(docs.filter(spot < 17))
+    return store.delete(docs.filter(spot == 16)).insert(docs.filter(spot > 15))
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, with_text: bool = True) -> DataFrame:
-    """Insert all documents into a new store and apply its decisions: doc_id, n_lines, n_dropped, text or kept_sha256."""
-    store = LineStore(docs.sparkSession, min_chars).insert(docs)
-    out = _apply(docs, store.decisions(min_docs), min_chars, with_text)
+    """Decisions of a store of all documents, applied: doc_id, n_lines, n_dropped, text or kept_sha256."""
+    out = _apply(docs, loaded(docs, min_chars).decisions(min_docs), min_chars, with_text)
     return out.select(public_id(), *[c for c in out.columns if c != "doc_id"])
 
 
 def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """The documents with their columns, ``text`` rewritten where it loses lines."""
-    decisions = LineStore(docs.sparkSession, min_chars).insert(docs).decisions(min_docs)
+    decisions = loaded(docs, min_chars).decisions(min_docs)
     decisions = decisions.select("_id", F.col("drops").alias("_drops"))
     names = docs.columns
     joined = docs.join(decisions, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == decisions["_id"], "left")
