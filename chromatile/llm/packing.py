@@ -21,6 +21,8 @@ from __future__ import annotations
 import itertools
 import json
 import re
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +38,8 @@ from chromatile.session import materialize
 WINDOW, END, PAD = 2048, 1, 0
 #: Ids in one row of the token table; longer documents take several rows.
 ROW_IDS = 1 << 20
-#: Pieces of each of the two generations of the memo, and the longest that it keeps.
-MEMO, MEMO_CHARS = 1 << 18, 64
+#: Pieces that the memo keeps, the most ids of one of them, and parts of pieces.
+MEMO, MEMO_IDS, MEMO_PARTS = 1 << 19, 64, 1 << 17
 #: White space of any kind next to a space, or at an end.
 ODD_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] | [\s\x0b\x1c-\x1f\x{85}\p{Z}]|^ | $"
 #: Pieces of ASCII that the byte-level pattern cuts at every change of kind, and their parts.
@@ -58,54 +60,63 @@ class Encoder:
     def __init__(self, vocabulary: str):
         self.full = Tokenizer.from_file(vocabulary)
         self.model = self.full.model
-        with open(vocabulary, encoding="utf-8") as f:
-            kind = json.load(f)
-        split = kind.get("pre_tokenizer") or {}
-        added = kind.get("added_tokens") or []
-        self.special = [t["content"] for t in added]
+        split = json.loads(self.full.pre_tokenizer.__getstate__()) if self.full.pre_tokenizer else {}
+        added = self.full.get_added_tokens_decoder().values()
+        self.special = [t.content for t in added]
         self.in_pieces = (
-            split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not kind.get("normalizer")
-            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in added)
+            split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and self.full.normalizer is None
+            and not any(t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) for t in added)
         )
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        # The memo: pieces, where their ids stand in the pool, and the block that used them last.
+        self.pieces, self.tick = pa.array([], pa.large_string()), 0
+        self.begin = self.size = self.used = np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _part(self, part: str) -> bytes:
         """Ids of what the pattern does not cut."""
-        ids = self.recent.get(part) or self.older.get(part)
+        ids = self.parts.get(part)
         if ids is None:
-            ids = np.array([t.id for t in self.model.tokenize(part.translate(BYTE_LEVEL))], np.uint32).tobytes()
-        if len(part) <= MEMO_CHARS:
-            self.recent[part] = ids
+            ids = self.parts[part] = np.array([t.id for t in self.model.tokenize(part.translate(BYTE_LEVEL))], np.uint32).tobytes()
         return ids
 
-    def _new(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces not seen lately."""
-        plain = [p for p in pieces if PLAIN.fullmatch(p) and not any(s in p for s in self.special)]
-        out = {p: b"".join(map(self._part, PARTS.findall(p))) for p in plain}
-        rest = [p for p in pieces if p not in out]
-        out.update(zip(rest, self._encode(rest)))
+    def _new(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that the memo does not hold."""
+        if len(self.parts) > MEMO_PARTS:
+            self.parts.clear()
+        out = [b"".join(map(self._part, PARTS.findall(p))) if PLAIN.fullmatch(p) and not any(s in p for s in self.special) else None for p in pieces]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, self._encode([pieces[i] for i in rest])):
+            out[i] = ids
         return out
 
-    def pieces(self, found: list[str]) -> list[bytes]:
-        """Ids of distinct pieces."""
-        recent, older = self.recent, self.older
-        ids = [recent.get(p) for p in found]
-        lost = [i for i, x in enumerate(ids) if x is None]
-        for i in lost:
-            ids[i] = older.get(found[i])
-        new = self._new([found[i] for i in lost if ids[i] is None])
-        for i in lost:
-            if ids[i] is None:
-                ids[i] = new[found[i]]
-            if len(found[i]) <= MEMO_CHARS:
-                recent[found[i]] = ids[i]
-        if len(recent) > MEMO:
-            self.recent, self.older = {}, recent
-        return ids
+    def _add(self, pieces: pa.Array, ids: list[bytes]) -> None:
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.used = np.concatenate([self.used, np.full(len(ids), self.tick)])
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), np.uint32)])
+        self.pieces = pa.concat_arrays([self.pieces, pieces])
+
+    def _trim(self) -> None:
+        """Forget long pieces, and if there are too many the half that was not used for longest."""
+        keep = self.size <= MEMO_IDS
+        if keep.sum() > MEMO:
+            keep[np.argsort(self.used, kind="stable")[: len(keep) - MEMO // 2]] = False
+        if not keep.all():
+            at = np.flatnonzero(keep)
+            self.pool = self._gather(at)[0]
+            self.size, self.used, self.pieces = self.size[at], self.used[at], self.pieces.take(pa.array(at))
+            self.begin = np.cumsum(self.size) - self.size
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces one after another, and where each begins."""
+        n = self.size[at]
+        ends = np.append(0, np.cumsum(n))
+        return self.pool[np.repeat(self.begin[at] - ends[:-1], n) + np.arange(ends[-1])], ends
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each begins."""
@@ -113,51 +124,66 @@ class Encoder:
         odd = np.ones(len(texts), bool)
         if self.in_pieces:
             odd = np.asarray(pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False), bool)
+        # An odd text is one piece; so is what stands before the first space of another.
         lists = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
-        words, first = lists.values, lists.offsets.to_numpy()
-        lead = np.ones(len(words), bool)
-        lead[first[:-1]] = False
-        coded = words.dictionary_encode()
-        codes, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-        kinds = 2 * codes + lead
-        seen = np.flatnonzero(np.bincount(kinds, minlength=1))
-        ids = self.pieces([" " + names[k >> 1] if k & 1 else names[k >> 1] for k in seen.tolist()])
-        whole = np.flatnonzero(odd)
-        ids += self._encode([texts[i].as_py() for i in whole.tolist()])
-        pool = np.frombuffer(b"".join(ids), np.uint32)
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        begin = np.cumsum(size) - size
-        slot = np.zeros(2 * len(names), np.int64)
-        slot[seen] = np.arange(len(seen))
-        at = slot[kinds]
-        at[first[:-1][odd]] = len(ids) - len(whole) + np.arange(len(whole))
-        n = size[at]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        out = pool[np.repeat(begin[at] - ends[:-1], n) + np.arange(ends[-1])]
+        first = lists.offsets.to_numpy()
+        heads = pc.if_else(pa.array(odd), texts, lists.values.take(pa.array(first[:-1])))
+        coded = lists.values.dictionary_encode()
+        found, codes = coded.dictionary, coded.indices.to_numpy()
+        self.tick += 1
+        spot = pc.index_in(found, value_set=self.pieces).fill_null(-1).to_numpy().astype(np.int64)
+        lost = np.flatnonzero(spot < 0)
+        spot[lost] = len(self.pieces) + np.arange(len(lost))
+        new = found.take(pa.array(lost))
+        self._add(new, self._new([" " + p for p in new.to_pylist()]))
+        self.used[spot] = self.tick
+        at = spot[codes]
+        at[first[:-1]] = len(self.pieces) + np.arange(len(texts))
+        self._add(heads, self._encode(heads.to_pylist()))
+        out, ends = self._gather(at)
+        n = len(self.pieces) - len(texts)  # the heads are not pieces
+        self.begin, self.size, self.used, self.pieces = self.begin[:n], self.size[:n], self.used[:n], self.pieces[:n]
+        self._trim()
         return out, ends[first]
 
 
-def _binary(ids: np.ndarray, cuts: np.ndarray) -> pa.Array:
+def worker_encoder(vocabulary: str) -> Encoder:
+    """One encoder per Python worker process: its memo, of bounded size, serves all its tasks."""
+    held = sys.modules.setdefault("_encoders", types.ModuleType("_encoders")).__dict__
+    if vocabulary not in held:
+        held[vocabulary] = Encoder(vocabulary)
+    return held[vocabulary]
+
+
+def id_bytes(vocabulary: str, end: int) -> int:
+    """Bytes of an id in the token table."""
+    return 2 if max(Tokenizer.from_file(vocabulary).get_vocab_size() - 1, end) < 1 << 16 else 4
+
+
+def _binary(ids: np.ndarray, cuts: np.ndarray, width: int = 4) -> pa.Array:
     """Stretches of ids as bytes, little-endian."""
-    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((4 * cuts).astype(np.int32)), pa.py_buffer(ids.astype("<u4", copy=False))])
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((width * cuts).astype(np.int32)), pa.py_buffer(ids.astype(f"<u{width}", copy=False))])
 
 
-def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _numbers(column: pa.Array, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """The ids of a column of such bytes, and where each row begins."""
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
-    ids = np.frombuffer(data, "<u4", (at[-1] - at[0]) // 4, at[0]) if data is not None and at[-1] > at[0] else np.zeros(0, "<u4")
-    return ids, (at - at[0]) // 4
+    kind = f"<u{width}"
+    ids = np.frombuffer(data, kind, (at[-1] - at[0]) // width, at[0]) if data is not None and at[-1] > at[0] else np.zeros(0, kind)
+    return ids, (at - at[0]) // width
 
 
 TOKENS = "part int, place long, doc_id long, start long, doc_tokens long, ids binary"
 
 
 def token_table(docs: DataFrame, vocabulary: str, end: int = END) -> DataFrame:
-    """Ids of every document, with the place of each row in its partition; written, so that places stay."""
+    """Ids, of ``id_bytes`` bytes each, of every document, with the place of each row in its partition; written, so that places stay."""
+
+    width = id_bytes(vocabulary, end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, place = Encoder(vocabulary), TaskContext.get().partitionId(), 0
+        encode, part, place = worker_encoder(vocabulary), TaskContext.get().partitionId(), 0
         for batch in batches:
             for lo, hi, _, _ in blocks(batch.column("text"), BLOCK):
                 ids, at = encode(batch.column("text").slice(lo, hi - lo))
@@ -169,7 +195,7 @@ def token_table(docs: DataFrame, vocabulary: str, end: int = END) -> DataFrame:
                     [
                         pa.array(np.full(len(row), part), pa.int32()), pa.array(place + cuts[:-1]),
                         batch.column("doc_id").slice(lo, hi - lo).take(pa.array(row)), pa.array(cuts[:-1] - at[row]),
-                        pa.array(np.diff(at)[row]), _binary(ids, cuts),
+                        pa.array(np.diff(at)[row]), _binary(ids, cuts, width),
                     ],
                     names=["part", "place", "doc_id", "start", "doc_tokens", "ids"],
                 )
@@ -211,8 +237,8 @@ def sequences(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int =
 
     ``ids`` are little-endian 32-bit numbers, one after another, as token files hold them.
     """
-    tokens = token_table(docs, vocabulary, end)
-    totals = tokens.groupBy("part").agg(F.max(F.col("place") + F.octet_length("ids") / 4).alias("n")).collect()  # a number a task of the first pass
+    tokens, width = token_table(docs, vocabulary, end), id_bytes(vocabulary, end)
+    totals = tokens.groupBy("part").agg(F.max(F.col("place") + F.octet_length("ids") / width).alias("n")).collect()  # a number a task of the first pass
     size = np.zeros(max((r["part"] for r in totals), default=-1) + 2, np.int64)
     for r in totals:
         size[r["part"] + 1] = int(r["n"])
@@ -223,7 +249,7 @@ def sequences(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int =
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                ids, at = _numbers(batch.column("ids"))
+                ids, at = _numbers(batch.column("ids"), width)
                 begin = base.value[batch.column("part").to_numpy()] + batch.column("place").to_numpy()
                 breaks = np.flatnonzero(begin[1:] != begin[:-1] + np.diff(at)[:-1]) + 1
                 # Rows of about ROW_IDS at once.
