@@ -48,7 +48,7 @@ PARTS = re.compile(r" ?[A-Za-z]+| ?[0-9]+| ?[^A-Za-z0-9 \n]+|\n")
 #: Space and line feed in the byte-level alphabet of the vocabulary (fixed values).
 BYTE_LEVEL = str.maketrans({" ": "\u0120", "\n": "\u010a"})
 #: Bytes tokenised at once.
-BLOCK = 2_000_000
+BLOCK = 4_000_000
 
 
 class Encoder:
@@ -174,7 +174,7 @@ def _numbers(column: pa.Array, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
     return ids, (at - at[0]) // width
 
 
-TOKENS = "part int, place long, doc_id long, start long, doc_tokens long, ids binary"
+TOKENS = "part int, place long, n long, doc_id long, start long, doc_tokens long, ids binary"
 
 
 def token_table(docs: DataFrame, vocabulary: str, end: int = END) -> DataFrame:
@@ -193,11 +193,11 @@ def token_table(docs: DataFrame, vocabulary: str, end: int = END) -> DataFrame:
                 row = np.searchsorted(at, cuts[:-1], "right") - 1
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(len(row), part), pa.int32()), pa.array(place + cuts[:-1]),
+                        pa.array(np.full(len(row), part), pa.int32()), pa.array(place + cuts[:-1]), pa.array(np.diff(cuts)),
                         batch.column("doc_id").slice(lo, hi - lo).take(pa.array(row)), pa.array(cuts[:-1] - at[row]),
                         pa.array(np.diff(at)[row]), _binary(ids, cuts, width),
                     ],
-                    names=["part", "place", "doc_id", "start", "doc_tokens", "ids"],
+                    names=["part", "place", "n", "doc_id", "start", "doc_tokens", "ids"],
                 )
                 place += int(at[-1])
 
@@ -238,10 +238,10 @@ def sequences(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int =
     ``ids`` are little-endian 32-bit numbers, one after another, as token files hold them.
     """
     tokens, width = token_table(docs, vocabulary, end), id_bytes(vocabulary, end)
-    totals = tokens.groupBy("part").agg(F.max(F.col("place") + F.octet_length("ids") / width).alias("n")).collect()  # a number a task of the first pass
+    totals = tokens.groupBy("part").agg(F.max(F.col("place") + F.col("n")).alias("n")).collect()  # a number a task of the first pass
     size = np.zeros(max((r["part"] for r in totals), default=-1) + 2, np.int64)
     for r in totals:
-        size[r["part"] + 1] = int(r["n"])
+        size[r["part"] + 1] = r["n"]
     base = docs.sparkSession.sparkContext.broadcast(np.cumsum(size))
 
     def windows(whole: bool) -> DataFrame:
