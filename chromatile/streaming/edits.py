@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import json
 import math
 from collections.abc import Iterator
 
@@ -22,31 +24,49 @@ def read_table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def split_table_stream(spark: SparkSession, sf_dir: str, name: str, order: str, files: int = 4) -> DataFrame:
-    """The table as a stream of several files, one micro-batch each.
+def arrivals(table: DataFrame, order: str, key: str, files: int, far: int = 1) -> tuple[DataFrame, int]:
+    """``table`` with ``part``, the file that each row arrives in, and the microseconds of a file.
 
-    The files follow ``order``, but every fifth row comes one file late.
+    Files follow ``order``, but rows whose ``key`` is divisible by five come one file late,
+    and those divisible by 35 ``far`` files.
     """
-    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     at = F.unix_micros(F.col(order).cast("timestamp"))
     lo, hi = table.agg(F.min(at), F.max(at)).first()
-    share = (at - F.lit(lo or 0)) / F.lit(max((hi or 0) - (lo or 0), 1))
-    part = F.floor(share * files) + F.when(F.abs(F.xxhash64(order)) % 5 == 0, 1).otherwise(0)
-    part = F.least(F.lit(files - 1), F.coalesce(part, F.lit(0)))
+    step = ((hi or 0) - (lo or 0)) // files + 1
+    part = F.floor((at - F.lit(lo or 0)) / step) + F.when(F.col(key) % 35 == 0, far).when(F.col(key) % 5 == 0, 1).otherwise(0)
+    return table.withColumn("part", F.least(F.lit(files - 1), F.coalesce(part, F.lit(0))).cast("int")), step
+
+
+def split_table_stream(spark: SparkSession, sf_dir: str, name: str, order: str, key: str, files: int = 8, beat: str | None = None, far: int = 1) -> tuple[DataFrame, str]:
+    """The table as a stream of several files, one micro-batch each, and a lateness that drops no row.
+
+    With ``beat`` a last file holds one row, null but for its time, that moves the watermark
+    ``beat`` past all others: a heartbeat.
+    """
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    parts, step = arrivals(table, order, key, files, far)
     root = scratch_path(spark, "split")
     for k in range(files):  # the stream takes files by age
-        table.filter(part == k).coalesce(1).write.mode("append").parquet(root)
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(root)
+        parts.filter(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(root)
+    if beat:
+        after = (F.max(order) + F.expr(f"INTERVAL {beat}") + F.make_dt_interval(secs=F.lit(far * step / 1e6 + 1))).alias(order)
+        last = [F.col(f.name) if f.name == order else F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema]
+        table.agg(after).select(*last).coalesce(1).write.mode("append").parquet(root)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(root), f"{far * step} microseconds"
 
 
-def run_available(stream: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
+def run_available(stream: DataFrame, mode: str = "append", name: str = "stream", progress: list[dict] | None = None, root: str | None = None, once: bool = False) -> DataFrame:
     """Drain a stream into a table in the shared folder and return the table.
 
     Each micro-batch is written to a folder of its own, replaced on a retry, and
     carries ``batch``, so update-mode readers can keep the newest row per key.
+    ``progress`` receives per micro-batch its rows and the state rows kept, removed and
+    dropped as too late.  A run with the ``root`` of an earlier one goes on where it ended.
+    ``once`` takes all that is there in one micro-batch: state that expires by processing
+    time always has another batch to run, and would not let the drain end.
     """
     spark = stream.sparkSession
-    root = scratch_path(spark, name)
+    root = root or scratch_path(spark, name)
 
     def write(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{root}/rows/batch={batch}")
@@ -54,11 +74,16 @@ def run_available(stream: DataFrame, mode: str = "append", name: str = "stream")
     q = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True)
+        .trigger(**({"once": True} if once else {"availableNow": True}))
         .foreachBatch(write)
         .start()
     )
     q.awaitTermination()
+    for p in map(json.loads, [p.json for p in q.recentProgress] if progress is not None else []):
+        kept = {"numRowsTotal": 0, "numRowsRemoved": 0, "numRowsDroppedByWatermark": 0}
+        for op in p["stateOperators"]:
+            kept = {k: n + op[k] for k, n in kept.items()}
+        progress.append({"batch": p["batchId"], "rows": p["numInputRows"], "state": kept["numRowsTotal"], "removed": kept["numRowsRemoved"], "dropped": kept["numRowsDroppedByWatermark"]})
     return spark.read.option("basePath", f"{root}/rows").schema(f"{_ddl(stream)}, batch int").parquet(f"{root}/rows")
 
 
@@ -83,7 +108,11 @@ def stream_coverage(edits: DataFrame, size: str = "1 hour", slide: str | None =
 
 
 def debounce_stream(edits: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame:
-    """Last event of every burst whose gaps stay within ``gap``, emitted when the burst closes."""
+    """Last event of every burst whose gaps stay within ``gap``.
+
+    In append mode a burst is emitted, and its state let go, when the watermark has passed
+    its end; rows without a user are heartbeats and close bursts of others.
+    """
     last = F.max_by(F.struct("ts", "event_id", "action", "color"), F.struct("ts", "event_id"))
     return (
         edits.withWatermark("ts", late)
@@ -115,8 +144,9 @@ def dedupe_edits(edits: DataFrame, gap: str = "1 hour", late: str = "10 minutes"
     """Drop an edit if the same user made an identical one less than ``gap`` before it (streaming).
 
     Identical edits form sessions by event time, and the first of each stays, so the
-    answer does not depend on how the stream is cut into batches.  A session is
-    emitted when the watermark has passed it.
+    answer does not depend on how the stream is cut into batches.  In append mode a
+    session is emitted, and its state let go, when the watermark has passed its end; rows
+    without a user are heartbeats.
     """
     first = F.min(F.struct("ts", "event_id", "payload"))
     return (
@@ -220,32 +250,60 @@ def describe_state(states: DataFrame) -> DataFrame:
 
 
 class _UndoProcessor(StatefulProcessor):
-    """Keeps one bounded timeline per user."""
+    """Keeps one bounded timeline per user, and the edits that the watermark has not passed."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("timeline", "line array<int>, pos int")
+        self.waiting = handle.getListState("waiting", "us long, event_id long, action string, color int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if pd.isna(key[0]):
+            return
+        for part in rows:
+            self.waiting.appendList([(int(u), int(e), str(a), int(c)) for u, e, a, c in zip(part["us"], part["event_id"], part["action"], part["color"])])
+        yield self._fold(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._fold(key, timerValues.getCurrentWatermarkInMs())
+
+    def _fold(self, key, watermark: int) -> pd.DataFrame:
+        """Fold what the watermark has passed for good, and show the state with the rest on top."""
         line, pos = ([], 0) if not self.state.exists() else (list(self.state.get()[0]), int(self.state.get()[1]))
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        for action, color in zip(batch["action"], batch["color"]):
-            line, pos = step([int(c) for c in line], pos, action, int(color))
-        self.state.update((line, pos))
-        yield pd.DataFrame({"user_id": [key[0]], "line": [line], "pos": [pos]})
+        waiting = sorted(tuple(e) for e in self.waiting.get()) if self.waiting.exists() else []
+        settled = bisect.bisect_left(waiting, (watermark * 1000,))
+        for _, _, action, color in waiting[:settled]:
+            line, pos = step([int(c) for c in line], pos, action, color)
+        if settled:
+            self.state.update((line, pos))
+            self.waiting.clear()
+            if waiting[settled:]:
+                self.waiting.put(waiting[settled:])
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if waiting[settled:]:
+            self.handle.registerTimer(waiting[settled][0] // 1000 + 1)
+        for _, _, action, color in waiting[settled:]:
+            line, pos = step([int(c) for c in line], pos, action, color)
+        return pd.DataFrame({"user_id": [key[0]], "line": [line], "pos": [pos]})
 
     def close(self) -> None:
         pass
 
 
-def undo_redo_stream(edits: DataFrame) -> DataFrame:
-    """State after each micro-batch: ``(user_id, line, pos)`` for users it touched.
+def undo_redo_stream(edits: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """State after each micro-batch, in event order: ``(user_id, line, pos)`` for users it touched.
 
-    Events are ordered inside a micro-batch; batches are taken to arrive in order.
+    Edits wait in the state until the watermark has passed them, so that they are folded in
+    the order of (ts, event_id) however they arrive; what waits is limited by ``late``, and
+    later edits are dropped.  A row shows the waiting edits folded too, as far as they are
+    known.  Rows without a user are heartbeats.
     """
     kind = dict(edits.dtypes)["user_id"]
-    useful = edits.filter(F.col("action").isin("set", "undo", "redo")).select("user_id", "ts", "event_id", "action", "color")
+    useful = edits.withWatermark("ts", late).filter(F.col("action").isin("set", "undo", "redo") | F.col("ts").isNull())
+    useful = useful.select("user_id", "ts", F.unix_micros("ts").alias("us"), "event_id", "action", "color")
     return useful.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=_UndoProcessor(), outputStructType=f"user_id {kind}, line array<int>, pos int", outputMode="Update", timeMode="None"
+        statefulProcessor=_UndoProcessor(), outputStructType=f"user_id {kind}, line array<int>, pos int", outputMode="Update", timeMode="EventTime"
     )
 
 
@@ -259,7 +317,8 @@ class _RecentProcessor(StatefulProcessor):
         self.seen = handle.getMapState("seen", "color int", "ts timestamp, event_id long", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen = {int(k[0]): (pd.Timestamp(v[0]), int(v[1])) for k, v in self.seen.iterator()}
+        held = {int(k[0]): (pd.Timestamp(v[0]), int(v[1])) for k, v in self.seen.iterator()}
+        seen = dict(held)
         for part in rows:
             for color, ts, event in zip(part["color"], part["ts"], part["event_id"]):
                 at = (pd.Timestamp(ts), int(event))
@@ -268,11 +327,12 @@ class _RecentProcessor(StatefulProcessor):
             # Only the newest few can still matter, so the buffer stays bounded.
             top = sorted(seen.items(), key=lambda e: e[1], reverse=True)[: self.limit]
             seen = dict(top)
-        for (old,) in list(self.seen.keys()):
-            if int(old) not in seen:
-                self.seen.removeKey((int(old),))
+        for old in held.keys() - seen.keys():
+            self.seen.removeKey((old,))
+        # Writing an entry begins its time-to-live anew, so only what has changed is written.
         for color, at in seen.items():
-            self.seen.updateValue((color,), (at[0].to_pydatetime(), at[1]))
+            if held.get(color) != at:
+                self.seen.updateValue((color,), (at[0].to_pydatetime(), at[1]))
         ranked = sorted(seen.items(), key=lambda e: e[1], reverse=True)
         yield pd.DataFrame(
             {"user_id": [key[0]] * len(ranked), "rank": range(1, len(ranked) + 1), "color": [c for c, _ in ranked], "ts": [a[0] for _, a in ranked]}
@@ -283,7 +343,10 @@ class _RecentProcessor(StatefulProcessor):
 
 
 def recent_colors_stream(edits: DataFrame, limit: int = DEPTH, ttl_ms: int | None = None) -> DataFrame:
-    """Streaming ``recent_colors``: the list of every user a micro-batch touched."""
+    """Streaming ``recent_colors``: the list of every user a micro-batch touched.
+
+    With ``ttl_ms`` a colour leaves the list that long (of processing time) after it was set last.
+    """
     kind = dict(edits.dtypes)["user_id"]
     sets = edits.filter("action = 'set'").select("user_id", "ts", "event_id", "color")
     return sets.groupBy("user_id").transformWithStateInPandas(
