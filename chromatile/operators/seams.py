@@ -1,12 +1,13 @@
 """Wrap cost, motif period and the searches built on them.
 
-Searches read every pixel of the image, but a candidate window only touches its edge
-strips, so a pixel emits rows for the candidates on whose strips it lies.
+Searches build tables of line pairs first: running sums of the differences of two lines
+of the image, for the few distances of lines that any candidate needs.  A candidate then
+reads two rows per line of its edge strips, whatever the size of its window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chromatile.functions.color import luma, q
 from chromatile.operators import frame
@@ -20,7 +21,7 @@ PERIOD_MIN, PEAK_MIN, PEAK_SHARE = 4, 0.18, 0.45
 ZOOMS = (1.0, 1.08, 1.16, 1.25)
 ORIGINS = 7
 ZOOM_COST, LEFTOVER_COST = 0.02, 80.0
-SHIFT_SHARE, SHIFT_MAX = 0.12, 40
+SHIFT_SHARE = 0.12
 # Lags of one row of the correlation.
 LAG_BLOCK = 256
 
@@ -165,32 +166,70 @@ def _window(n: Column, z: Column) -> Column:
     return F.greatest(F.lit(1), F.least(n, F.rint(n / z).cast("int")))
 
 
-def _search(probe: DataFrame, windows: DataFrame, h_on: bool, v_on: bool) -> DataFrame:
-    """Cheapest window per image.
+def _line_sums(pixels: DataFrame, wanted: DataFrame, axis: str) -> DataFrame:
+    """Running sums of the differences of lines ``line`` and ``line + lag``: ``(image_id, lag, line, upto, dr, dg, db, dd)``.
 
-    ``windows`` is ``(image_id, ord, zoom, x0, y0, cw, ch, extra)``, at most a few
-    hundred rows per image, packed into one array so each probe pixel meets its
-    image once and emits only the strip positions it fills.
+    ``wanted`` is ``(image_id, lag, line)``, distinct; ``upto`` counts the positions summed.
     """
-    cols = ("ord", "zoom", "x0", "y0", "cw", "ch", "extra")
-    usable = windows.filter("cw >= 2 and ch >= 2")
-    packed = usable.groupBy("image_id").agg(F.collect_list(F.struct(*cols)).alias("_ws"))
-    j = probe.join(packed, "image_id")
-    x, y = F.col("x"), F.col("y")
-
-    def holds(c: Column) -> Column:
-        i, j = x - c["x0"], y - c["y0"]
-        inside = (i >= 0) & (i < c["cw"]) & (j >= 0) & (j < c["ch"])
-        on = F.lit(False)
-        for at, n, axis_on in ((i, c["cw"], h_on), (j, c["ch"], v_on)):
-            if axis_on:
-                on = on | (at < BAND) | (at >= n - BAND)
-        return inside & on
-
-    hits = j.select("image_id", "x", "y", "r", "g", "b", F.explode(F.filter("_ws", holds)).alias("c"))
-    roles = _roles(x - F.col("c.x0"), y - F.col("c.y0"), F.col("c.cw"), F.col("c.ch"), h_on, v_on)
-    rows = hits.select("image_id", F.col("c.ord").alias("ord"), "r", "g", "b", F.inline(roles))
-    cost = _edge_cost(rows, ["image_id", "ord"], h_on, v_on)
+    other = "y" if axis == "x" else "x"
+    ends = [F.struct((F.col("line") + far).alias(axis), F.lit(s).alias("side")) for s, far in ((0, F.lit(0)), (1, F.col("lag")))]
+    pairs = wanted.select("image_id", "lag", "line", F.inline(F.array(*ends)))
+    met = pixels.select("image_id", axis, F.col(other).alias("pos"), "r", "g", "b").join(pairs, ["image_id", axis])
+    d = _differences(met, ["image_id", "lag", "line", "pos"])
+    run = Window.partitionBy("image_id", "lag", "line").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return d.select("image_id", "lag", "line", (F.col("pos") + 1).alias("upto"), *[F.sum(c).over(run).alias(c) for c in SUMS])
+
+
+#: Sums of the differences per channel, and of their squares over all channels.
+SUMS = ("dr", "dg", "db", "dd")
+
+
+def _differences(sides: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, dr, dg, db, dd)`` of the two sides that meet at ``keys``."""
+    at = lambda c, s: F.max(F.when(F.col("side") == s, F.col(c)))
+    d = sides.groupBy(*keys).agg(*[(at(c, 0) - at(c, 1)).cast("long").alias(f"d{c}") for c in "rgb"])
+    return d.withColumn("dd", F.col("dr") * F.col("dr") + F.col("dg") * F.col("dg") + F.col("db") * F.col("db"))
+
+
+def _cost_of_sums(n: Column) -> Column:
+    """Strip cost from whole sums over ``n`` positions."""
+    raw = F.col("dd") / n / 3.0
+    mean2 = sum((F.col(c) / n * (F.col(c) / n) for c in SUMS[:3]), F.lit(0.0)) / 3.0
+    return STRUCTURE_WEIGHT * (raw - mean2) + COLOR_WEIGHT * raw
+
+
+def _window_costs(pixels: DataFrame, windows: DataFrame, axis: str) -> DataFrame:
+    """Strip cost of every window along one axis, ``(image_id, ord, cost)``."""
+    names = ("x0", "cw", "y0", "ch") if axis == "x" else ("y0", "ch", "x0", "cw")
+    start, size, base, across = (F.col(c) for c in names)
+    band = band_size(size)
+    lines = windows.select("image_id", "ord", (size - band).alias("lag"), base.alias("a"), (base + across).alias("z"), (band * across).alias("n"), F.explode(F.sequence(start, start + band - 1)).alias("line"))
+    table = _line_sums(pixels, lines.select("image_id", "lag", "line").distinct(), axis)
+    marks = F.array(F.struct(F.col("a").alias("upto"), F.lit(-1).alias("sign")), F.struct(F.col("z").alias("upto"), F.lit(1).alias("sign")))
+    ends = lines.select("image_id", "ord", "lag", "line", "n", F.inline(marks)).filter("upto > 0")
+    sums = ends.join(table, ["image_id", "lag", "line", "upto"]).groupBy("image_id", "ord").agg(*[F.sum(F.col(c) * F.col("sign")).alias(c) for c in SUMS], F.first("n").alias("n"))
+    return sums.select("image_id", "ord", _cost_of_sums(F.col("n")).alias("cost"))
+
+
+def _corner_costs(pixels: DataFrame, windows: DataFrame) -> DataFrame:
+    """Variance of the four corners of every window, ``(image_id, ord, cost)``."""
+    right, bottom = F.col("x0") + F.col("cw") - 1, F.col("y0") + F.col("ch") - 1
+    spots = [F.struct(x.alias("x"), y.alias("y")) for x in (F.col("x0"), right) for y in (F.col("y0"), bottom)]
+    met = windows.select("image_id", "ord", F.inline(F.array(*spots))).join(pixels.select("image_id", "x", "y", "r", "g", "b"), ["image_id", "x", "y"])
+    var = sum((4 * F.sum(F.col(c) * F.col(c)) - F.sum(c) * F.sum(c) for c in "rgb"), F.lit(0)) / 48.0
+    return met.groupBy("image_id", "ord").agg(var.alias("cost"))
+
+
+def _search(probe: DataFrame, windows: DataFrame, h_on: bool, v_on: bool) -> DataFrame:
+    """Cheapest window per image of ``windows`` ``(image_id, ord, zoom, x0, y0, cw, ch, extra)``; ties go to the lowest ``ord``."""
+    usable = materialize(windows.filter("cw >= 2 and ch >= 2"), "windows")
+    terms = [_window_costs(probe, usable, axis) for axis, on in (("x", h_on), ("y", v_on)) if on]
+    if h_on and v_on:
+        terms.append(_corner_costs(probe, usable))
+    costs = terms[0]
+    for t in terms[1:]:
+        costs = costs.unionByName(t)
+    cost = costs.groupBy("image_id", "ord").agg((F.sum("cost") / float(len(terms))).alias("cost"))
     scored = usable.join(cost, ["image_id", "ord"])
     total = q(F.col("cost") + F.col("extra"), 6)
     return scored.groupBy("image_id").agg(F.min(F.struct(total.alias("cost"), "ord", "zoom", "x0", "y0")).alias("m")).select("image_id", "m.*")
@@ -218,6 +257,11 @@ def _zoom_cost(z: Column) -> Column:
     return ZOOM_COST * (z - 1.0) * 255.0 * 255.0
 
 
+def _order() -> Column:
+    """Search order of a window: by zoom, then row, then column of its origin."""
+    return (F.col("zi").cast("long") * 2**21 + F.col("yi")) * 2**21 + F.col("xi")
+
+
 def best_wrap_crop(pixels: DataFrame, h_side: str | None = "left", v_side: str | None = "top") -> DataFrame:
     """Crop window with the cheapest wrap: ``(image_id, x, y, zoom, cost)``."""
     probe = frame.probe(pixels)
@@ -230,13 +274,13 @@ def best_wrap_crop(pixels: DataFrame, h_side: str | None = "left", v_side: str |
     xs = _origins(F.col("w") - F.col("cw"), h_side == "right") if h_side else zero
     ys = _origins(F.col("h") - F.col("ch"), v_side == "bottom") if v_side else zero
     w = w.withColumn("_xs", xs).select("*", F.posexplode(ys).alias("yi", "y0")).select("*", F.posexplode("_xs").alias("xi", "x0"))
-    order = F.col("zi") * 10000 + F.col("yi") * 100 + F.col("xi")
+    order = _order()
     windows = w.select("image_id", order.alias("ord"), "zoom", "x0", "y0", "cw", "ch", _zoom_cost(F.col("zoom")).alias("extra"))
     return _to_full(_search(probe, windows, bool(h_side), bool(v_side)), sizes)
 
 
 def best_repeat_crop(pixels: DataFrame, h_side: str | None = "left", v_side: str | None = "top") -> DataFrame:
-    """The same over windows that prefer whole motif repeats."""
+    """The same over windows that prefer whole motif repeats, at every step of the period."""
     h_on, v_on = bool(h_side), bool(v_side)
     probe = frame.probe(pixels)
     sizes = _probe_sizes(probe)
@@ -268,7 +312,7 @@ def best_repeat_crop(pixels: DataFrame, h_side: str | None = "left", v_side: str
         top = F.col(n) - F.col(c)
         steps = F.array_union(F.sequence(F.lit(0), top, F.col(p)), F.array(top))
         ordered = F.array_union(steps if low else F.reverse(steps), F.array(F.lit(0)))
-        return F.when(top <= 0, F.array(F.lit(0))).otherwise(F.slice(ordered, 1, ORIGINS))
+        return F.when(top <= 0, F.array(F.lit(0))).otherwise(ordered)
 
     def leftover(c: str, p: str, on: bool) -> Column:
         rest = F.col(c) % F.col(p)
@@ -278,57 +322,31 @@ def best_repeat_crop(pixels: DataFrame, h_side: str | None = "left", v_side: str
     ys = starts("h", "ch", "py", v_on, v_side != "bottom")
     w = w.withColumn("_xs", xs).select("*", F.posexplode(ys).alias("yi", "y0")).select("*", F.posexplode("_xs").alias("xi", "x0"))
     extra = (leftover("cw", "px", h_on) + leftover("ch", "py", v_on)) * LEFTOVER_COST + _zoom_cost(F.col("zoom"))
-    order = F.col("zi") * 10000 + F.col("yi") * 100 + F.col("xi")
+    order = _order()
     windows = w.select("image_id", order.alias("ord"), "zoom", "x0", "y0", "cw", "ch", extra.alias("extra"))
     return _to_full(_search(probe, windows, h_on, v_on), sizes)
 
 
-def _shift_costs(pixels: DataFrame, shifts: DataFrame, axis: str) -> DataFrame:
-    """Wrap cost of each roll in ``shifts(image_id, n, shifts array<struct<ord, s>>)``."""
-    other = "y" if axis == "x" else "x"
-    j = pixels.join(shifts, "image_id")
-    n = F.col("n")
-    band = band_size(n)
-
-    def role(c: Column) -> Column:
-        pos = F.pmod(F.col(axis) + c["s"], n)
-        return F.array_compact(
-            F.array(
-                F.when(pos < band, F.struct(c["ord"].alias("ord"), c["s"].alias("s"), pos.cast("int").alias("i"), F.lit(0).alias("side"))),
-                F.when(pos >= n - band, F.struct(c["ord"].alias("ord"), c["s"].alias("s"), (pos - (n - band)).cast("int").alias("i"), F.lit(1).alias("side"))),
-            )
-        )
-
-    rows = j.select("image_id", F.col(other).alias("j"), "r", "g", "b", F.inline(F.flatten(F.transform("shifts", role))))
-    return strip_costs(rows, ["image_id", "ord", "s"])
-
-
 def best_shift(pixels: DataFrame, axis: str = "x") -> DataFrame:
-    """Signed integer roll with the cheapest wrap, ``(image_id, shift)``."""
-    size = "w" if axis == "x" else "h"
-    probe = frame.probe(pixels)
-    sizes = probe.groupBy("image_id").agg(F.max(size).alias("n"), F.max(f"full_{size}").alias("fn"))
-    span = F.greatest(F.lit(1), F.least(F.lit(SHIFT_MAX), F.rint(F.col("n") * SHIFT_SHARE).cast("int")))
-    step = F.greatest(F.lit(1), F.floor(F.col("span") / 6).cast("int"))
-    up = F.sequence(F.col("step"), F.col("span"), F.col("step"))
-    coarse = F.when(F.col("span") <= 1, F.array(F.lit(0), F.lit(1), F.lit(-1))).otherwise(
-        F.array_distinct(F.concat(F.array(F.lit(0)), up, F.transform(up, lambda s: -s), F.array(F.lit(1), F.lit(-1))))
-    )
-    ordered = lambda arr: F.transform(arr, lambda s, i: F.struct(i.alias("ord"), s.alias("s")))
-    c = sizes.withColumn("span", span).withColumn("step", step).withColumn("shifts", ordered(coarse))
-    cost = q(F.col("cost"), 6)
-    first = _shift_costs(probe.drop("w", "h"), c.select("image_id", "n", "shifts"), axis)
-    first = first.groupBy("image_id").agg(F.min(F.struct(cost.alias("c"), "ord", "s")).alias("m"))
-    scale = F.col("fn").cast("double") / F.greatest(F.col("n"), F.lit(1))
-    f = first.join(sizes, "image_id").withColumns(
-        {"s0": F.pmod(F.rint(F.col("m.s") * scale).cast("int"), F.col("fn")), "step": F.greatest(F.lit(1), F.rint(scale).cast("int"))}
-    )
-    near = F.concat(F.array("s0"), F.sequence(F.col("s0") - F.col("step"), F.col("s0") + F.col("step")))
-    fine = f.select("image_id", F.col("fn").alias("n"), ordered(near).alias("shifts"))
-    second = _shift_costs(pixels, fine, axis).groupBy("image_id").agg(F.min(F.struct(cost.alias("c"), "ord", "s")).alias("m"))
-    out = second.join(sizes.select("image_id", "fn"), "image_id").withColumn("s", F.pmod("m.s", "fn"))
-    signed = F.when(F.col("s") > F.floor(F.col("fn") / 2), F.col("s") - F.col("fn")).otherwise(F.col("s"))
-    return out.select("image_id", signed.cast("int").alias("shift"))
+    """Signed integer roll with the cheapest wrap, ``(image_id, shift)``: all rolls up to 12 % of the side, the smallest first.
+
+    A roll by ``s`` brings lines ``i - s`` and ``i - s - band`` together at the wrap, so one
+    table of the differences of lines ``band`` apart, around the end, has the costs of all rolls.
+    """
+    size, other = ("w", "y") if axis == "x" else ("h", "x")
+    sized = frame.with_dims(pixels).withColumnRenamed(size, "n")
+    band, n = band_size(F.col("n")), F.col("n")
+    sides = [F.struct(F.pmod(F.col(axis) + far, n).cast("int").alias("line"), F.lit(s).alias("side")) for s, far in ((0, F.lit(0)), (1, band))]
+    met = sized.select("image_id", F.col(other).alias("pos"), "r", "g", "b", F.inline(F.array(*sides)))
+    lines = _differences(met, ["image_id", "line", "pos"]).groupBy("image_id", "line").agg(*[F.sum(c).alias(c) for c in SUMS], F.count("*").alias("m"))
+    span = F.greatest(F.lit(1), F.rint(n * SHIFT_SHARE).cast("int"))
+    sizes = sized.groupBy("image_id").agg(F.max("n").alias("n")).select("image_id", "n", band.alias("band"), F.explode(F.sequence(-span, span)).alias("s"))
+    rolls = sizes.select("image_id", "n", "s", F.explode(F.transform(F.sequence(F.lit(0), F.col("band") - 1), lambda i: F.pmod(i - F.col("s"), n).cast("int"))).alias("line"))
+    cost = rolls.join(lines, ["image_id", "line"]).groupBy("image_id", "n", "s").agg(*[F.sum(c).alias(c) for c in SUMS], F.sum("m").alias("m"))
+    cost = cost.select("image_id", "n", "s", q(_cost_of_sums(F.col("m")), 6).alias("c"))
+    best = cost.groupBy("image_id", "n").agg(F.min_by("s", F.struct("c", F.abs("s"), -F.col("s"))).alias("s"))
+    s = F.pmod("s", n)
+    return best.select("image_id", F.when(s > F.floor(n / 2), s - n).otherwise(s).cast("int").alias("shift"))
 
 
 def cells_match(pixels: DataFrame, periods: DataFrame, axis: str) -> DataFrame:

@@ -118,7 +118,7 @@ _WIN = "greatest(1, least({n}, " + duck.rint("{n}/z") + "))::INT"
 _CROP = f"""szp AS (SELECT image_id, max(w) AS pw, max(h) AS ph, max(full_w) AS fw, max(full_h) AS fh FROM probe GROUP BY ALL),
 zz AS (SELECT *, {_WIN.format(n='pw')} AS cw, {_WIN.format(n='ph')} AS ch FROM szp, (VALUES (0,1.0::DOUBLE),(1,1.08::DOUBLE),(2,1.16::DOUBLE),(3,1.25::DOUBLE)) v(zi,z)),
 nn AS (SELECT *, CASE WHEN pw-cw <= 0 THEN 1 ELSE least(7, pw-cw+1) END AS nx, CASE WHEN ph-ch <= 0 THEN 1 ELSE least(7, ph-ch+1) END AS ny FROM zz),
-cd AS (SELECT image_id, zi*10000+yi*100+xi AS ord, z, fw, fh, pw, ph, {duck.rint('xi*((pw-cw)/greatest(nx-1,1)::DOUBLE)')}::INT AS x0, {duck.rint('yi*((ph-ch)/greatest(ny-1,1)::DOUBLE)')}::INT AS y0, cw, ch
+cd AS (SELECT image_id, (zi::BIGINT*2097152+yi)*2097152+xi AS ord, z, fw, fh, pw, ph, {duck.rint('xi*((pw-cw)/greatest(nx-1,1)::DOUBLE)')}::INT AS x0, {duck.rint('yi*((ph-ch)/greatest(ny-1,1)::DOUBLE)')}::INT AS y0, cw, ch
   FROM nn, (SELECT unnest(range(0,7)) AS xi) a, (SELECT unnest(range(0,7)) AS yi) b WHERE xi < nx AND yi < ny),
 ww AS (SELECT p.image_id, ord, p.x-x0 AS x, p.y-y0 AS y, r, g, b, cw AS w, ch AS h FROM probe p JOIN cd USING (image_id) WHERE p.x >= x0 AND p.x < x0+cw AND p.y >= y0 AND p.y < y0+ch)"""
 
@@ -148,7 +148,7 @@ def _repeats(n: str, p: str) -> str:
 
 
 def _steps(n: str, c: str, p: str) -> str:
-    return f"list_sort(list_distinct(list_append(range(0, {n}-{c}+1, {p}), {n}-{c})))[1:7]"
+    return f"list_sort(list_distinct(list_append(range(0, {n}-{c}+1, {p}), {n}-{c})))"
 
 
 def _left(c: str, p: str) -> str:
@@ -162,7 +162,7 @@ zz AS (SELECT * EXCLUDE (before), row_number() OVER (PARTITION BY image_id ORDER
   WHERE before IS NULL OR {duck.rint('z*10000')} <> {duck.rint('before*10000')}),
 xx AS (SELECT *, unnest({_steps('pw', 'cw', 'px')})::INT AS x0, generate_subscripts({_steps('pw', 'cw', 'px')}, 1) - 1 AS xi FROM zz),
 cd AS (SELECT *, unnest({_steps('ph', 'ch', 'py')})::INT AS y0, generate_subscripts({_steps('ph', 'ch', 'py')}, 1) - 1 AS yi FROM xx),
-ce AS (SELECT *, zi*10000+yi*100+xi AS ord FROM cd WHERE cw >= 2 AND ch >= 2),
+ce AS (SELECT *, (zi::BIGINT*2097152+yi)*2097152+xi AS ord FROM cd WHERE cw >= 2 AND ch >= 2),
 ww AS (SELECT p.image_id, ord, p.x-x0 AS x, p.y-y0 AS y, r, g, b, cw AS w, ch AS h FROM probe p JOIN ce USING (image_id) WHERE p.x >= x0 AND p.x < x0+cw AND p.y >= y0 AND p.y < y0+ch)"""
 
 
@@ -190,17 +190,10 @@ def _shift_rows(src: str, n: str, cand: str) -> str:
 
 
 @query("best_shift", duck.with_(GRID, sized_sql("grid", "r, g, b"), f"""
-sp0 AS (SELECT image_id, max(h) AS n, max(full_h) AS fn FROM probe GROUP BY ALL),
-sp1 AS (SELECT *, greatest(1, least(40, {duck.rint('n*0.12::DOUBLE')}))::INT AS span FROM sp0),
-sp2 AS (SELECT *, greatest(1, span // 6) AS st FROM sp1),
-c1 AS (SELECT image_id, n, fn, unnest(CASE WHEN span <= 1 THEN [0,1,-1] ELSE list_concat(list_concat(range(0, span+1, st), list_transform(range(st, span+1, st), lambda v: -v)), [1,-1]) END)::INT AS s,
-  generate_subscripts(CASE WHEN span <= 1 THEN [0,1,-1] ELSE list_concat(list_concat(range(0, span+1, st), list_transform(range(st, span+1, st), lambda v: -v)), [1,-1]) END, 1) AS ord FROM sp2),
-r1 AS ({_shift_rows('(SELECT image_id, x, y, r, g, b FROM probe)', 'n', 'c1')})""", strip_cost_sql("k1", "r1", "image_id, ord, s"), f"""
-b1 AS (SELECT image_id, s FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY {duck.q('cost', 6)}, ord) AS rk FROM k1) WHERE rk = 1),
-f1 AS (SELECT image_id, fn, (({duck.rint('s*(fn/n::DOUBLE)')}::INT % fn) + fn) % fn AS s0, greatest(1, {duck.rint('fn/n::DOUBLE')})::INT AS st FROM b1 JOIN sp0 USING (image_id)),
-c2 AS (SELECT image_id, fn, s0 AS s, 0 AS ord FROM f1 UNION ALL SELECT image_id, fn, (s0 - st + i)::INT, i + 1 FROM f1, (SELECT unnest(range(0, 400)) AS i) WHERE i <= 2*st),
-r2 AS ({_shift_rows('grid', 'fn', 'c2')})""", strip_cost_sql("k2", "r2", "image_id, ord, s"), f"""
-b2 AS (SELECT image_id, s FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY {duck.q('cost', 6)}, ord) AS rk FROM k2) WHERE rk = 1)""") + """
+sp0 AS (SELECT image_id, max(full_h) AS fn FROM probe GROUP BY ALL),
+c1 AS (SELECT image_id, fn, s::INT AS s, 2*abs(s) + CASE WHEN s < 0 THEN 1 ELSE 0 END AS ord FROM (SELECT *, unnest(range(-greatest(1, {duck.rint('fn*0.12::DOUBLE')}::BIGINT), greatest(1, {duck.rint('fn*0.12::DOUBLE')}::BIGINT) + 1)) AS s FROM sp0)),
+r1 AS ({_shift_rows('grid', 'fn', 'c1')})""", strip_cost_sql("k1", "r1", "image_id, ord, s"), f"""
+b2 AS (SELECT image_id, s FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY {duck.q('cost', 6)}, ord) AS rk FROM k1) WHERE rk = 1)""") + """
 SELECT image_id, (CASE WHEN ((s % fn) + fn) % fn > fn // 2 THEN ((s % fn) + fn) % fn - fn ELSE ((s % fn) + fn) % fn END)::INT AS shift FROM b2 JOIN sp0 USING (image_id)""")
 def best_shift(spark, sf):
     return seams.best_shift(fixtures.grid(spark, sf), "y")

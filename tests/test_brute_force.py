@@ -285,16 +285,23 @@ def _wrap_cost(a, h_on, v_on):
 
 def _best_roll(a, axis):
     n = a.shape[axis]
-    span = max(1, min(40, int(np.rint(n * 0.12))))
-    step = max(1, span // 6)
-    up = list(range(step, span + 1, step))
-    coarse = [0, 1, -1] if span <= 1 else list(dict.fromkeys([0, *up, *[-s for s in up], 1, -1]))
+    span = max(1, int(np.rint(n * 0.12)))
     cost = lambda s: round(_wrap_cost(np.roll(a, s, axis), axis == 1, axis == 0), 6)
-    first = min(coarse, key=cost) % n
-    best = min([first, first - 1, first, first + 1], key=cost) % n
+    best = min(range(-span, span + 1), key=lambda s: (cost(s), abs(s), -s)) % n
     return best - n if best > n // 2 else best
 
 
+@pytest.mark.parametrize("axis, size", [("x", (9, 431)), ("y", (367, 5)), ("x", (3, 2)), ("y", (1, 4))])
+def test_shift_search_tries_every_roll(spark, axis, size):
+    arr = RNG.integers(0, 256, (*size, 3))
+    if max(size) > 300:  # the best roll is far beyond forty pixels
+        n = 0 if axis == "y" else 1
+        arr = np.roll(np.sort(arr, axis=n), 43, axis=n)
+        arr = np.where(np.arange(arr.shape[n]).reshape((-1, 1, 1) if n == 0 else (1, -1, 1)) < 43, 255 - arr, arr)
+    got = seams.best_shift(raster(spark, arr), axis).first()["shift"]
+    assert got == _best_roll(arr.astype(float), 0 if axis == "y" else 1)
+
+
 def test_plan_crop_of_wrap_windows(spark):
     images = {0: RNG.integers(0, 256, (31, 26, 3)), 1: np.tile(RNG.integers(0, 256, (1, 1, 3)), (12, 10, 1)), 2: RNG.integers(0, 256, (40, 1, 3))}
     rows = [(k, y, x, *map(int, a[y, x])) for k, a in images.items() for y in range(a.shape[0]) for x in range(a.shape[1])]
