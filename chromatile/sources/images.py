@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from chromatile.functions.headers import image_header
+from chromatile.session import materialize
+
 # Accepted suffixes and the pixel guard.
 SUFFIXES = ("tif", "tiff", "png", "jpg", "jpeg")
 MAX_PIXELS = 1_000_000_000
@@ -16,40 +19,36 @@ def _decoded(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("image").option("pathGlobFilter", GLOB).option("recursiveFileLookup", "true").load(path)
 
 
-def _reason(channels: str, max_pixels: int) -> Column:
-    """Why a decoded file is not read; null if it is."""
+def _reason(channels: str, max_pixels: int, bits: Column | None = None) -> Column:
+    """Why a file is not read; null if it is."""
     width, height = F.col("width").cast("long"), F.col("height").cast("long")
-    return (
-        F.when(width.isNull() | (width <= 0), "not decodable")
+    out = (
+        F.when(width.isNull() | (width <= 0) | height.isNull() | (height <= 0), "not decodable")
         .when(width * height > max_pixels, "too many pixels")
-        .when(~F.col(channels).isin(3, 4), "not RGB or RGBA")
+        .when(F.col(channels).isNull() | ~F.col(channels).isin(3, 4), "not RGB or RGBA")
     )
+    return out if bits is None else out.when(bits > 8, "over 8 bits a channel")
 
 
 def image_headers(spark: SparkSession, path: str, max_pixels: int = MAX_PIXELS) -> tuple[DataFrame, DataFrame]:
     """Size audit: (ok, rejects).
 
-    ``ok`` is ``(path, width, height, channels)``.  Rejects carry a reason:
-    undecodable, too many pixels, or a channel layout other than RGB / RGBA.  The
-    file list reads no bytes; Spark leaves zero-length files out of it.
+    ``ok`` is ``(path, width, height, channels)``.  Rejects carry a reason: no usable
+    header, too many pixels, a channel layout other than RGB / RGBA, or deep channels.  Sizes
+    come from the headers, so no image is decoded, not even one too large to be; whether the
+    pixels behind a good header can be decoded is for the scan to find.  Spark leaves
+    zero-length files out of the list.
     """
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", GLOB)
         .option("recursiveFileLookup", "true")
         .load(path)
-        .select("path", "length")
-    )
-    sizes = _decoded(spark, path).select(
-        F.col("image.origin").alias("path"),
-        F.col("image.width").alias("width"),
-        F.col("image.height").alias("height"),
-        F.col("image.nChannels").alias("channels"),
+        .select("path", "length", image_header(F.col("content")).alias("h"))
     )
-    key = F.regexp_replace("path", "^file:/+", "/")
-    j = files.withColumn("_k", key).join(sizes.withColumn("_k", key).drop("path"), "_k", "left")
-    audited = j.withColumn("reason", _reason("channels", max_pixels))
-    ok = audited.filter("reason is null").select("path", "width", "height", "channels")
+    files = materialize(files, "headers").select("path", "length", "h.*")  # a row per file, for both results
+    audited = files.withColumn("reason", _reason("channels", max_pixels, F.col("bits")))
+    ok = audited.filter("reason is null").select("path", F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "channels")
     return ok, audited.filter("reason is not null").select("path", "length", "reason")
 
 
