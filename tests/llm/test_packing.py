@@ -64,7 +64,7 @@ def test_pieces_of_any_text(model):
     import pyarrow as pa
 
     encode = packing.Encoder(VOCABULARY)
-    for memo in (packing.MEMO, 40):
+    for memo in (packing.MEMO, 400, 40):
         packing.MEMO, old = memo, packing.MEMO
         for lo in range(0, 3000, 500):
             ids, at = encode(pa.array(texts[lo : lo + 500]))
