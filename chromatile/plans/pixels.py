@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chromatile import fixtures
-from chromatile.functions import color as C
+from chromatile.functions import color as C, sql
 from chromatile.functions.tone import apply_tone
 from chromatile.operators import assign, boxes as bx, paint
 from chromatile.plans import common, duck
@@ -15,7 +15,7 @@ KEYS = ("image_id", "l_orderkey", "l_linenumber")
 K = ", ".join(KEYS)
 
 
-@query("color_features", duck.with_(common.PX_LAB, """
+_FEATURES = duck.with_(common.PX_LAB, """
 f AS (SELECT *, r/255::DOUBLE AS fr, g/255::DOUBLE AS fg, b/255::DOUBLE AS fb FROM pxlab),
 m AS (SELECT *, greatest(fr,fg,fb) AS hi, least(fr,fg,fb) AS lo FROM f),
 s AS (SELECT *, CASE WHEN hi=lo THEN 0::DOUBLE WHEN fr=hi THEN (hi-fb)/(hi-lo)-(hi-fg)/(hi-lo)
@@ -23,7 +23,23 @@ s AS (SELECT *, CASE WHEN hi=lo THEN 0::DOUBLE WHEN fr=hi THEN (hi-fb)/(hi-lo)-(
 """) + f"""SELECT {K}, r, g, b, {duck.q(duck.luma())} AS luma, {duck.q('lab_l')} AS lab_l, {duck.q('lab_a')} AS lab_a, {duck.q('lab_b')} AS lab_b,
  {duck.q('turn - floor(turn)')} AS hue,
  {duck.q('CASE WHEN hi=lo THEN 0::DOUBLE WHEN (hi+lo)/2 <= 0.5 THEN (hi-lo)/(hi+lo) ELSE (hi-lo)/(2::DOUBLE-(hi+lo)) END')} AS sat,
- {duck.q('(hi+lo)/2::DOUBLE')} AS light FROM s""")
+ {duck.q('(hi+lo)/2::DOUBLE')} AS light FROM s"""
+
+
+# The same features and the way back, from SQL text alone.
+@query("sql_functions", _FEATURES.removesuffix(" FROM s") + ", r AS back_r, g AS back_g, b AS back_b, printf('#%02X%02X%02X', r, g, b) AS hex, g AS hex_g FROM s")
+def sql_functions(spark, sf):
+    sql.register(spark)
+    fixtures.px(spark, sf).createOrReplaceTempView("chromatile_px")
+    return spark.sql(f"""
+    WITH f AS (SELECT {K}, r, g, b, rgb_to_lab(r, g, b) AS lab, rgb_to_hsl(r, g, b) AS hsl, rgb_to_hex(r, g, b) AS hex FROM chromatile_px),
+    e AS (SELECT *, lab_to_rgb(lab.l, lab.a, lab.b) AS back FROM f)
+    SELECT {K}, r, g, b, round4(rgb_luma(r, g, b)) AS luma, round4(lab.l) AS lab_l, round4(lab.a) AS lab_a, round4(lab.b) AS lab_b,
+      round4(hsl.h) AS hue, round4(hsl.s) AS sat, round4(hsl.l) AS light, back.r AS back_r, back.g AS back_g, back.b AS back_b, hex, hex_to_rgb(hex).g AS hex_g
+    FROM e""")
+
+
+@query("color_features", _FEATURES)
 def color_features(spark, sf):
     f = paint.color_features(fixtures.px(spark, sf))
     named = {"luma": "luma", "lab_l": "lab_l", "lab_a": "lab_a", "lab_b": "lab_b", "h": "hue", "s": "sat", "l": "light"}
