@@ -328,3 +328,26 @@ def _origins(top):
         return [0]
     count = min(7, top + 1)
     return [int(np.rint(i * (top / (count - 1)))) for i in range(count)]
+
+
+@pytest.mark.parametrize("rows, missing", [(5, ()), (16, ()), (100, ()), (200, (3, 70, 199))])
+def test_correlation_in_pieces(spark, monkeypatch, rows, missing):
+    monkeypatch.setattr(seams, "PIECE", 16)
+    rng = np.random.default_rng(rows)
+    signals = {i: rng.normal(size=rows) for i in range(3)}
+    for v in signals.values():
+        v[list(missing)] = 0.0
+    hi = max(5, rows // 2)
+    table = [(i, k, float(x), hi) for i, v in signals.items() for k, x in enumerate(v) if k not in missing]
+    got = {(r.image_id, r.lag): r.dot for r in seams._products(spark.createDataFrame(table, "image_id int, pos int, v double, hi int")).collect()}
+    for i, v in signals.items():
+        for lag in range(min(hi, rows - len([m for m in missing if m == rows - 1]))):
+            assert got[i, lag] == pytest.approx(float(v[: rows - lag] @ v[lag:]), abs=1e-9)
+    assert max(lag for _, lag in got) < hi
+
+
+def test_period_of_a_long_image(spark, monkeypatch):
+    monkeypatch.setattr(seams, "PIECE", 32)
+    motif = np.random.default_rng(1).integers(0, 256, (37, 1, 3))
+    tall = np.tile(motif, (12, 2, 1))[:430]
+    assert seams.axis_period(raster(spark, tall, motif), "y").orderBy("image_id").collect() == [(0, 37), (1, 37)]
