@@ -150,7 +150,7 @@ def box_mask(pixels: DataFrame, boxes: DataFrame, pad: int = 2, tile: int = TILE
     runs = runs.withColumn("_run", F.sum("_new").over(row.rowsBetween(Window.unboundedPreceding, 0)))
     merged = runs.groupBy("image_id", "y", "_run").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
     per_row = merged.groupBy("image_id", "y").agg(F.collect_list(F.struct("x0", "x1")).alias("_spans"))
-    j = pixels.join(per_row, ["image_id", "y"], "left")
+    j = pixels.join(per_row.hint("merge"), ["image_id", "y"], "left")
     hit = F.exists("_spans", lambda s: (F.col("x") >= s["x0"]) & (F.col("x") < s["x1"]))
     return j.withColumn("mask", F.coalesce(hit, F.lit(False))).select(*pixels.columns, "mask")
 

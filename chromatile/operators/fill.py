@@ -32,6 +32,15 @@ RING, INK_DELTA, INK_MAD = 14, 14.0, 2.2
 NEIGHBOURS = ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1))
 
 
+def by_pixel(left: DataFrame, right: DataFrame, keys: list[str] = KEYS, how: str = "inner") -> DataFrame:
+    """Join of two tables that grow with the image.
+
+    Pixel tables encode to a fraction of their rows, so their file sizes let a join
+    broadcast them through the driver; the hint keeps both sides on the executors.
+    """
+    return left.join(right.hint("merge"), keys, how)
+
+
 def style_of(name: str | None) -> Style:
     return FLORAL if str(name or "").strip().lower() in ("floral", "damask", "tight") else GEOMETRIC
 
@@ -90,7 +99,7 @@ def polygon_mask(pixels: DataFrame, quads: DataFrame, style: Style = GEOMETRIC,
     same = [F.col(f"p.{k}") == F.col(f"c.{k}") for k in ("image_id", "tx", "ty")]
     hit = _inside(F.col("p.x"), F.col("p.y"), F.col("c.pts"))
     inside = px.join(c, same[0] & same[1] & same[2] & hit, "left_semi").select(*KEYS, F.lit(True).alias("mask"))
-    raw = pixels.select(*KEYS).join(inside, KEYS, "left").withColumn("mask", F.coalesce("mask", F.lit(False)))
+    raw = by_pixel(pixels.select(*KEYS), inside, how="left").withColumn("mask", F.coalesce("mask", F.lit(False)))
     if not close:
         return raw
     done = stencil.morphology(raw, "close", *style.close)
@@ -168,10 +177,10 @@ def period_fill(pixels: DataFrame, holes: DataFrame, periods: DataFrame, wrap: b
     if wrap:
         sx, sy = F.pmod(sx, w), F.pmod(sy, h)
     tries = tries.select(*KEYS, "ord", sx.cast("int").alias("sx"), sy.cast("int").alias("sy"))
-    known = pixels.join(holes.select(*KEYS), KEYS, "left_anti")
+    known = by_pixel(pixels, holes.select(*KEYS), how="left_anti")
     hit = raster.gather(tries, known, vals).groupBy(*KEYS).agg(F.min(F.struct("ord", *vals)).alias("m"))
     filled = hit.select(*KEYS, *[F.col(f"m.{c}").alias(c) for c in vals])
-    return filled, holes.select(*KEYS).join(filled.select(*KEYS), KEYS, "left_anti")
+    return filled, by_pixel(holes.select(*KEYS), filled.select(*KEYS), how="left_anti")
 
 
 def frontier_fill(pixels: DataFrame, holes: DataFrame, wrap: bool = False) -> DataFrame:
@@ -200,15 +209,15 @@ def frontier_fill(pixels: DataFrame, holes: DataFrame, wrap: bool = False) -> Da
         return e.filter(ok).withColumns({"ny": ny, "nx": nx})
 
     halo = around(todo).select("image_id", F.col("ny").alias("y"), F.col("nx").alias("x")).distinct()
-    halo = halo.join(todo.select(*KEYS), KEYS, "left_anti").join(sizes, "image_id")
-    ring = pixels.join(halo, KEYS).select(
+    halo = by_pixel(halo, todo.select(*KEYS), how="left_anti").join(sizes, "image_id")
+    ring = by_pixel(pixels, halo).select(
         *KEYS, raster.hilbert(F.col("x"), F.col("y"), order).alias("_h"), *[F.col(c).cast("double").alias(c) for c in vals]
     )
     ring = materialize(ring, "ring")
     done = None
     while True:
         src = ring.select("image_id", F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("_h").alias("_nh"), *vals)
-        j = around(todo).join(src, ["image_id", "ny", "nx"])
+        j = by_pixel(around(todo), src, ["image_id", "ny", "nx"])
         weight = 1.0 / (F.col("s.dist") + 0.35) / (1.0 + 6.0 * (F.abs(F.col("_h") - F.col("_nh")) / F.col("_span")))
         j = j.withColumn("_w", weight)
         rank = F.struct(q(F.col("_w"), 12).alias("w"), (-F.col("s.o")).alias("o"), *vals)
@@ -220,7 +229,7 @@ def frontier_fill(pixels: DataFrame, holes: DataFrame, wrap: bool = False) -> Da
         if ring.limit(1).count() == 0:
             break
         done = ring if done is None else done.unionByName(ring)
-        todo = materialize(todo.join(ring.select(*KEYS), KEYS, "left_anti"), "holes")
+        todo = materialize(by_pixel(todo, ring.select(*KEYS), how="left_anti"), "holes")
         if todo.limit(1).count() == 0:
             break
     if done is None:
@@ -234,9 +243,9 @@ def fill_holes(pixels: DataFrame, holes: DataFrame, wrap: bool = False) -> DataF
     py = seams.axis_period(pixels, "y").withColumnRenamed("period", "py")
     copied, left = period_fill(pixels, holes, px.join(py, "image_id"), wrap)
     copied, left = materialize(copied, "copied"), materialize(left, "left")
-    known = pixels.join(holes.select(*KEYS), KEYS, "left_anti").unionByName(copied.select(*pixels.columns))
+    known = by_pixel(pixels, holes.select(*KEYS), how="left_anti").unionByName(copied.select(*pixels.columns))
     # Rows at positions still to fill carry no colour but keep the frame size.
-    frame_rows = known.unionByName(pixels.join(left, KEYS, "left_semi"))
+    frame_rows = known.unionByName(by_pixel(pixels, left, how="left_semi"))
     grown = frontier_fill(frame_rows, left, wrap)
     return copied.unionByName(grown.select(*copied.columns))
 
@@ -272,5 +281,5 @@ def remove_regions(pixels: DataFrame, boxes: DataFrame, style: str | None = None
         F.struct(F.col("image_id.box").alias("box"), *vals).alias("m"),
     )
     last = back.groupBy(*KEYS).agg(F.max("m").alias("m"))
-    out = pixels.join(last, KEYS, "left")
+    out = by_pixel(pixels, last, how="left")
     return out.select(*[F.coalesce(f"m.{c}", c).alias(c) if c in vals else F.col(c) for c in pixels.columns])

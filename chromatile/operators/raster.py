@@ -381,7 +381,7 @@ def warp_map(h_side: str | None, v_side: str | None, s: float) -> tuple[Column,
 def gather(dest: DataFrame, source: DataFrame, columns: list[str]) -> DataFrame:
     """Join destination rows ``(image_id, y, x, sy, sx)`` to source pixels on the pixel key."""
     src = source.select("image_id", F.col("y").alias("sy"), F.col("x").alias("sx"), *columns)
-    return dest.join(src, ["image_id", "sy", "sx"])
+    return dest.join(src.hint("merge"), ["image_id", "sy", "sx"])
 
 
 def mesh_warp(pixels: DataFrame, h_side: str | None, v_side: str | None, strength: float = 1.0, nearest: bool = False) -> DataFrame:

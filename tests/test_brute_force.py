@@ -351,3 +351,12 @@ def test_period_of_a_long_image(spark, monkeypatch):
     motif = np.random.default_rng(1).integers(0, 256, (37, 1, 3))
     tall = np.tile(motif, (12, 2, 1))[:430]
     assert seams.axis_period(raster(spark, tall, motif), "y").orderBy("image_id").collect() == [(0, 37), (1, 37)]
+
+
+def test_pixel_tables_never_pass_the_driver(spark):
+    rows = spark.range(200_000).select(F.lit(0).alias("image_id"), F.col("id").cast("int").alias("y"), F.lit(0).alias("x"))
+    on = fill.materialize(rows, "on")
+    joined = fill.by_pixel(on, on.select(*fill.KEYS), how="left_semi")
+    assert joined.count() == 200_000
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in plan(on.join(on.select(*fill.KEYS), fill.KEYS, "left_semi")) and "Broadcast" not in plan(joined)
