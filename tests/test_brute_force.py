@@ -1,6 +1,7 @@
 """Operators against direct numpy or Python versions on small inputs."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -360,3 +361,25 @@ def test_pixel_tables_never_pass_the_driver(spark):
     assert joined.count() == 200_000
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" in plan(on.join(on.select(*fill.KEYS), fill.KEYS, "left_semi")) and "Broadcast" not in plan(joined)
+
+
+@pytest.mark.parametrize("low", [2, 3])
+def test_merge_lines_of_a_tall_image(spark, low):
+    rnd = random.Random(low)
+    items = set()
+    for _ in range(400):
+        x, y = rnd.randrange(60), rnd.randrange(3000)
+        items.add((x, y, x + rnd.randrange(2, 12), y + rnd.randrange(low, 25)))
+    df = spark.createDataFrame([(0, *b) for b in items], "image_id int, x0 int, y0 int, x1 int, y1 int")
+    got = sorted(tuple(r)[1:] for r in regions.merge_lines(df, 5).collect())
+    assert got == sorted(greedy(sorted(items), 5))
+
+
+def test_a_line_meets_only_boxes_near_it():
+    """Growth of 60,000 boxes in one column: quadratic passes would take hours."""
+    rnd = random.Random(1)
+    rows = [(0, rnd.randrange(50), y, 0, 0) for y in range(0, 180_000, 3)]
+    pdf = regions.pd.DataFrame([(i, x, y, x + 5, y + 4) for i, x, y, _, _ in rows], columns=["image_id", "x0", "y0", "x1", "y1"])
+    start = time.monotonic()
+    assert len(regions._grow_lines(pdf, 5)) > 20_000
+    assert time.monotonic() - start < 60
