@@ -158,7 +158,7 @@ def color_ramps(colors: DataFrame, steps: int = 5, ladder=LADDER) -> DataFrame:
     mixes = stepped.select(*keep, "step", F.inline(rows))
     hsl = C.with_hsl(colors).withColumn("_l", F.array(*[F.lit(float(v)) for v in ladder]))
     steps_df = hsl.select(*keep, "h", "s", F.posexplode("_l").alias("step", "_light"))
-    lights = C.with_rgb_from_hsl(steps_df, ("h", "s", "_light")).select(*keep, F.lit("ladder").alias("ramp"), "step", "r", "g", "b")
+    lights = C.with_rgb_from_hsl(steps_df, ("h", "s", "_light"), clip=False).select(*keep, F.lit("ladder").alias("ramp"), "step", "r", "g", "b")
     return lights.unionByName(mixes)
 
 
