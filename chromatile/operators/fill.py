@@ -95,9 +95,11 @@ def polygon_mask(pixels: DataFrame, quads: DataFrame, style: Style = GEOMETRIC,
     spans = lambda v: F.sequence(F.floor(F.greatest(F.lit(0), F.array_min(v)) / tile), F.floor(F.greatest(F.lit(0), F.array_max(v)) / tile))
     cells = polys.withColumn("tx", F.explode(spans(xs))).withColumn("ty", F.explode(spans(ys)))
     px = pixels.select(*KEYS).withColumns(bx.tile_ids(tile)).alias("p")
-    c = cells.alias("c")
+    c = cells.withColumns({"ax": F.array_min(xs), "bx": F.array_max(xs), "ay": F.array_min(ys), "by": F.array_max(ys)}).hint("merge").alias("c")
     same = [F.col(f"p.{k}") == F.col(f"c.{k}") for k in ("image_id", "tx", "ty")]
-    hit = _inside(F.col("p.x"), F.col("p.y"), F.col("c.pts"))
+    # Few pixels of a tile lie in the span of a polygon, and only they need the test by edges.
+    span = (F.col("p.x") >= F.col("c.ax")) & (F.col("p.x") <= F.col("c.bx")) & (F.col("p.y") >= F.col("c.ay")) & (F.col("p.y") <= F.col("c.by"))
+    hit = span & _inside(F.col("p.x"), F.col("p.y"), F.col("c.pts"))
     inside = px.join(c, same[0] & same[1] & same[2] & hit, "left_semi").select(*KEYS, F.lit(True).alias("mask"))
     raw = by_pixel(pixels.select(*KEYS), inside, how="left").withColumn("mask", F.coalesce("mask", F.lit(False)))
     if not close:
@@ -172,7 +174,7 @@ def period_fill(pixels: DataFrame, holes: DataFrame, periods: DataFrame, wrap: b
     zero = F.lit(0)
     offsets = [off(use_x, m * px, zero) for m in (1, -1, 2, -2)] + [off(use_y, zero, m * py) for m in (1, -1)]
     offsets += [off(use_x & use_y, sx * px, sy * py) for sx, sy in ((1, 1), (-1, 1), (1, -1), (-1, -1))]
-    tries = holes.select(*KEYS).join(info, "image_id").select(*KEYS, "w", "h", F.posexplode(F.array_compact(F.array(*offsets))).alias("ord", "o"))
+    tries = frame.beside(holes.select(*KEYS), info).select(*KEYS, "w", "h", F.posexplode(F.array_compact(F.array(*offsets))).alias("ord", "o"))
     sx, sy = F.col("x") + F.col("o.dx"), F.col("y") + F.col("o.dy")
     if wrap:
         sx, sy = F.pmod(sx, w), F.pmod(sy, h)
@@ -194,7 +196,7 @@ def frontier_fill(pixels: DataFrame, holes: DataFrame, wrap: bool = False) -> Da
     sizes = frame.dims(pixels)
     order = raster.hilbert_order(F.greatest("w", "h"))
     n = F.call_function("shiftleft", F.lit(1).cast("long"), order * 2)
-    todo = holes.select(*KEYS).distinct().join(sizes, "image_id").withColumns(
+    todo = frame.beside(holes.select(*KEYS).distinct(), sizes).withColumns(
         {"_h": raster.hilbert(F.col("x"), F.col("y"), order), "_span": F.greatest(n - 1, F.lit(1)).cast("double")}
     )
     todo = materialize(todo, "holes")
@@ -209,7 +211,7 @@ def frontier_fill(pixels: DataFrame, holes: DataFrame, wrap: bool = False) -> Da
         return e.filter(ok).withColumns({"ny": ny, "nx": nx})
 
     halo = around(todo).select("image_id", F.col("ny").alias("y"), F.col("nx").alias("x")).distinct()
-    halo = by_pixel(halo, todo.select(*KEYS), how="left_anti").join(sizes, "image_id")
+    halo = frame.beside(by_pixel(halo, todo.select(*KEYS), how="left_anti"), sizes)
     ring = by_pixel(pixels, halo).select(
         *KEYS, raster.hilbert(F.col("x"), F.col("y"), order).alias("_h"), *[F.col(c).cast("double").alias(c) for c in vals]
     )
