@@ -14,6 +14,8 @@ from chromatile.session import materialize
 FACTOR = 4
 # Slack of a bound against rounding; compared distances have six decimals.
 SLACK = 1e-5
+# Points a task looks up: each is copied to the cells around it and sorted there.
+TASK_POINTS = 100_000
 
 
 def nearest_join(
@@ -43,7 +45,8 @@ def nearest_join(
     goal = materialize(goal, "targets")
     found = F.min(F.when(F.col("_m").isNotNull(), F.struct(_distance(axes, t).alias("d2"), "_m.ord", "_m.id"))).alias("m")
 
-    around = points
+    # A small file of many points would be one task; dealt by the point, the aggregate needs no shuffle of its own.
+    around = points.repartition(max(1, math.ceil(points.count() / TASK_POINTS)), *points.columns)
     for a, n in zip(axes, c):
         at = F.floor(F.col(a) / F.lit(side))
         around = around.withColumn(n, F.explode(F.sequence(at - 1, at + 1)))
