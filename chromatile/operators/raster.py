@@ -334,13 +334,14 @@ def seal_edges(sized: DataFrame, h_on: bool, v_on: bool) -> DataFrame:
     cols = ("_L0", "_A0", "_B0")
     mix = {"_L0": 1.0, "_A0": CHROMA_MIX, "_B0": CHROMA_MIX}
     lab = materialize(lab, "lab")
-    sizes = lab.groupBy("image_id").agg(F.max("w").alias("w"), F.max("h").alias("h"), F.avg("_L0").alias("_before"))
+    # Tables of a row per image are written first: planned from their input, they make the joins deal whole images.
+    sizes = materialize(lab.groupBy("image_id").agg(F.max("w").alias("w"), F.max("h").alias("h"), F.avg("_L0").alias("_before")), "sizes")
     out = lab
     for axis, on in (("y", v_on), ("x", h_on)):
         if on:
             out = stencil.edge_ramp(out, axis, mix, cols, sizes.select("image_id", "w", "h"))
     after = out.groupBy("image_id").agg(F.avg("_L0").alias("_after"))
-    shift = sizes.select("image_id", "_before").join(after, "image_id")
+    shift = materialize(sizes.select("image_id", "_before").join(after, "image_id"), "shift")
     out = out.join(shift, "image_id").withColumn(
         "_L0", C.clamp(F.col("_L0") + F.col("_before") - F.col("_after"), 0.0, 100.0)
     )
@@ -352,7 +353,7 @@ def crinkly_blend(pixels: DataFrame, h_side: str | None = "left", v_side: str |
     h_on, v_on = bool(h_side), bool(v_side)
     if not h_on and not v_on:
         return pixels
-    out = frame.with_dims(pixels)
+    out = frame.with_dims(pixels, materialize(frame.dims(pixels), "sizes"))
     if h_on:
         out = pin_axis(materialize(_diffuse(out, "x", h_side == "left", nearest), "blend"), "x")
     if v_on:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chromatile.functions import color as C
 from chromatile.operators import frame
+from chromatile.session import materialize
 
 BLOCK = 512
 
@@ -129,7 +130,7 @@ def edge_ramp(pixels: DataFrame, axis: str, mix: float | dict[str, float] = 1.0,
     """
     mixes = {c: (mix[c] if isinstance(mix, dict) else mix) for c in columns}
     size = "w" if axis == "x" else "h"
-    sizes = frame.dims(pixels) if sizes is None else sizes
+    sizes = materialize(frame.dims(pixels), "sizes") if sizes is None else sizes
     sized = pixels.join(sizes.select("image_id", F.col(size).alias("_n")), "image_id")
     lo, hi = F.col(axis) == 0, F.col(axis) == F.col("_n") - 1
     means = (
@@ -144,7 +145,7 @@ def edge_ramp(pixels: DataFrame, axis: str, mix: float | dict[str, float] = 1.0,
         ramp = (1.0 - t) * (mid - F.col(f"_lo_{c}")) + t * (mid - F.col(f"_hi_{c}"))
         return F.when(F.col("_n") < 2, F.col(c)).otherwise(F.col(c) + mixes[c] * ramp)
 
-    out = sized.join(means, "image_id")
+    out = sized.join(materialize(means, "means"), "image_id")
     return out.select(*[lifted(c).alias(c) if c in columns else F.col(c) for c in pixels.columns])
 
 
