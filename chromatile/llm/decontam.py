@@ -215,6 +215,8 @@ class Index:
             at = np.repeat(starts[met], n)
             hits.append(np.unique(np.stack([np.searchsorted(first, at, "right") - 1, member[spot], at - offset[spot]], 1), axis=0))
         hits = np.unique(np.concatenate(hits), axis=0)
+        if not len(hits):
+            return found
         # Of one text and item, places whose surroundings overlap are looked at together.
         bound = np.array(self.limit)
         reach = np.array([len(w) for w in self.items]) + 2 * bound

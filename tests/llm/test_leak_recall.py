@@ -72,3 +72,14 @@ def test_short_equal_and_stem_sharing_items(spark):
         clean = decontam.keep_clean(df, bench, slice_words=words)
         assert sorted(r["doc_id"] for r in clean.collect()) == [3, 5, 7, 8] and clean.columns == df.columns
     assert decontam.contamination(df, bench.limit(0)).count() == 0 and decontam.keep_clean(df, bench.limit(0)).count() == len(docs)
+
+
+def test_texts_with_starts_that_no_walk_meets(spark):
+    item = [f"w{i}" for i in range(30)]
+    near = " ".join(f"w3 w4 w5 x{i}" for i in range(12))  # triples of the item, none where a walk of it starts
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, near)], "doc_id long, text string")
+    assert decontam.contamination(docs, bench).collect() == []
+    assert [r["doc_id"] for r in decontam.keep_clean(docs, bench).collect()] == [1]
+    both = docs.union(spark.createDataFrame([(2, " ".join(item))], docs.schema)).coalesce(1)
+    assert [(r["doc_id"], r["item_id"], r["edits"]) for r in decontam.contamination(both, bench).collect()] == [(2, 7, 0)]
