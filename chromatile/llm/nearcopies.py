@@ -107,7 +107,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 yield _edges([(a, b) for a, b, x, y in rows if similar(x, y)])
 
     side = lambda c: texts.select(F.col("cls").alias(c), F.col("z").alias(f"z{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
 
 
 def spanning(cls: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -158,7 +158,7 @@ def _compare(rows: DataFrame) -> DataFrame:
 
 def _texts(sketch: DataFrame, asked: DataFrame) -> DataFrame:
     """A text of each asked class."""
-    return materialize(sketch.select("cls", "z").join(asked.distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("z").alias("z")), "texts")
+    return materialize(sketch.select("cls", "z").join(asked.distinct().hint("merge"), "cls", "left_semi").groupBy("cls").agg(F.first("z").alias("z")), "texts")
 
 
 def _ends(pairs: DataFrame, name: str = "cls") -> DataFrame:
@@ -169,41 +169,44 @@ def anchored(sketch: DataFrame) -> DataFrame:
     """``(a, b)``: similar classes with equal fingerprints, or with such as meet at an anchor."""
     classes = materialize(sketch.groupBy("cls").agg(F.first("n").alias("n"), F.first("fp").alias("fp")).filter(F.col("n") >= SHARED).drop("n"), "prints")
     first = materialize(classes.groupBy("fp").agg(F.min("cls").alias("head")), "heads")
-    equal = classes.join(first, "fp").filter("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b"))
+    equal = classes.join(first.hint("merge"), "fp").filter("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b"))
     near = materialize(simhash.links(first), "near")
     side = lambda c: first.select(F.col("fp").alias(c), F.col("head").alias(f"h{c}"))
-    met = near.join(side("a"), "a").join(side("b"), "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
+    met = near.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
     pairs = materialize(equal.union(met), "anchored")
     return materialize(_verified(pairs, _texts(sketch, _ends(pairs))), "verified")
 
 
 def _crowded(rows: DataFrame) -> DataFrame:
-    """Rows whose key has members of two groups at least, with their count ``members``."""
+    """Rows whose key has members of two groups at least, with their count ``members``.
+
+    The rows are exploded, which Spark sizes by the table before: unhinted, they may pass the driver.
+    """
     count = rows.groupBy("key", "second").agg(F.count("*").alias("members"), F.min("grp").alias("_lo"), F.max("grp").alias("_hi"))
     count = count.filter("_lo < _hi").drop("_lo", "_hi")
-    return rows.join(count, ["key", "second"])
+    return rows.join(count.hint("merge"), ["key", "second"])
 
 
 def links(sketch: DataFrame, small_group: int = SMALL_GROUP, max_group: int = MAX_GROUP) -> DataFrame:
     """``(a, b)``: enough pairs of classes that are similar to connect all that are linked."""
     known = anchored(sketch)
     grouped = components(_ends(known, "id").distinct(), known, []).select(F.col("id").alias("cls"), F.col("root").alias("grp"))
-    classes = sketch.groupBy("cls").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).join(grouped, "cls", "left")
+    classes = sketch.groupBy("cls").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).join(grouped.hint("merge"), "cls", "left")
     classes = materialize(classes.withColumn("grp", F.coalesce("grp", "cls")), "classes")
     met = materialize(_crowded(classes.select(F.explode("keys").alias("key"), F.lit(0).cast("long").alias("second"), "cls", "n", "grp")), "met")
     few = met.filter(F.col("members") <= small_group).select("key", "cls", "n", "grp")
     left, right = (few.select("key", F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("grp").alias(f"g{c}")) for c in "ab")
     close = (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & (5 * F.least("na", "nb") >= FIFTHS * F.greatest("na", "nb"))
-    pairs = materialize(left.join(right, "key").filter(close).select("a", "b").distinct(), "pairs")
+    pairs = materialize(left.join(right.hint("merge"), "key").filter(close).select("a", "b").distinct(), "pairs")
     many = met.filter((F.col("members") > small_group) & (F.col("members") <= max_group)).select("key", "second", "cls")
     hot = met.filter(F.col("members") > max_group).select("key", "cls", "grp")
     if hot.limit(1).count():
-        deep = hot.join(classes.select("cls", F.explode("keys").alias("second")), "cls").filter("key <> second")
+        deep = hot.join(classes.select("cls", F.explode("keys").alias("second")).hint("merge"), "cls").filter("key <> second")
         deep = deep.select(F.least("key", "second").alias("key"), F.greatest("key", "second").alias("second"), "cls", "grp").distinct()
         many = many.unionByName(_crowded(deep).select("key", "second", "cls"))
     many = materialize(many, "many")
     texts = _texts(sketch, _ends(pairs).union(many.select("cls")))
-    return known.union(_verified(pairs, texts)).union(_compare(many.join(texts, "cls"))).distinct()
+    return known.union(_verified(pairs, texts)).union(_compare(many.join(texts.hint("merge"), "cls"))).distinct()
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
@@ -213,6 +216,6 @@ def keep_first(docs: DataFrame) -> DataFrame:
     ends = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
     roots = components(ends, edges, [])
     first = sketch.groupBy("cls").agg(F.min("doc_id").alias("first"))
-    groups = first.join(roots, first.cls == roots.id, "left").groupBy(F.coalesce("root", "cls").alias("root"), F.col("root").isNull().alias("alone"))
+    groups = first.join(roots.hint("merge"), first.cls == roots.id, "left").groupBy(F.coalesce("root", "cls").alias("root"), F.col("root").isNull().alias("alone"))
     kept = groups.agg(F.min("first").alias("_kept")).select("_kept").distinct()
     return docs.join(kept, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == kept["_kept"], "left_semi")

@@ -6,6 +6,8 @@ import random
 import corpus_pipeline
 import pytest
 from chromatile.llm import nearcopies
+from chromatile.session import materialize
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -101,3 +103,16 @@ def test_anchors_bring_small_changes_together(spark):
     near = {frozenset((r["a"], r["b"])) for r in nearcopies.anchored(sketch).collect()}
     assert len(near) > 5 and near <= {frozenset((cls[a], cls[b])) for a, b in pairs}
     assert {r["doc_id"] for r in nearcopies.keep_first(docs).collect()} == kept
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exploded_rows_do_not_pass_the_driver(spark):
+    """Spark sizes them by the table before, which is a small part of them."""
+    rows = materialize(spark.range(50).selectExpr("id as cls", "id % 7 as n", "id as grp", "array(id % 3, 10 + id % 5) as keys"), "rows")
+    exploded = rows.select(F.explode("keys").alias("key"), F.lit(0).cast("long").alias("second"), "cls", "n", "grp")
+    crowded = nearcopies._crowded(exploded)
+    assert "Broadcast" not in plan(crowded)
+    assert sorted(r["members"] for r in crowded.collect()) == [10] * 50 + [16] * 16 + [17] * 34
