@@ -171,9 +171,12 @@ def _compare(rows: DataFrame, bits: int) -> DataFrame:
 
 
 def _crowded(rows: DataFrame) -> DataFrame:
-    """Rows whose key has two members at least, with the count ``n``."""
+    """Rows whose key has two members at least, with the count ``n``.
+
+    The rows are copies, of which Spark knows neither number nor size: unhinted, they may pass the driver.
+    """
     n = rows.groupBy("anchor", "second").agg(F.count("*").alias("n")).filter("n > 1")
-    return rows.join(n, ["anchor", "second"])
+    return rows.join(n.hint("merge"), ["anchor", "second"])
 
 
 def links(fps: DataFrame, bits: int = MAX_BITS, max_group: int = MAX_GROUP) -> DataFrame:
@@ -204,11 +207,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = MAX_BIT
     edges = materialize(links(classes, bits), "links")
     ends = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
     roots = components(ends, edges, [])
-    linked = roots.join(classes, roots.id == classes.fp).select("root", "id", "first")
+    linked = roots.join(classes.hint("merge"), roots.id == classes.fp).select("root", "id", "first")
     lowest = linked.groupBy("root").agg(F.min("first").alias("component"))
-    merged = linked.join(lowest, "root").select(F.col("id").alias("fp"), "component")
-    table = classes.join(merged, "fp", "left").select("fp", F.coalesce("component", "first").alias("component"))
-    return fps.join(materialize(table, "components"), "fp").select("doc_id", "fp", "component")
+    merged = linked.join(lowest.hint("merge"), "root").select(F.col("id").alias("fp"), "component")
+    table = classes.join(merged.hint("merge"), "fp", "left").select("fp", F.coalesce("component", "first").alias("component"))
+    return fps.join(materialize(table, "components").hint("merge"), "fp").select("doc_id", "fp", "component")
 
 
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:

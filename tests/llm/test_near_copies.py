@@ -5,7 +5,7 @@ import random
 
 import corpus_pipeline
 import pytest
-from chromatile.llm import nearcopies
+from chromatile.llm import nearcopies, simhash
 from chromatile.session import materialize
 from pyspark.sql import functions as F
 
@@ -116,3 +116,9 @@ def test_exploded_rows_do_not_pass_the_driver(spark):
     crowded = nearcopies._crowded(exploded)
     assert "Broadcast" not in plan(crowded)
     assert sorted(r["members"] for r in crowded.collect()) == [10] * 50 + [16] * 16 + [17] * 34
+
+
+def test_copies_at_anchors_do_not_pass_the_driver(spark):
+    fps = materialize(spark.range(50).selectExpr("id * 3 as fp"), "fps")
+    near = simhash._crowded(simhash._replicate(fps, 2))
+    assert "Broadcast" not in plan(near) and near.filter("n < 2").count() == 0 < near.count()
